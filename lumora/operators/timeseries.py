@@ -19,7 +19,7 @@ from lumora.functions.numeric import chi2_p, f_sf, t_p
 from lumora.operators.quality import _stack, quality_label
 from lumora.operators.relational import dedupe_first, moment_names, numeric_names
 from lumora.operators.univariate import box_stats, histogram, jarque_bera, outlier_report, qq_points, shapiro_wilk
-from lumora.plans.gram import cross_products, solve, unpack
+from lumora.plans.gram import solve, unpack, vector_products
 from lumora.plans.order import lags, ordered_index, sliding
 from lumora.plans.quantiles import column_quantiles, quantiles
 from lumora.plans.sizing import broadcast_if_small, is_small, join_on
@@ -250,24 +250,26 @@ def adf_test(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), longe
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rule = F.least(F.ceil(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))), F.floor(F.col("_n") / 2) - 3, F.lit(longest)).cast("int")
     sizes = sizes.withColumn("_max", F.greatest(F.lit(0), rule)).where("_n >= 8")
-    names = [f"_d{k}" for k in range(1, longest + 1)]
-    lagged = lags(step, "_pos", {f"_d{k}": ("_d", k) for k in range(1, longest + 1)}, keys, small)
-    lagged = lagged.na.fill(0.0, names)
-    cols = ["_prev", *names, "_d"]
+    def history(w):
+        back = [F.coalesce(F.lag("_d", k).over(w), F.lit(0.0)) for k in range(1, longest + 1)]
+        return {"_x": F.array(F.coalesce("_prev", F.lit(0.0)), *back, F.coalesce("_d", F.lit(0.0)))}
+
+    lagged = sliding(step, "_pos", longest, 0, history, keys, small).select(*keys, "_pos", "_x")
+    width = longest + 2
 
     def fit(limits: DataFrame, pick: bool) -> DataFrame:
         used = _attach(lagged, limits, keys).where(F.col("_pos") > F.col("_max"))
-        gram = cross_products(used, cols, [*keys, "_max"])
+        gram = vector_products(used, "_x", width, [*keys, "_max"])
 
         @F.pandas_udf("lag int, statistic double, nobs int")
         def run(n: pd.Series, most: pd.Series, packed: pd.Series) -> pd.DataFrame:
             out = []
             for rows, top, g in zip(n, most, packed):
-                a = unpack(g, len(cols))
+                a = unpack(g, width)
                 best = None
                 for lag in range(top + 1) if pick else [top]:
                     x = [0, 1, *range(2, 2 + lag)]
-                    beta, rss = solve(a, x, len(cols))
+                    beta, rss = solve(a, x, width)
                     aic = rows * math.log(max(rss, 1e-300) / rows) + 2 * len(x)
                     if best is None or aic < best[0]:
                         inv = np.linalg.pinv(a[np.ix_(x, x)])
@@ -320,15 +322,14 @@ def granger(df: DataFrame, ts: str, cols: Sequence[str], maxlag: int = 4, min_ro
     base = df.select(ts, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     placed, small = positions(base, ts)
     spec = {f"_{i}_{k}": (c, k) for i, c in enumerate(cols) for k in range(1, maxlag + 1)}
-    lagged = lags(placed, "_pos", spec, (), small)
+    history = sliding(placed, "_pos", maxlag, 0, lambda w: {
+        "_h": F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.lag(c, k).over(w), F.lit(0.0)).alias("v")) for c, k in spec.values()])}, (), small)
     order = F.explode(F.sequence(F.lit(1), F.lit(maxlag))).alias("lag")
-    spread = lagged.select("*", order).where(F.col("_pos") >= F.col("lag"))
-    spread = spread.select("lag", *cols, *[F.when(F.col("lag") >= k, F.col(n)).otherwise(0.0).alias(n) for n, (_, k) in spec.items()])
+    spread = history.select("_pos", "_h", F.array(*cols).alias("_now"), order).where(F.col("_pos") >= F.col("lag"))
+    used = F.transform("_h", lambda h: F.when(h["k"] <= F.col("lag"), h["v"]).otherwise(0.0))
     names = list(spec)
-    parts = []
-    all_cols = [*names, *cols]
-    gram = cross_products(spread, all_cols, ["lag"])
-    size = len(all_cols)
+    size = len(names) + len(cols)
+    gram = vector_products(spread.select("lag", F.concat(used, "_now").alias("_x")), "_x", size, ["lag"])
 
     @F.pandas_udf("array<struct<cause:int,effect:int,f:double,p:double>>")
     def test(n: pd.Series, lag: pd.Series, packed: pd.Series) -> pd.Series:
