@@ -36,20 +36,20 @@ def strip_symbols(c: Column) -> Column:
 def to_number(c: Column, lone_comma_decimal: bool | Column = True) -> Column:
     """Number with either decimal mark; null when the text is not one.
 
-    When both marks occur, the last one is the decimal mark. When only commas occur, a single
-    comma is the decimal mark if `lone_comma_decimal`, otherwise commas group thousands.
+    When both marks occur, the last one is the decimal mark. A mark that repeats groups thousands. A single
+    comma is the decimal mark unless exactly three digits follow; then `lone_comma_decimal` decides.
     """
     text = strip_symbols(c)
-    comma_last = F.length(F.substring_index(text, ",", -1)) < F.length(F.substring_index(text, ".", -1))
-    has_comma, has_dot = text.contains(","), text.contains(".")
-    european = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    american = F.replace(text, F.lit(","), F.lit(""))
+    plain_comma, plain_dot = F.replace(text, F.lit(","), F.lit("")), F.replace(text, F.lit("."), F.lit(""))
+    commas, dots = F.length(text) - F.length(plain_comma), F.length(text) - F.length(plain_dot)
+    after_comma = F.length(F.substring_index(text, ",", -1))
+    comma_last = after_comma < F.length(F.substring_index(text, ".", -1))
+    european, american = F.replace(plain_dot, F.lit(","), F.lit(".")), plain_comma
     flag = F.lit(lone_comma_decimal) if isinstance(lone_comma_decimal, bool) else lone_comma_decimal
-    one_comma = F.length(text) - F.length(american) == 1
     chosen = (
-        F.when(has_comma & has_dot & comma_last, european)
-        .when(has_comma & has_dot, american)
-        .when(has_comma & flag & one_comma, european)
+        F.when((commas > 0) & (dots > 0), F.when(comma_last, european).otherwise(american))
+        .when(dots > 1, european)
+        .when((commas == 1) & (flag | (after_comma != 3)), european)
         .otherwise(american)
     )
     return chosen.try_cast("double")
