@@ -427,7 +427,9 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model: s
 
 def compare_models(df: DataFrame, features: Sequence[str], target: str, models: Sequence[str], key: Sequence[str], classes: bool = False, trees: int = 100, test: float = 0.2) -> DataFrame:
     """One row per model, 4 decimals, best test score first."""
-    split = cut_lineage(split_random(df.select(*key, *features, target).dropna(), key, test, stratify=target if classes else None))
+    # pinned first: a null test over many computed columns is costly to optimise
+    data = cut_lineage(df.select(*key, *features, target)).dropna()
+    split = cut_lineage(split_random(data, key, test, stratify=target if classes else None))
     train, held = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     rows = []
     for m in models:
