@@ -43,10 +43,10 @@ def loess(df: DataFrame, pos: str, value: str, span: int, keys: Sequence[str], n
     sums = F.aggregate(weighted, zero, lambda a, r: F.struct(
         (a["s0"] + r["w"]).alias("s0"), (a["s1"] + r["w"] * r["d"]).alias("s1"), (a["s2"] + r["w"] * r["d"] * r["d"]).alias("s2"),
         (a["t0"] + r["w"] * r["v"]).alias("t0"), (a["t1"] + r["w"] * r["d"] * r["v"]).alias("t1")))
-    s = F.col("_s")
+    s = F.col("_sums")
     det = s["s0"] * s["s2"] - s["s1"] * s["s1"]
     fit = F.when(F.abs(det) > 1e-9 * s["s0"] * s["s0"], (s["s2"] * s["t0"] - s["s1"] * s["t1"]) / det).otherwise(F.try_divide(s["t0"], s["s0"]))
-    return windowed.withColumn("_s", sums).withColumn(out, fit).drop("_rows", "_far", "_s")
+    return windowed.withColumn("_sums", sums).withColumn(out, fit).drop("_rows", "_far", "_sums")
 
 
 def _odd(x: float) -> int:

@@ -150,8 +150,7 @@ def forecast_arima(
     gram, tails = _arma_gram(e, by, small, ar, ma)
     last = _attach(series, series.groupBy(*keys).agg(F.max("_pos").alias("_last")), keys).where(F.col("_pos") > F.col("_last") - 4)
     ends = last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_y"))), lambda r: r["_y"]).alias("_ends"))
-    ready = join_on(gram, tails, by)
-    ready = join_on(ready, ends, keys) if keys else _attach(ready, ends, [])
+    ready = _attach(join_on(gram, tails, by), ends, keys)
     size = MAX_P + MAX_Q + 1
 
     @F.pandas_udf("p int, q int, aic double, forecast array<double>, error array<double>")
@@ -203,7 +202,7 @@ def forecast_sarima(df: DataFrame, ts: str, value: str, horizon: int = 12, seaso
     reach = season + 2
     last = _attach(series, series.groupBy(*keys).agg(F.max("_pos").alias("_last")), keys).where(F.col("_pos") > F.col("_last") - reach)
     ends = last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_y"))), lambda r: r["_y"]).alias("_ends"))
-    ready = join_on(join_on(gram, tails, keys), ends, keys) if keys else _attach(_attach(gram, tails, []), ends, [])
+    ready = _attach(_attach(gram, tails, keys), ends, keys)
 
     @F.pandas_udf("array<struct<forecast:double,error:double>>")
     def run(n: pd.Series, packed: pd.Series, tail: pd.Series, ends_: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from lumora.functions.columns import DATE_FORMATS, to_moment
 from lumora.functions.numeric import chi2_p, f_sf, t_p
@@ -48,9 +49,12 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
 
 
 def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join one row per key; without keys its values enter as constants."""
+    """Join one row per key; without keys there is one row, whose plain values enter as constants."""
     if keys:
         return join_on(df, broadcast_if_small(per_key), list(keys))
+    if any(isinstance(f.dataType, T.ArrayType) for f in per_key.schema):
+        one = F.broadcast(per_key.withColumn("_j", F.lit(1)))
+        return df.withColumn("_j", F.lit(1)).join(one, "_j").drop("_j")
     row = per_key.first()
     return df.select("*", *[F.lit(row[c]).cast(per_key.schema[c].dataType).alias(c) for c in per_key.columns])
 
