@@ -64,7 +64,7 @@ def r9(spark, sf):
     return R.report_contract_check(R.report(gaps(spark, sf), "quality"))
 
 
-@query("r10_insight_counts", f"""WITH {GAPS}, {_LEVEL}, r AS (SELECT 100 - pct AS c FROM level), k AS (SELECT CAST(1 AS BIGINT) AS f, CAST(8 + CASE WHEN c < 90 THEN 1 ELSE 0 END + CASE WHEN (SELECT count(*) FROM gaps) > 0 THEN 0 ELSE 0 END AS BIGINT) AS rec FROM r)
+@query("r10_insight_counts", f"""WITH {GAPS}, {_LEVEL}, r AS (SELECT 100 - pct AS c FROM level), k AS (SELECT CAST(1 AS BIGINT) AS f, CAST(8 + CASE WHEN c < 90 THEN 1 ELSE 0 END AS BIGINT) AS rec FROM r)
   SELECT 'finding' AS kind, f AS insights FROM k UNION ALL SELECT 'recommendation', rec FROM k UNION ALL SELECT 'total', f + rec FROM k""")
 def r10(spark, sf):
     return R.insight_counts(R.report(gaps(spark, sf), "quality"))

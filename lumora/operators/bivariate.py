@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.functions.numeric import chi2_p, f_p, normal_p, t_p
@@ -102,27 +104,46 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation tables
 
-#: Correlation expressions per aggregate, below the limits of generated code.
-PAIRS_PER_PASS = 500
+def _moment_parts(df: DataFrame, cols: list[str], centres: list[float]) -> DataFrame:
+    """Pairwise sums per Arrow batch by matrix products: (i, j, n, x, y, xx, yy, xy), one row per pair and task batch.
+
+    Values are centred first, so that the sums lose no digits; a missing value counts as 0 with weight 0.
+    """
+    k = len(cols)
+    at = [(i, j) for i in range(k) for j in range(i + 1)]
+    rows, cs = np.array([i for i, _ in at]), np.array([j for _, j in at])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - np.array(centres)
+            mask = ~np.isnan(x)
+            m = mask.astype(float)
+            x = np.where(mask, x, 0.0)
+            sums, squares = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, sums, sums.T, squares, squares.T, x.T @ x])
+        yield pd.DataFrame({"i": rows, "j": cs, **{n: total[a][rows, cs] for a, n in enumerate(("n", "x", "y", "xx", "yy", "xy"))}})
+
+    numbers = df.select(*[_x(c).alias(c) for c in cols])
+    return numbers.mapInPandas(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, lower_only: bool = False) -> DataFrame:
-    """(var1, var2, r, n): pairwise-complete Pearson correlations, blocks of pairs per pass."""
+    """(var1, var2, r, n): pairwise-complete Pearson correlations from one pass of matrix products, whatever the width."""
     cols = list(cols or numeric_names(df))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[start: start + PAIRS_PER_PASS]
-        aggs = []
-        for i, (a, b) in enumerate(block):
-            both = _x(a).isNotNull() & _x(b).isNotNull()
-            aggs += [F.corr(_x(a), _x(b)).alias(f"r{i}"), F.sum(both.cast("long")).alias(f"n{i}")]
-        entries = []
-        for i, (a, b) in enumerate(block):
-            for v, w in {(a, b), (a, b) if lower_only else (b, a)}:
-                entries.append(F.struct(F.lit(v).alias("var1"), F.lit(w).alias("var2"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")))
-        parts.append(df.agg(*aggs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.*"))
-    return reduce(DataFrame.unionByName, parts)
+    centre = df.agg(*[F.avg(_x(c)) for c in cols]).first()
+    parts = _moment_parts(df, cols, [float(v or 0.0) for v in centre])
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    cov = F.col("xy") - F.col("x") * F.col("y") / n
+    spread = F.sqrt((F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n))
+    same = F.col("i") == F.col("j")
+    r = F.when(same & (spread > 0), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, spread))))
+    names = F.array(*[F.lit(c) for c in cols])
+    base = s.where(n > 0).select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"), n.cast("long").alias("n"), same.alias("same"))
+    both = F.array(F.struct(F.col("a").alias("var1"), F.col("b").alias("var2")), *([] if lower_only else [F.struct(F.col("b").alias("var1"), F.col("a").alias("var2"))]))
+    pairs = F.when(F.col("same"), F.slice(both, 1, 1)).otherwise(both)
+    return base.select(F.explode(pairs).alias("_p"), "r", "n").select("_p.var1", "_p.var2", "r", "n")
 
 
 def rank_corr_matrix(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:

@@ -24,7 +24,7 @@ from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
 from lumora.plans.order import ordered_index, running_sums
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, spread_out
 
 
 def encode_mixed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -250,7 +250,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], tre
             total += depth[at]
         return pd.Series(np.power(2.0, -total / len(forest) / norm))
 
-    return df.dropna(subset=cols).withColumn("score", score(L._vector(cols)))
+    return spread_out(df.dropna(subset=cols)).withColumn("score", score(L._vector(cols)))
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], contamination: float = 0.1, seed: int = 42) -> DataFrame:

@@ -1,19 +1,21 @@
 """Exact linear-interpolated quantiles.
 
-Small inputs use the built-in `percentile`, which keeps the distinct values of a group in one
-buffer. Larger ones are counted per value (combined before the shuffle, so ties and hot values
-collapse), ranked by a distributed running sum, and the few rows that cover the wanted ranks are
-picked by a conditional aggregate.
+Small inputs use the built-in `percentile`, which keeps the distinct values of a group in one buffer.
+Larger ones take two passes: a sketch with a guaranteed rank error brackets every quantile, then values are
+counted (combined before the shuffle): those below a bracket as one number, those inside it one by one.
+About one row in a hundred per quantile is shuffled and ranked by a running sum. If a bracket missed its
+rank, all values are ranked instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.plans.order import running_sums
-from lumora.plans.sizing import broadcast_if_small, is_small, join_on
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, join_on
 
 
 def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -40,21 +42,10 @@ def quantiles(
         rows = present.groupBy(*keys).agg(arr)
         return rows.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sums(counts, {"_cum": F.col("_c")}, ["_v"], keys, small=False)
-    if keys:
-        totals = broadcast_if_small(present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-        ranked = join_on(ranked, totals, keys)
-    else:
-        ranked = ranked.withColumn("_n", F.lit(present.count()))
-    picks = []
-    for i, p in enumerate(probs):
-        rank = (F.col("_n") - 1) * F.lit(float(p))
-        for tag, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            holds = (F.col("_cum") - F.col("_c") <= at) & (at < F.col("_cum"))
-            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{tag}{i}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"_f{i}"))
-    found = ranked.groupBy(*keys).agg(*picks)
+    found = cut_lineage(_bracketed(present, probs, keys))
+    missed = reduce(lambda x, y: x | y, [F.col(f"_{t}{i}").isNull() for i in range(len(probs)) for t in ("lo", "hi")])
+    if found.where(missed).limit(1).count():
+        found = _ranked(present, probs, keys)
     return found.select(
         *keys,
         *[
@@ -64,6 +55,52 @@ def quantiles(
     )
 
 
+#: Accuracy of the bracketing sketch: its rank error is at most 1/ACCURACY of the rows.
+ACCURACY = 500
+
+
+def _picks(probs: Sequence[float], only: bool) -> list[Column]:
+    """Values that hold the lower and upper rank of each probability, and the interpolation weight."""
+    out = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * F.lit(float(p))
+        mine = F.col("_p") == i if only else F.lit(True)
+        for tag, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            holds = mine & (F.col("_cum") - F.col("_c") <= at) & (at < F.col("_cum"))
+            out.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{tag}{i}"))
+        out.append(F.max(rank - F.floor(rank)).alias(f"_f{i}"))
+    return out
+
+
+def _with_row(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    if keys:
+        return join_on(df, broadcast_if_small(per_key), keys)
+    one = F.broadcast(per_key.withColumn("_j", F.lit(1)))  # a global aggregate: one row
+    return df.withColumn("_j", F.lit(1)).join(one, "_j").drop("_j")
+
+
+def _bracketed(present: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
+    step = 2.0 / ACCURACY
+    edges = [e for p in probs for e in (max(0.0, p - step), min(1.0, p + step))]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_b")
+    facts = cut_lineage(present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), sketch))
+    joined = _with_row(present, facts.select(*keys, "_b"), keys)
+    spread = joined.select(*keys, "_v", "_b", F.explode(F.array(*[F.lit(i) for i in range(len(probs))])).alias("_p"))
+    low, high = F.col("_b")[F.col("_p") * 2], F.col("_b")[F.col("_p") * 2 + 1]
+    marked = spread.where(F.col("_v") <= high).select(*keys, "_p", F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
+    counts = marked.groupBy(*keys, "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # nulls sort first: the rows below a bracket come as one count before its values
+    ranked = running_sums(counts, {"_cum": F.col("_c")}, ["_v"], [*keys, "_p"])
+    return _with_row(ranked, facts.select(*keys, "_n"), keys).groupBy(*keys).agg(*_picks(probs, True))
+
+
+def _ranked(present: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
+    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(counts, {"_cum": F.col("_c")}, ["_v"], keys, small=False)
+    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return _with_row(ranked, sizes, keys).groupBy(*keys).agg(*_picks(probs, False))
+
+
 def column_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str] | None = None,
     small: bool | None = None,

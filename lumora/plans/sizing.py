@@ -29,6 +29,12 @@ def partitions_for(df: DataFrame, rows: int) -> int:
     return max(shuffle, math.ceil(rows / ROWS_PER_PARTITION))
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use all cores for work that costs more than moving the rows, when the input has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a count; beyond the limit the join shuffles."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -1,6 +1,10 @@
-"""Run registered queries beside their SQL: python tests/oracle_check.py [sf] [name-prefix…]"""
+"""Run registered queries beside their SQL: python tests/oracle_check.py [sf] [name-prefix…]
+
+SMALL_ROWS=0 forces the plans for large inputs.
+"""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -73,6 +77,8 @@ def main():
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("SMALL_ROWS"):
+        spark.conf.set("lumora.smallRows", os.environ["SMALL_ROWS"])
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
