@@ -98,9 +98,7 @@ def lof_scores(df: DataFrame, value: str, tie: Sequence[str], k: int = 20, keys:
 
 
 def anomalies_lof(df: DataFrame, value: str, tie: Sequence[str], k: int = 20, contamination: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
-    scored = lof_scores(df, value, tie, k, keys)
-    if not is_small(df):
-        scored = cut_lineage(scored)  # read twice: for the cut and for the rows
+    scored = cut_lineage(lof_scores(df, value, tie, k, keys))  # read twice: for the cut and for the rows
     cut = quantiles(scored, "lof", [1 - contamination], keys, ["_cut"])
     return _attach(scored, cut, keys).where(F.col("lof") > F.col("_cut")).select(*df.columns, "lof")
 

@@ -14,7 +14,7 @@ from lumora.functions.numeric import chi2_p, f_p, normal_p, t_p
 from lumora.operators.relational import every_kth, numeric_names
 from lumora.operators.univariate import box_stats
 from lumora.plans.order import ordered_index, running_sums
-from lumora.plans.sizing import broadcast_if_small, join_on
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on
 
 #: Normal quantile of a 95 % interval.
 Z95 = 1.959963984540054
@@ -53,7 +53,7 @@ def average_ranks(counts: DataFrame, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation. Rows collapse to pair counts; ranks come from a distributed running sum."""
-    pairs = _pair(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    pairs = cut_lineage(_pair(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
     n = pairs.agg(F.sum("c")).first()[0] or 0
     ranked = pairs
     for v in ("x", "y"):
@@ -72,7 +72,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     the set bit before the clear bit are the discordant ones, so one running sum counts them all:
     rows × log2(distinct y), however the values are spread.
     """
-    pairs = _pair(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pairs = cut_lineage(_pair(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("c")))
     ranks = ordered_index(pairs.select("y").distinct(), ["y"], out="yr")
     size = ranks.count()
     ranks = broadcast_if_small(ranks.withColumnRenamed("y", "_y"))

@@ -24,7 +24,7 @@ from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
 from lumora.plans.order import ordered_index, running_sums
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, spread_out
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, spread_out
 
 
 def encode_mixed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, out:
 
 def kmeans_summary(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
     """(cluster, size, inertia of the model)."""
-    x = _assembled(df, cols)
+    x = spread_out(_assembled(df, cols).select("features"))
     model = KMeans(k=k, seed=seed).fit(x)
     rows = [(i, int(n), float(model.summary.trainingCost)) for i, n in enumerate(model.summary.clusterSizes)]
     return df.sparkSession.createDataFrame(rows, "cluster int, size long, inertia double")
@@ -255,9 +255,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], tre
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Rows with score and an outlier flag above the contamination quantile."""
-    scored = isolation_scores(df, cols, key, seed=seed)
-    if not is_small(df):
-        scored = cut_lineage(scored)  # read twice: for the cut and for the rows
+    scored = cut_lineage(isolation_scores(df, cols, key, seed=seed))  # read twice: for the cut and for the rows
     (cut,) = quantile_values(scored, "score", [1 - contamination])
     return scored.withColumn("outlier", F.col("score") > F.lit(cut))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -167,13 +168,25 @@ def counts_by_source(df: DataFrame, source: str = "_source_file") -> DataFrame:
 
 
 def distinct_count(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """(variable, unique_count): one shuffle of (variable, value) pairs, combined before it."""
+    """(variable, unique_count): (variable, value) pairs are combined before the shuffle, per kind of value so none turn into text."""
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in cols])
         return wide.unpivot([], list(cols), "variable", "unique_count")
-    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    pairs = text.unpivot([], list(cols), "variable", "value").groupBy("variable", "value").agg(F.lit(1))
-    return pairs.groupBy("variable").agg(F.count("value").alias("unique_count"))
+    kinds: dict[str, list[str]] = {"bigint": [], "double": [], "timestamp": [], "string": []}
+    for c in cols:
+        t = df.schema[c].dataType
+        kind = (
+            "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, (T.DoubleType, T.FloatType))
+            else "timestamp" if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "string"
+        )
+        kinds[kind].append(c)
+    parts = []
+    for kind, names in kinds.items():
+        if names:
+            typed = df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in names])
+            pairs = typed.unpivot([], names, "variable", "value").groupBy("variable", "value").agg(F.lit(1))
+            parts.append(pairs.groupBy("variable").agg(F.count("value").alias("unique_count")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def outer_merge(tables: Sequence[DataFrame], key: str | None) -> DataFrame:

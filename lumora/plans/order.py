@@ -71,7 +71,7 @@ def sliding(
     make: Callable[[WindowSpec], Mapping[str, Column]],
     keys: Sequence[str] = (),
     small: bool | None = None,
-    block: int = BLOCK_ROWS,
+    block: int | None = None,
 ) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
@@ -83,6 +83,7 @@ def sliding(
     if small:
         window = group_window(keys).orderBy(pos)
         return df.select("*", *[c.alias(n) for n, c in make(window).items()])
+    block = block or int(df.sparkSession.conf.get("lumora.blockRows", str(BLOCK_ROWS)))
     home = F.floor(F.col(pos) / block)
     targets = F.sequence(F.floor((F.col(pos) - after) / block), F.floor((F.col(pos) + before) / block))
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(targets))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.plans.order import running_sums
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, join_on
+from lumora.plans.sizing import PERCENTILE_ROWS, broadcast_if_small, cut_lineage, is_small, join_on, small_rows
 
 
 def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +36,7 @@ def quantiles(
     keys = list(keys)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     present = df.select(*keys, F.col(f"`{value}`").cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    small = is_small(present) if small is None else small
+    small = is_small(present, PERCENTILE_ROWS) if small is None else small
     if small:
         arr = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
         rows = present.groupBy(*keys).agg(arr)
@@ -106,6 +106,15 @@ def column_quantiles(
     small: bool | None = None,
 ) -> DataFrame:
     """(variable, quantile columns…) for several columns in one pass."""
+    cols = list(cols)
+    small = df.count() * len(cols) <= small_rows(df.sparkSession, PERCENTILE_ROWS) if small is None else small
+    if small:
+        names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        wide = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(cols)])
+        rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
+        stacked = wide.select(F.explode(rows).alias("_e")).where(F.col("_e.q").isNotNull())
+        return stacked.select("_e.variable", *[F.col("_e.q")[i].alias(n) for i, n in enumerate(names)])
     return quantiles(to_long(df, cols), "value", probs, ["variable"], names, small)
 
 

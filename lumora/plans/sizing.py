@@ -7,21 +7,23 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Above this many rows nothing may be windowed, collected or sketched as one group.
-SMALL_ROWS = 200_000
+#: Above this many rows nothing may be windowed or sorted as one group.
+SMALL_ROWS = 1_000_000
+#: Above this many values the built-in exact percentile, which buffers distinct values, is not used.
+PERCENTILE_ROWS = 5_000_000
 #: Above this many rows a join side is shuffled, never broadcast.
 BROADCAST_ROWS = 100_000
 #: Rows a range partition should hold.
 ROWS_PER_PARTITION = 2_000_000
 
 
-def small_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("lumora.smallRows", str(SMALL_ROWS)))
+def small_rows(spark: SparkSession, limit: int = SMALL_ROWS) -> int:
+    return int(spark.conf.get("lumora.smallRows", str(limit)))
 
 
-def is_small(df: DataFrame) -> bool:
-    """One column-pruned count; partial counts are combined, no rows move."""
-    return df.count() <= small_rows(df.sparkSession)
+def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
+    """One column-pruned count; partial counts are combined, no rows move. `lumora.smallRows` overrides the limit."""
+    return df.count() <= small_rows(df.sparkSession, limit)
 
 
 def partitions_for(df: DataFrame, rows: int) -> int:
