@@ -34,6 +34,7 @@ def _by_value(df: DataFrame, value: str, keys: Sequence[str], tie: Sequence[str]
     m = base.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))
     scored = _attach(base, m, keys).withColumn("_z", F.coalesce(z, F.lit(0.0))).drop("_m", "_s")
+    scored = cut_lineage(scored)
     small = is_small(scored)
     return ordered_index(scored, ["_z", *tie], keys, small=small), small
 

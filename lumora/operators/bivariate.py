@@ -225,6 +225,7 @@ def anova_oneway(df: DataFrame, num: str, by: str, min_group: int = 1) -> DataFr
     """F, degrees of freedom and p; groups below `min_group` rows are left out."""
     x = df.where(_x(num).isNotNull() & F.col(by).isNotNull())
     groups = x.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(_x(num)).alias("m"), F.var_pop(_x(num)).alias("v")).where(F.col("n") >= min_group)
+    groups = cut_lineage(groups)  # read for the centre and for the sums
     n, m = F.col("n"), F.col("m")
     centre = groups.agg((F.sum(n * m) / F.sum(n)).alias("g")).first()["g"]
     if centre is None:
@@ -260,14 +261,14 @@ def _margins(cells: DataFrame) -> DataFrame:
 
 
 def row_percent(df: DataFrame, a: str, b: str) -> DataFrame:
-    cells = crosstab(df, a, b)
+    cells = cut_lineage(crosstab(df, a, b))
     rows = broadcast_if_small(cells.groupBy("a").agg(F.sum("count").alias("ra")))
     return cells.join(rows, "a").select("a", "b", (F.col("count") * 100.0 / F.col("ra")).alias("pct"))
 
 
 def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed and expected count of the observed cells."""
-    cells = crosstab(df, a, b)
+    cells = cut_lineage(crosstab(df, a, b))
     n = cells.agg(F.sum("count")).first()[0] or 0
     return _margins(cells).select("a", "b", "count", (F.col("ra") * F.col("cb") / F.lit(float(n or 1))).alias("expected"))
 

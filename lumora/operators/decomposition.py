@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.operators.timeseries import _attach, _fields, positions
 from lumora.plans.order import sliding
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, join_on
+from lumora.plans.sizing import cut_lineage, join_on
 
 
 def loess(df: DataFrame, pos: str, value: str, span: int, keys: Sequence[str], n: Column, out: str, small: bool | None = None) -> DataFrame:

@@ -135,7 +135,7 @@ def forecast_arima(
     keys = list(keys)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     placed, small = positions(base, ts, keys)
-    series = cut_lineage(placed) if not small else placed
+    series = cut_lineage(placed)
     ds = list(range(MAX_D + 1)) if auto else [order[1]]
     step = series.withColumn("_d0", F.col("_y"))
     for d in range(1, max(ds) + 1):
@@ -192,7 +192,7 @@ def forecast_sarima(df: DataFrame, ts: str, value: str, horizon: int = 12, seaso
     keys = list(keys)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     placed, small = positions(base, ts, keys)
-    series = cut_lineage(placed) if not small else placed
+    series = cut_lineage(placed)
     once = _differenced(series, keys, small, 1, "_y", "_d1")
     twice = _differenced(once, keys, small, season, "_d1", "_w").where(F.col("_w").isNotNull())
     w = twice.select(*keys, (F.col("_pos") - season - 1).alias("_pos"), "_w")

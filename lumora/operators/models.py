@@ -150,11 +150,11 @@ def dbscan(
     def gap(a: str, b: str) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
-    counted = pts.join(counts, "cell")
+    counted = pts.join(broadcast_if_small(counts), "cell")
     dense = counted.where(F.col("n") >= min_pts).select(*key, "x", "cell")
     sparse = counted.where(F.col("n") < min_pts).select(*key, "x", "cell")
     asked = sparse.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("x").alias("_x"), F.explode(neighbours("cell")).alias("cell"))
-    met = pts.join(asked, "cell").where(gap("x", "_x") <= eps)
+    met = pts.join(broadcast_if_small(asked), "cell").where(gap("x", "_x") <= eps)
     sparse_core = met.groupBy(*[f"_{k}" for k in key]).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_pts)
     sparse_core = sparse.join(sparse_core.select(*[F.col(f"_{k}").alias(k) for k in key]), key, "left_semi")
     core = cut_lineage(dense.unionByName(sparse_core))
@@ -165,10 +165,11 @@ def dbscan(
     labels = _components(edges, core.select(F.col("cell").alias("node")).distinct())
     roots = ordered_index(labels.select("label").distinct(), ["label"], out=out)
     named = labels.join(broadcast_if_small(roots), "label").select(F.col("node").alias("cell"), F.col(out).cast("int").alias(out))
+    named = broadcast_if_small(named)
     core_rows = core.join(named, "cell").select(*key, out)
     border_ask = sparse.join(sparse_core.select(*key), key, "left_anti")
     border_ask = border_ask.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("x").alias("_x"), F.explode(neighbours("cell")).alias("cell"))
-    border = core.join(border_ask, "cell").where(gap("x", "_x") <= eps).join(named, "cell").groupBy(*[f"_{k}" for k in key]).agg(F.min(out).alias(out))
+    border = core.join(broadcast_if_small(border_ask), "cell").where(gap("x", "_x") <= eps).join(named, "cell").groupBy(*[f"_{k}" for k in key]).agg(F.min(out).alias(out))
     found = core_rows.unionByName(border.select(*[F.col(f"_{k}").alias(k) for k in key], out))
     return df.dropna(subset=cols).join(found, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
@@ -272,7 +273,7 @@ def fit_predict_regression(train: DataFrame, test: DataFrame, features: Sequence
         w, c = L.fit_linear(train, features, target, model)
         return L.predict_linear(test.dropna(subset=list(features)), features, w, c)
     made = {
-        "random_forest": lambda: RandomForestRegressor(labelCol=target, numTrees=trees, seed=seed),
+        "random_forest": lambda: RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=10, seed=seed),
         "gradient_boosting": lambda: GBTRegressor(labelCol=target, maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed),
     }[model]()
     fitted = made.fit(_assembled(train.dropna(subset=[target]), features))
@@ -287,7 +288,7 @@ def fit_predict_classes(train: DataFrame, test: DataFrame, features: Sequence[st
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     base = {
         "logistic": lambda: LogisticRegression(labelCol="_y", regParam=1.0 / max(n, 1), maxIter=100),
-        "random_forest": lambda: RandomForestClassifier(labelCol="_y", numTrees=trees, seed=seed),
+        "random_forest": lambda: RandomForestClassifier(labelCol="_y", numTrees=trees, maxDepth=10, seed=seed),
         "gradient_boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=3, seed=seed), labelCol="_y"),
         "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), labelCol="_y"),
     }[model]()
@@ -305,7 +306,7 @@ def knn_classify(train: DataFrame, test: DataFrame, features: Sequence[str], lab
     """
     blocks = max(1, math.ceil(train.count() / block_rows))
     shards = max(1, math.ceil(test.count() / block_rows))
-    tr = train.select(L._vector(features).alias("x"), F.col(label).cast("string").alias("y"), F.pmod(F.xxhash64(*features), F.lit(blocks)).cast("int").alias("block"))
+    tr = train.select(L._vector(features).alias("x"), F.col(label).cast("string").alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     tr = tr.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     te = test.select(F.col(key).cast("string").alias("id"), L._vector(features).alias("x"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
     te = te.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -344,11 +345,11 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ())
 
 
 def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(actual, predicted, count) over all label pairs, absent ones 0."""
+    """(actual, predicted, count) over all label pairs, absent ones 0 (up to 200 labels; beyond, the pairs that occur)."""
     cells = df.groupBy(F.col(y).cast("string").alias("actual"), F.col(p).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
     labels = cells.select(F.col("actual").alias("l")).unionByName(cells.select(F.col("predicted").alias("l"))).where("l is not null").distinct()
-    names = sorted(r["l"] for r in labels.limit(1001).collect())
-    if len(names) > 1000:
+    names = sorted(r["l"] for r in labels.limit(201).collect())
+    if len(names) > 200:
         return cells
     every = df.sparkSession.createDataFrame([(a, b) for a in names for b in names], "actual string, predicted string")
     return every.join(F.broadcast(cells), ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).alias("count"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lumora.plans.order import ordered_index
-from lumora.plans.sizing import is_small
+from lumora.plans.sizing import broadcast_if_small
 
 
 def data_columns(df: DataFrame) -> DataFrame:
@@ -77,14 +77,20 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """(rows, duplicate_rows, duplicate_percentage); equal rows after the first count, nulls equal."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    rows, extra = F.coalesce(F.sum("_copies"), F.lit(0)), F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
-    return groups.agg(
-        rows.alias("rows"),
-        extra.alias("duplicate_rows"),
-        F.coalesce(F.try_divide(extra * 100.0, rows), F.lit(0.0)).alias("duplicate_percentage"),
-    )
+    """(rows, duplicate_rows, duplicate_percentage); equal rows after the first count, nulls equal.
+
+    Row hashes are counted first, so 8 bytes per row are shuffled; only rows whose hash occurs twice are compared in full.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.select("*", F.xxhash64(*cols).alias("_h"))
+    counts = df.agg(F.count(F.lit(1)).alias("rows"))
+    twice = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    suspects = hashed.join(broadcast_if_small(twice), "_h", "left_semi")
+    groups = suspects.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    extra = groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"), F.lit(1).alias("_j"))
+    both = counts.withColumn("_j", F.lit(1)).join(F.broadcast(extra), "_j")
+    share = F.coalesce(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("rows")), F.lit(0.0))
+    return both.select("rows", "duplicate_rows", share.alias("duplicate_percentage"))
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -209,9 +215,7 @@ def outer_merge(tables: Sequence[DataFrame], key: str | None) -> DataFrame:
 def lookup(df: DataFrame, col: str, table: DataFrame, key: str, value: str) -> Column | DataFrame:
     """Left lookup in a dictionary table, unmatched values kept."""
     pairs = table.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    if is_small(pairs):
-        pairs = F.broadcast(pairs)
-    joined = df.join(pairs, F.col(col) == F.col("_k"), "left")
+    joined = df.join(broadcast_if_small(pairs), F.col(col) == F.col("_k"), "left")
     return joined.withColumn(col, F.coalesce("_v", col)).drop("_k", "_v")
 
 

@@ -23,7 +23,7 @@ from lumora.operators.univariate import box_stats, histogram, jarque_bera, outli
 from lumora.plans.gram import solve, unpack, vector_products
 from lumora.plans.order import lags, ordered_index, sliding
 from lumora.plans.quantiles import column_quantiles, quantiles
-from lumora.plans.sizing import broadcast_if_small, is_small, join_on
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, join_on
 
 
 def prepare_series(df: DataFrame, ts: str, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -40,8 +40,9 @@ def prepare_series(df: DataFrame, ts: str, cols: Sequence[str], keys: Sequence[s
 
 def positions(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> tuple[DataFrame, bool]:
     """The series with `_pos`, and whether it is small enough for plain windows. Times must be unique per key."""
-    small = is_small(df)
-    return ordered_index(df, [ts], keys, small=small), small
+    pinned = cut_lineage(df)  # counted, sampled and read: computed once
+    small = is_small(pinned)
+    return ordered_index(pinned, [ts], keys, small=small), small
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> str:

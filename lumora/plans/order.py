@@ -31,7 +31,9 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running totals of `sums` per `keys` in `order` (which must be total)."""
     keys, order = list(keys), list(order)
-    small = is_small(df) if small is None else small
+    if small is None:
+        df = cut_lineage(df)  # counted, sampled and read: computed once
+        small = is_small(df)
     if small:
         frame = group_window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(frame).alias(n) for n, c in sums.items()])

@@ -95,7 +95,7 @@ def _bracketed(present: DataFrame, probs: Sequence[float], keys: list[str]) -> D
 
 
 def _ranked(present: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_sums(counts, {"_cum": F.col("_c")}, ["_v"], keys, small=False)
     sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return _with_row(ranked, sizes, keys).groupBy(*keys).agg(*_picks(probs, False))

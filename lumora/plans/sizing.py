@@ -32,28 +32,20 @@ def partitions_for(df: DataFrame, rows: int) -> int:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores for work that costs more than moving the rows, when the input has fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Use all cores for work that costs more than moving the rows, when a count shows a small input.
+
+    Large inputs have many partitions already and stay where they are.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() <= PERCENTILE_ROWS else df
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count; beyond the limit the join shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lumora-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Broadcast hint behind a count; beyond the limit the join shuffles.
+
+    The side is computed once, pinned, and then counted and joined from the pinned rows.
+    """
+    pinned = cut_lineage(df)
+    return F.broadcast(pinned) if pinned.count() <= limit else pinned
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
