@@ -268,7 +268,8 @@ def n11(spark, sf):
     return N.apply_types(messy(spark, sf), {"price_text": "quantitative", "l_linenumber": "qualitative"})
 
 
-@query("n12_temporal_columns")
+@query("n12_temporal_columns", """SELECT column_name AS column, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS physical,
+  CASE WHEN column_name = 'l_shipdate' THEN 'datetime' END AS semantic, column_name = 'l_shipdate' AS is_temporal FROM information_schema.columns WHERE table_name = 'lineitem'""")
 def n12(spark, sf):
     return N.temporal_columns(table(spark, sf, "lineitem").withMetadata("l_shipdate", {"semantic_type": "datetime"}))
 

@@ -28,6 +28,12 @@ def m2(spark, sf):
     return rounded(L.pca(lines(spark, sf).select(*KEY[:2], *NUM), NUM, 2))
 
 
+@query("m2_pca_first_axis", """WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s, avg(l_extendedprice) AS b, stddev_pop(l_extendedprice) AS t FROM lineitem)
+  SELECT l_orderkey, l_linenumber, round(((l_quantity - a) / s + (l_extendedprice - b) / t) / sqrt(2), 6) AS pc1 FROM lineitem, m""")
+def m2f(spark, sf):
+    return rounded(L.pca(lines(spark, sf).select(*KEY[:2], "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 1).select(*KEY[:2], "pc1"))
+
+
 @query("m2_pca_variance", """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) SELECT CAST(1 AS INTEGER) AS component, round((1 + abs(r)) / 2, 6) AS explained, round((1 + abs(r)) / 2, 6) AS cumulative, CAST(CASE WHEN (1 + abs(r)) / 2 >= 0.95 THEN 1 ELSE 2 END AS INTEGER) AS needed_for_95 FROM c
   UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6), 1.0, CAST(CASE WHEN (1 + abs(r)) / 2 >= 0.95 THEN 1 ELSE 2 END AS INTEGER) FROM c""")
 def m2v(spark, sf):
@@ -246,6 +252,8 @@ def m26(spark, sf):
     return rounded(M.project_2d(l, NUM, "l_returnflag", KEY))
 
 
-@query("m27_quick_fit")
+@query("m27_quick_fit", f"""WITH {GAPS}, o AS (SELECT o_custkey::DOUBLE AS x, coalesce(o_totalprice, 0) AS y, (row_number() OVER (ORDER BY o_orderkey) - 1) * 5 // count(*) OVER () AS f FROM gaps), t AS (SELECT f.f, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM (SELECT DISTINCT f FROM o) f JOIN o ON o.f <> f.f GROUP BY 1),
+  r AS (SELECT o.f, 1 - sum((y - a * x - b) * (y - a * x - b)) / (var_pop(y) * count(*)) AS r2 FROM o JOIN t ON o.f = t.f GROUP BY 1), s AS (SELECT CAST(count(*) AS INTEGER) AS folds, avg(r2) AS m, stddev_pop(r2) AS d FROM r)
+  SELECT (SELECT count(*) FROM o) AS n, (SELECT round(regr_r2(y, x), 6) FROM o) AS r2_train, (SELECT round(sqrt(regr_syy(y, x) * (1 - regr_r2(y, x)) / count(*)), 4) FROM o) AS rmse, folds, round(m, 6) AS mean_score, round(d, 6) AS std_score FROM s""")
 def m27(spark, sf):
-    return rounded(M.quick_fit(gaps(spark, sf), "o_totalprice", ["o_orderkey"]))
+    return rounded(M.quick_fit(gaps(spark, sf), "o_totalprice", ["o_orderkey"]), 6, rmse=4)

@@ -333,6 +333,8 @@ def v7(spark, sf):
     return Q.check_ml_inputs(gaps(spark, sf), ["o_totalprice", "o_custkey"], "o_orderpriority", "classification")
 
 
-@query("v8_validation_suite")
+@query("v8_validation_suite", f"""WITH {COPIES}, {_SCORE} SELECT 'numeric' AS check, 'error' AS severity, 'o_totalprice' AS subject, (count(*) - count(o_totalprice)) || ' values are not numbers' AS message FROM copies HAVING count(*) > count(o_totalprice)
+  UNION ALL SELECT 'quality', 'warning', 'table', 'score ' || format('{{:.1f}}', greatest(0, 100 - 2 * pct - dpct)) FROM m, d WHERE greatest(0, 100 - 2 * pct - dpct) < 50
+  UNION ALL SELECT 'overall', 'info', 'table', CASE WHEN count(*) > count(o_totalprice) THEN 'invalid' ELSE 'valid' END FROM copies""")
 def v8(spark, sf):
     return Q.validation_suite(copies(spark, sf))

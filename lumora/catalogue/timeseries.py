@@ -101,6 +101,12 @@ def t11(spark, sf):
     return rounded(T.pacf(daily_by_priority(spark, sf), "ts", "value", 40, K))
 
 
+@query("t11_pacf_two_lags", f"""WITH {DAILY}, {_ACF.format(src='daily', L=2)}, v AS (SELECT max(CASE WHEN lag = 1 THEN r END) AS a, max(CASE WHEN lag = 2 THEN r END) AS b FROM r)
+  SELECT CAST(0 AS INTEGER) AS lag, 1.0::DOUBLE AS pacf FROM v UNION ALL SELECT 1, round(a, 6) FROM v UNION ALL SELECT 2, round((b - a * a) / (1 - a * a), 6) FROM v""")
+def t11two(spark, sf):
+    return rounded(T.pacf(daily(spark, sf), "ts", "value", 2))
+
+
 @query("t12_ljung_box", f"""WITH {DAILY}, {_ACF.format(src='daily', L=10)} SELECT lag, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag), 6) AS q FROM r WHERE lag > 0""")
 def t12(spark, sf):
     return rounded(T.ljung_box(daily(spark, sf), "ts", "value", 10).select("lag", "q"))
@@ -118,6 +124,15 @@ def t14(spark, sf):
     return rounded(T.trend(daily_by_priority(spark, sf), "ts", "value", K).drop("p_value"), 6, intercept=3, r_squared=8)
 
 
+@query("t15_granger_first_lag", f"""WITH {DAILY}, i AS (SELECT value AS a, orders::DOUBLE AS b, lag(value) OVER (ORDER BY ts) AS la, lag(orders::DOUBLE) OVER (ORDER BY ts) AS lb FROM daily), u AS (SELECT 'value' AS cause, 'orders' AS effect, b AS y, lb AS x, la AS z FROM i WHERE la IS NOT NULL UNION ALL SELECT 'orders', 'value', a, la, lb FROM i WHERE la IS NOT NULL),
+  s AS (SELECT cause, effect, count(*) AS n, var_pop(y) AS yy, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(x, z) AS xz FROM u GROUP BY 1, 2),
+  r AS (SELECT *, n * (yy - xy * xy / xx) AS rr, n * (yy - (zz * xy * xy - 2 * xz * xy * zy + xx * zy * zy) / (xx * zz - xz * xz)) AS ru FROM s)
+  SELECT cause, effect, CAST(1 AS INTEGER) AS lag, round((rr - ru) / (ru / (n - 3)), 4) AS f FROM r""")
+def t15one(spark, sf):
+    d = daily(spark, sf).withColumn("orders", F.col("orders").cast("double"))
+    return rounded(T.granger(d, "ts", ["value", "orders"], 1).drop("p_value"), 4)
+
+
 @query("t15_granger")
 def t15(spark, sf):
     return rounded(T.granger(daily(spark, sf).withColumn("orders", F.col("orders").cast("double")), "ts", ["value", "orders"], 4), 5)
@@ -146,9 +161,13 @@ def t20(spark, sf):
     return A.anomalies_dbscan(table(spark, sf, "events").select("event_id", "user_id", "value"), "value", ["event_id"], 0.25, 5, ["user_id"])
 
 
-@query("t21_anomalies_lof")
+@query("t21_anomalies_lof", """WITH p AS (SELECT event_id, value, stddev_pop(value) OVER () AS s, row_number() OVER (ORDER BY value, event_id) AS pos FROM events),
+  n AS (SELECT a.pos, b.pos AS near, abs(a.value - b.value) / a.s AS d, row_number() OVER (PARTITION BY a.pos ORDER BY abs(a.value - b.value), b.pos) AS r FROM p a JOIN p b ON b.pos BETWEEN a.pos - 20 AND a.pos + 20 AND a.pos <> b.pos QUALIFY r <= 20),
+  k AS (SELECT pos, max(d) AS kd FROM n GROUP BY 1), l AS (SELECT n.pos, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.pos = n.near GROUP BY 1),
+  f AS (SELECT n.pos, avg(b.lrd) / max(a.lrd) AS lof FROM n JOIN l b ON b.pos = n.near JOIN l a ON a.pos = n.pos GROUP BY 1), c AS (SELECT quantile_cont(lof, 0.9) AS cut FROM f)
+  SELECT event_id, value, round(lof, 5) AS lof FROM p JOIN f ON p.pos = f.pos, c WHERE lof > cut""")
 def t21(spark, sf):
-    return rounded(A.anomalies_lof(table(spark, sf, "events").select("event_id", "value"), "value", ["event_id"]))
+    return rounded(A.anomalies_lof(table(spark, sf, "events").select("event_id", "value"), "value", ["event_id"]), 5)
 
 
 @query("t23_anomaly_summary", """WITH m AS (SELECT avg(value) AS a, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM events)
@@ -170,6 +189,13 @@ def t31k(spark, sf):
     return T.future_dates(daily_by_priority(spark, sf), "ts", 5, K)
 
 
-@query("t32_series_summary")
+@query("t32_series_summary", f"""WITH {DAILY}, i AS (SELECT ts, value, orders::DOUBLE AS orders, row_number() OVER (ORDER BY ts) - 1 AS k FROM daily), u AS (SELECT 'value' AS v, ts, k, value AS x FROM i UNION ALL SELECT 'orders', ts, k, orders FROM i),
+  s AS (SELECT v, regr_slope(x, k) AS sl, corr(x, k) * sqrt((count(*) - 2) / (1 - corr(x, k) * corr(x, k))) AS t, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM u GROUP BY 1),
+  mv AS (SELECT v, month(ts) AS m, var_samp(x) AS w FROM u GROUP BY 1, 2), se AS (SELECT v, stddev_samp(w) > avg(w) * 0.5 AS f FROM mv GROUP BY 1),
+  o AS (SELECT u.v, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) > 0 AS h FROM u JOIN s ON u.v = s.v GROUP BY 1),
+  a AS (SELECT bool_or(abs(t) > 1.961 AND sl > 0) AS up, bool_or(abs(t) > 1.961 AND sl <= 0) AS down FROM s), b AS (SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM daily),
+  g AS (SELECT coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM se WHERE f), '') AS sv, coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM o WHERE h), '') AS ov, (SELECT count(*) FROM o WHERE h) AS oc)
+  SELECT n, first_ts, last_ts, CAST(date_diff('day', first_ts, last_ts) AS INTEGER) AS period_days, CAST(2 AS INTEGER) AS variables, CASE WHEN up THEN 'Creciente' WHEN down THEN 'Decreciente' ELSE 'Estable' END AS overall_trend, sv AS seasonal_variables, ov AS outlier_variables,
+  0.0::DOUBLE AS missing_pct, 'Excelente' AS quality, concat_ws(',', CASE WHEN oc > 1 THEN 'many_outlier_variables' END, CASE WHEN n < 30 THEN 'few_observations' END, CASE WHEN sv = '' AND n > 365 THEN 'no_seasonality' END) AS alerts, CASE WHEN n >= 100 THEN 'Excelente' ELSE 'Buena' END AS recommendation FROM a, b, g""")
 def t32(spark, sf):
     return rounded(T.series_summary(daily(spark, sf), "ts", ["value", "orders"]))

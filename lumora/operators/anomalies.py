@@ -28,15 +28,16 @@ def anomalies_iqr(df: DataFrame, value: str, k: float = 1.5, keys: Sequence[str]
 
 
 def _by_value(df: DataFrame, value: str, keys: Sequence[str], tie: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Standardised values (population deviation) with positions in value order."""
+    """Values `_x`, standardised `_z` (population deviation `_s`), with positions in value order."""
     keys = list(keys)
     base = df.where(F.col(value).isNotNull())
     m = base.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))
-    scored = _attach(base, m, keys).withColumn("_z", F.coalesce(z, F.lit(0.0))).drop("_m", "_s")
+    scored = _attach(base, m, keys).withColumn("_z", F.coalesce(z, F.lit(0.0)))
+    scored = scored.withColumn("_x", F.col(value).cast("double")).drop("_m")
     scored = cut_lineage(scored)
     small = is_small(scored)
-    return ordered_index(scored, ["_z", *tie], keys, small=small), small
+    return ordered_index(scored, ["_x", *tie], keys, small=small), small
 
 
 def anomalies_dbscan(
@@ -78,12 +79,16 @@ def lof_scores(df: DataFrame, value: str, tie: Sequence[str], k: int = 20, keys:
     placed, small = _by_value(df, value, keys, tie)
 
     def nearest(w, extra: Sequence[str]) -> Column:
-        """The k nearest rows as structs (distance, place, extra…), the row itself left out."""
+        """The k nearest rows as structs (standardised distance, extra…), the row itself left out.
+
+        Ranked by the unscaled gap, which does not depend on how sums were rounded; ties by place.
+        """
         frame = w.rowsBetween(-k, k)
-        rows = F.collect_list(F.struct("_z", "_pos", *extra)).over(frame)
+        rows = F.collect_list(F.struct("_x", "_pos", *extra)).over(frame)
         others = F.filter(rows, lambda r: r["_pos"] != F.col("_pos"))
-        ranked = F.array_sort(F.transform(others, lambda r: F.struct(F.abs(r["_z"] - F.col("_z")).alias("d"), r["_pos"].alias("p"), *[r[e].alias(e) for e in extra])))
-        return F.slice(ranked, 1, k)
+        ranked = F.array_sort(F.transform(others, lambda r: F.struct(F.abs(r["_x"] - F.col("_x")).alias("gap"), r["_pos"].alias("p"), *[r[e].alias(e) for e in extra])))
+        scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
+        return F.transform(F.slice(ranked, 1, k), lambda r: F.struct((r["gap"] / scale).alias("d"), *[r[e].alias(e) for e in extra]))
 
     def mean(items: Column, of) -> Column:
         return F.try_divide(F.aggregate(items, F.lit(0.0), lambda a, r: a + of(r)), F.size(items))

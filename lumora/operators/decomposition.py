@@ -189,7 +189,7 @@ def change_points(
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     placed, _ = positions(base, ts, keys)
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("_y").alias("_s"), F.avg("_y").alias("_m"))
-    # squared gaps of independent normal values have median 0.9099·σ²·… : 2σ² times the χ²₁ median
+    # squared gaps of independent normal values have median 2σ² times the median of χ² with one degree of freedom
     stats = stats.select(*keys, "_n", "_m", F.greatest(F.lit(JUMP), F.ceil(F.col("_n") / MAX_BLOCKS)).cast("long").alias("_jump"),
                          F.coalesce(F.try_divide(F.lit(1.0), 2 * 0.454936423119572 * F.col("_s") * F.col("_s")), F.lit(1.0)).alias("_gamma"))
     t, w = np.polynomial.hermite.hermgauss(nodes)
