@@ -161,22 +161,23 @@ def _upper(corr: DataFrame, cols: Sequence[str]) -> DataFrame:
     return corr.where(place[F.col("var1")] < place[F.col("var2")])
 
 
-def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7, top: int | None = None) -> DataFrame:
+def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7, top: int | None = None, corr: DataFrame | None = None) -> DataFrame:
+    """Pairs above the threshold, strongest first; `corr` reuses a correlation table."""
     r = F.abs("r")
-    found = _upper(corr_matrix(df, cols), cols).where(r > threshold).select(
+    found = _upper(corr_matrix(df, cols) if corr is None else corr, cols).where(r > threshold).select(
         "var1", "var2", "r", F.when(r > 0.9, "Muy fuerte").otherwise("Fuerte").alias("strength")).orderBy(F.desc(r), "var1", "var2")
     return found.limit(top) if top else found
 
 
-def most_correlated_pair(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    best = _upper(corr_matrix(df, cols), cols).where(F.col("r").isNotNull()).agg(
+def most_correlated_pair(df: DataFrame, cols: Sequence[str], corr: DataFrame | None = None) -> DataFrame:
+    best = _upper(corr_matrix(df, cols) if corr is None else corr, cols).where(F.col("r").isNotNull()).agg(
         F.max_by(F.struct("var1", "var2", "r"), F.abs("r")).alias("_b"))
     return best.select("_b.*")
 
 
-def vif_approx(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def vif_approx(df: DataFrame, cols: Sequence[str], corr: DataFrame | None = None) -> DataFrame:
     """1/(1 − max r²) per variable; infinite from |r| ≥ .99; flagged above 10."""
-    best = corr_matrix(df, cols).where("var1 <> var2").groupBy(F.col("var1").alias("variable")).agg(F.max(F.abs("r")).alias("max_r"))
+    best = (corr_matrix(df, cols) if corr is None else corr).where("var1 <> var2").groupBy(F.col("var1").alias("variable")).agg(F.max(F.abs("r")).alias("max_r"))
     vif = F.when(F.col("max_r") < 0.99, 1 / (1 - F.col("max_r") * F.col("max_r"))).otherwise(F.lit(float("inf")))
     return best.select("variable", "max_r", vif.alias("vif"), (vif > 10).alias("high"))
 

@@ -15,6 +15,7 @@ from lumora.operators.bivariate import corr_matrix, most_correlated_pair, strong
 from lumora.operators.relational import data_columns, data_names, moment_names, numeric_names, text_names
 from lumora.operators.schema import scale
 from lumora.operators.timeseries import trend
+from lumora.plans.sizing import cut_lineage
 
 DIGITS = 6
 # Words that mark a time column in the temporal section.
@@ -87,9 +88,10 @@ def descriptive_section(df: DataFrame, max_vars: int = 10) -> DataFrame:
             items(U.distribution_type(df, numeric[:5]), "descriptive", "distribution", ["variable"]),
         ]
     if len(numeric) > 1:
+        corr = cut_lineage(corr_matrix(df, numeric))  # one pass over the table for both items
         parts += [
-            items(corr_matrix(df, numeric), "descriptive", "correlation", ["var1", "var2"]),
-            items(most_correlated_pair(df, numeric), "descriptive", "most_correlated", ["var1", "var2"], kind="finding"),
+            items(corr, "descriptive", "correlation", ["var1", "var2"]),
+            items(most_correlated_pair(df, numeric, corr), "descriptive", "most_correlated", ["var1", "var2"], kind="finding"),
         ]
     if text:
         parts.append(items(U.describe_categorical(df, text), "descriptive", "categorical", ["variable"]))
@@ -100,11 +102,12 @@ def descriptive_section(df: DataFrame, max_vars: int = 10) -> DataFrame:
 
 def correlation_section(df: DataFrame, max_vars: int | None = None) -> DataFrame:
     numeric = numeric_names(df)[:max_vars]
-    pairs = strong_pairs(df, numeric)
+    corr = cut_lineage(corr_matrix(df, numeric))  # one pass over the table for all items
+    pairs = strong_pairs(df, numeric, corr=corr)
     return _union([
-        items(corr_matrix(df, numeric), "correlation", "matrix", ["var1", "var2"]),
+        items(corr, "correlation", "matrix", ["var1", "var2"]),
         items(pairs, "correlation", "strong", ["var1", "var2"], kind="finding"),
-        items(vif_approx(df, numeric), "correlation", "vif", ["variable"]),
+        items(vif_approx(df, numeric, corr), "correlation", "vif", ["variable"]),
         items(pairs.agg(F.count(F.lit(1)).alias("strong_pairs")), "correlation", kind="finding"),
     ])
 

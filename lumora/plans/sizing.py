@@ -6,6 +6,7 @@ import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 #: Above this many rows nothing may be windowed or sorted as one group.
 SMALL_ROWS = 1_000_000
@@ -13,6 +14,8 @@ SMALL_ROWS = 1_000_000
 PERCENTILE_ROWS = 5_000_000
 #: Above this many rows a join side is shuffled, never broadcast.
 BROADCAST_ROWS = 100_000
+#: And above this many bytes of text and array content.
+BROADCAST_BYTES = 64 * 1024 * 1024
 #: Rows a range partition should hold.
 ROWS_PER_PARTITION = 2_000_000
 
@@ -54,12 +57,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count; beyond the limit the join shuffles.
+    """Broadcast hint behind a check of rows and bytes; beyond the limits the join shuffles.
 
     The side is computed once, pinned, and then counted and joined from the pinned rows.
     """
     pinned = cut_lineage(df)
-    return F.broadcast(pinned) if pinned.count() <= limit else pinned
+    wide = F.lit(0).cast("long")
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            wide = wide + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            wide = wide + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    rows, size = pinned.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return F.broadcast(pinned) if rows <= limit and size <= BROADCAST_BYTES else pinned
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
