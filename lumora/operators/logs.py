@@ -24,16 +24,16 @@ def _matches(line: Column, pattern: str) -> Column:
 
 
 def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add `ts`: the first timestamp in the line, null when there is none or it is no date."""
-    text = F.regexp_extract(F.col(line), TIMESTAMP_PATTERN, 1)
-    return df.withColumn("ts", F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")))
+    """Add `ts`: the first wall-clock time in the line (no time zone), null when there is none or it is no date."""
+    text = F.nullif(F.regexp_extract(F.col(line), TIMESTAMP_PATTERN, 1), F.lit(""))
+    return df.withColumn("ts", text.try_cast("timestamp_ntz"))
 
 
 def recent(df: DataFrame, cutoff: str | None) -> Column:
     """Lines at or after the cutoff, and lines without a timestamp."""
     if cutoff is None:
         return F.lit(True)
-    return F.col("ts").isNull() | (F.col("ts") >= F.lit(cutoff).cast("timestamp"))
+    return F.col("ts").isNull() | (F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz"))
 
 
 def recent_log(df: DataFrame, cutoff: str | None, line: str = "line") -> DataFrame:
@@ -120,7 +120,7 @@ def metric_summary(df: DataFrame, cutoff: str | None = None) -> DataFrame:
     """(resource, records, mean, max, min) over records after the cutoff."""
     kept = df
     if cutoff is not None:
-        kept = df.where(F.col("timestamp").try_cast("timestamp") > F.lit(cutoff).cast("timestamp"))
+        kept = df.where(F.col("timestamp").try_cast("timestamp_ntz") > F.lit(cutoff).cast("timestamp_ntz"))
     parts = ["cpu", "memory", "disk"]
     wide = kept.agg(F.count(F.lit(1)).alias("records"), *[f(f"{p}.percent").alias(f"{p}_{n}") for p in parts for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
     entries = F.array(*[F.struct(F.lit(p).alias("resource"), *[F.col(f"{p}_{n}").alias(n) for n in ("mean", "max", "min")]) for p in parts])

@@ -401,9 +401,8 @@ def future_dates(df: DataFrame, ts: str, horizon: int, keys: Sequence[str] = ())
     keys = list(keys)
     placed, small = positions(df.select(*keys, ts), ts, keys)
     gaps = sliding(placed, "_pos", 1, 0, lambda w: {"_prev": F.lag(ts, 1).over(w)}, keys, small)
-    sec = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    prev = F.unix_micros(F.col("_prev").cast("timestamp")) / 1e6
-    gaps = gaps.select(*keys, ts, (sec - prev).alias("_gap"), F.months_between(ts, "_prev").alias("_months"))
+    gap = (F.col(ts) - F.col("_prev")).cast("interval second").cast("decimal(18,6)").cast("double")
+    gaps = gaps.select(*keys, ts, gap.alias("_gap"), F.months_between(ts, "_prev").alias("_months"))
     facts = gaps.groupBy(*keys).agg(
         F.max(ts).alias("_last"), F.min((F.dayofmonth(ts) == 1).cast("int")).alias("_first_days"), F.min("_months").alias("_mn"), F.max("_months").alias("_mx"))
     med = quantiles(gaps, "_gap", [0.5], keys, ["_median"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumora.operators import logs as L
@@ -21,13 +21,25 @@ def tail_logs(lines: DataFrame) -> DataFrame:
     return L.classify_live(L.parse_log(lines))
 
 
+def _event_time(wall: Column) -> Column:
+    """Wall-clock time as an instant (read as UTC): watermarks need instants, and the session zone must not move windows."""
+    since = (wall - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)")
+    return F.timestamp_seconds(since)
+
+
+def _wall_clock(instant: Column) -> Column:
+    seconds = (F.unix_micros(instant) / 1000000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def window_counts(lines: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Level and category counts per event-time window. Lines later than the watermark are dropped; state stays bounded."""
     marked = L.classify_log(L.parse_log(lines)).where(F.col("ts").isNotNull()).withColumn("_in", F.lit(True))
+    marked = marked.withColumn("_event", _event_time(F.col("ts")))
     if marked.isStreaming:
-        marked = marked.withWatermark("ts", delay)
-    counts = marked.groupBy(F.window("ts", window).alias("_w")).agg(*L._counters())
-    return counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in counts.columns if c != "_w"])
+        marked = marked.withWatermark("_event", delay)
+    counts = marked.groupBy(F.window("_event", window).alias("_w")).agg(*L._counters())
+    return counts.select(_wall_clock(F.col("_w.start")).alias("window_start"), _wall_clock(F.col("_w.end")).alias("window_end"), *[c for c in counts.columns if c != "_w"])
 
 
 def stream_alerts(lines: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

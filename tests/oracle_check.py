@@ -73,7 +73,7 @@ def main():
     sf = args[0] if args else "/root/testdata/sf0.01"
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
+        .config("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "UTC")).config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
