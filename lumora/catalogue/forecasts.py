@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.catalogue.registry import DAILY, DAILY_BY_PRIORITY, MONTHLY, daily, daily_by_priority, monthly, query, rounded
+from lumora.catalogue.registry import DAILY, MONTHLY, daily, daily_by_priority, monthly, query, rounded
 from lumora.catalogue.timeseries import SHIFT, shifted
 from lumora.operators import decomposition as D
 from lumora.operators import forecasting as FC

@@ -60,8 +60,7 @@ def p8(spark, sf):
     return P.dedupe_first(o, ["ts"], ["o_orderkey"])
 
 
-@query("p9_duplicate_rows", f"""WITH {COPIES}, g AS (SELECT count(*) AS c FROM copies GROUP BY ALL
-    HAVING true), k AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, count(*) AS c FROM copies GROUP BY ALL)
+@query("p9_duplicate_rows", f"""WITH {COPIES}, k AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, count(*) AS c FROM copies GROUP BY ALL)
   SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows,
     round(sum(c - 1) * 100.0 / sum(c), 6) AS duplicate_percentage FROM k""")
 def p9(spark, sf):

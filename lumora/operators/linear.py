@@ -100,8 +100,9 @@ def cross_validate_linear(df: DataFrame, features: Sequence[str], target: str, f
 # ---------------------------------------------------------------- components and factors
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
-    """Each column turned so that its largest loading is positive."""
-    top = np.abs(vectors).argmax(axis=0)
+    """Each column turned so that its largest loading (the first of equal ones) is positive."""
+    size = np.abs(vectors)
+    top = (size >= size.max(axis=0) - 1e-9).argmax(axis=0)
     return vectors * np.where(vectors[top, range(vectors.shape[1])] < 0, -1.0, 1.0)
 
 

@@ -19,10 +19,10 @@ from lumora.functions.columns import DATE_FORMATS, to_moment
 from lumora.functions.numeric import chi2_p, f_sf, t_p
 from lumora.operators.quality import _stack, quality_label
 from lumora.operators.relational import dedupe_first, moment_names, numeric_names
-from lumora.operators.univariate import box_stats, histogram, jarque_bera, outlier_report, qq_points, shapiro_wilk
+from lumora.operators.univariate import box_stats, histogram, outlier_report, qq_points, shapiro_wilk
 from lumora.plans.gram import solve, unpack, vector_products
 from lumora.plans.order import lags, ordered_index, sliding
-from lumora.plans.quantiles import column_quantiles, quantiles
+from lumora.plans.quantiles import quantiles
 from lumora.plans.sizing import broadcast_if_small, cut_lineage, is_small, join_on
 
 

@@ -108,6 +108,12 @@ def test_corr_matrix_is_pairwise_complete(spark):
             assert got[u, v][0] == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])
 
 
+def test_rank_correlation_tables(spark, mixed):
+    for method, single in (("spearman", B.spearman), ("kendall", B.kendall)):
+        got = {(r["var1"], r["var2"]): r["r"] for r in B.rank_corr_matrix(mixed[1], ["x", "y", "t"], method).collect()}
+        assert len(got) == 3 and got["y", "x"] == pytest.approx(single(mixed[1], "y", "x").first()["statistic"])
+
+
 def test_correlation_is_two_by_two(spark, mixed):
     corr = B.corr_matrix(mixed[1], ["x", "y"])
     assert corr.count() == 4 and Q.check_corr_matrix(corr).first()["square"]
