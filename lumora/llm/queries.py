@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import quality_rules
+from lumora.llm import bpe, line_dedup, quality_rules
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,34 @@ verdicts AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repea
 @register("op9_quality_rules", f"WITH {QUALITY_SQL.format(source='documents')} SELECT * FROM verdicts")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
+#: Shortened texts of every row of `{source}`.
+LINES_SQL = r"""
+l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {source}),
+places AS (SELECT doc_id, p, ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS p FROM l WHERE len(ls) >= 3)),
+wins AS (SELECT doc_id, p, array_to_string(ls[p:p + 2], chr(10)) AS win FROM places),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, p) AS k FROM wins WHERE regexp_matches(win, '[^\x20\x09-\x0D]')),
+gone AS (SELECT doc_id, list(DISTINCT p + o) AS at FROM ranked CROSS JOIN (VALUES (0), (1), (2)) AS v(o) WHERE k > 1 GROUP BY doc_id),
+shortened AS (SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(at), 0)::BIGINT AS n_removed,
+                     CASE WHEN at IS NULL THEN text
+                          ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(at, i)), chr(10)) END AS kept_text
+              FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id)"""
+
+
+@register("op1_line_dedup", f"WITH {LINES_SQL.format(source='documents')} SELECT * FROM shortened")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@register("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Number of tokens, and digests of ids and decoded text."""
+    made = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return made.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
