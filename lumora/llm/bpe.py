@@ -22,10 +22,13 @@ from lumora.llm.shared import id_and_text
 
 #: Bound of the vocabulary file, which every executor gets.
 VOCABULARY_BYTES = 64 * 1024 * 1024
-#: Chunks of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 48
+#: Words whose ids a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 48
 #: Texts handed on at once; a batch ends sooner when it holds this many bytes.
 BATCH_ROWS, BATCH_BYTES = 256, 8 * 1024 * 1024
+#: Up to this many symbols a plain search finds the next merge faster than a heap.
+SHORT = 48
+NO_MERGE = (1 << 60, 0)
 END = "</w>"
 #: White space of the vocabulary's normaliser. str.split() takes four control characters more.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -41,23 +44,31 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _class_of(major: str) -> str:
-    """All characters of a general category, as ranges of a character class."""
-    ranges: list[list[int]] = []
-    for code in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(code))[0] == major:
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
+def character_tables() -> dict:
+    """Letters and numbers as character classes, and lower-case forms that differ from Python's.
+
+    They come from the Unicode tables that the vocabulary's own library was built with, which may be older or newer.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    text = "".join(every)
+    tables: dict = {}
+    for name in "LN":
+        runs = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True).pre_tokenize_str(text)
+        tables[name] = "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in runs)
+    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    lowered = dict(zip(every, [*lowered[:10], "\n", *lowered[12:]]))  # the line feed itself made two empty lines
+    tables["lower"] = {c: low for c, low in lowered.items() if low != c.lower()}
+    return tables
 
 
 class Vocabulary:
     """Encoder and decoder; one per Python worker."""
 
     def __init__(self, spec: str):
-        model = json.loads(spec)
+        shared = json.loads(spec)
+        model, tables = shared["model"], shared["tables"]
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.names = {i: name for name, i in model["model"]["vocab"].items()} | {i: name for name, i in self.special.items()}
         ids = model["model"]["vocab"]
@@ -76,16 +87,27 @@ class Vocabulary:
             inside = [of_letter[c] for c in (name[: -len(END)] if ends else name) if c in of_letter]
             for k, (a, b) in enumerate(zip(inside, inside[1:])):
                 (self.beside_end if ends and k == len(inside) - 2 else self.beside)[a << 8 | b] = 1
-        letter, number = _class_of("L"), _class_of("N")
+        letter, number = tables["L"], tables["N"]
+        self.lower = str.maketrans(tables["lower"] | {"Σ": "σ"})
+        self.unusual = re.compile("[" + "".join(map(re.escape, map(chr, self.lower))) + "]")
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
     def _fragment(self, symbols: list[int]) -> list[int]:
         """Merge the pair of the lowest rank, the leftmost first, until none is left. A heap keeps long fragments cheap."""
-        merged = self.merged
-        n = len(symbols)
-        if n == 1:
+        merged, n = self.merged, len(symbols)
+        if n <= SHORT:
+            found = merged.get
+            pairs = [found(pair, NO_MERGE) for pair in zip(symbols, symbols[1:])]
+            while pairs and (best := min(pairs)) is not NO_MERGE:
+                i = pairs.index(best)
+                symbols[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = found((symbols[i - 1], best[1]), NO_MERGE)
+                if i < len(pairs):
+                    pairs[i] = found((best[1], symbols[i + 1]), NO_MERGE)
             return symbols
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(*found, i) for i in range(n - 1) if (found := merged.get((symbols[i], symbols[i + 1])))]
@@ -116,11 +138,12 @@ class Vocabulary:
         return out + self._fragment(symbols[start:])
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of text without white space."""
-        ids = array("I")
-        for piece in self.piece.findall(chunk):
-            ids.extend(self._piece(piece.encode()))
-        found = _little(ids)
+        """Ids of text without white space. Words are remembered without the marks around them."""
+        pieces = self.piece.findall(chunk)
+        if len(pieces) > 1:
+            known, make = self.known.get, self._chunk
+            return b"".join([known(p) or make(p) for p in pieces])
+        found = _little(array("I", self._piece(chunk.encode())))
         if len(chunk) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -128,7 +151,10 @@ class Vocabulary:
         return found
 
     def _plain(self, text: str) -> list[bytes]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text)
+        if self.unusual.search(text):
+            text = text.translate(self.lower)
+        text = text.lower()
         chunks = SPACE.split(text) if NOT_SPACE.search(text) else text.split()
         known, make = self.known.get, self._chunk
         return [known(c) or make(c) for c in chunks if c]
@@ -156,6 +182,11 @@ def _little(ids: array) -> bytes:
     return ids.tobytes()
 
 
+def with_tables(spec: str) -> str:
+    """What a `Vocabulary` is made of: the vocabulary file's content and the character tables."""
+    return json.dumps({"model": json.loads(spec), "tables": character_tables()})
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
@@ -166,7 +197,7 @@ def _shared_spec(spark: SparkSession, path: str):
         spec = f.read(VOCABULARY_BYTES + 1)
     if len(spec) > VOCABULARY_BYTES:
         raise ValueError(f"{path} holds more than {VOCABULARY_BYTES} characters")
-    return spark.sparkContext.broadcast(spec)
+    return spark.sparkContext.broadcast(with_tables(spec))
 
 
 def _mapped(df: DataFrame, path: str, schema: str, columns: Callable[[Vocabulary, list], list[tuple[pa.DataType, list]]]) -> DataFrame:
