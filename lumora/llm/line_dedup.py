@@ -35,7 +35,7 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sums, so a window that a third of all documents share is one row per task; the join that finds its occurrences
     is an inner join of two shuffled sides, which adaptive execution splits where a window is that frequent.
     """
-    windows = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), F.explode(_windows(F.col("text"), width)).alias("w")).select(
+    windows = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), F.explode_outer(_windows(F.col("text"), width)).alias("w")).where("w IS NOT NULL").select(
         "doc_id", "print", "w.pos", "w.h1", "w.h2"
     )
     place = F.struct("doc_id", "print", "pos")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, line_dedup, quality_rules
+from lumora.llm import bpe, decontamination, line_dedup, quality_rules
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,10 +66,10 @@ l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {source}),
 places AS (SELECT doc_id, p, ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS p FROM l WHERE len(ls) >= 3)),
 wins AS (SELECT doc_id, p, array_to_string(ls[p:p + 2], chr(10)) AS win FROM places),
 ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, p) AS k FROM wins WHERE regexp_matches(win, '[^\x20\x09-\x0D]')),
-gone AS (SELECT doc_id, list(DISTINCT p + o) AS at FROM ranked CROSS JOIN (VALUES (0), (1), (2)) AS v(o) WHERE k > 1 GROUP BY doc_id),
-shortened AS (SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(at), 0)::BIGINT AS n_removed,
-                     CASE WHEN at IS NULL THEN text
-                          ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(at, i)), chr(10)) END AS kept_text
+gone AS (SELECT doc_id, list(DISTINCT p + o) AS covered FROM ranked CROSS JOIN (VALUES (0), (1), (2)) AS v(o) WHERE k > 1 GROUP BY doc_id),
+shortened AS (SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(covered), 0)::BIGINT AS n_removed,
+                     CASE WHEN covered IS NULL THEN text
+                          ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(covered, i)), chr(10)) END AS kept_text
               FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id)"""
 
 
@@ -89,3 +89,24 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return made.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+#: Words and hits of every row of `{source}`.
+HITS_SQL = r"""
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM {source}),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM benchmark),
+bp AS (SELECT item, ws, least(13, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS p FROM bw WHERE len(ws) > 0),
+bwin AS (SELECT DISTINCT item, n, array_to_string(ws[p:p + n - 1], ' ') AS win FROM bp),
+dp AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM dw CROSS JOIN (SELECT DISTINCT n FROM bwin) WHERE len(ws) >= n),
+found AS (SELECT doc_id, p, n, item FROM (SELECT doc_id, p, n, array_to_string(ws[p:p + n - 1], ' ') AS win FROM dp) JOIN bwin USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM found) GROUP BY doc_id),
+owned AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id),
+judged AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+                  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+           FROM dw LEFT JOIN hits ON dw.doc_id = hits.doc_id LEFT JOIN owned ON dw.doc_id = owned.doc_id)"""
+
+
+@register("op2_decontaminate", f"WITH {HITS_SQL.format(source='documents')} SELECT * FROM judged")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
