@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from lumora.llm.shared import fresh, id_and_text
+from lumora.llm.shared import PLAIN, fresh, id_and_text, words_of
 
 #: Words of an item that make a window; an item of fewer words is one window.
 WINDOW = 13
@@ -22,14 +22,6 @@ COVERAGE = 0.05
 BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 256
 
-#: A-Z to a-z, other ASCII characters that belong to no word to a space.
-_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
-
-
 class Automaton:
     """Suffix automaton over the words of many items, with the items that own each window."""
 
@@ -141,7 +133,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without these words and what stands between them."""
-    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_PLAIN))]
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(PLAIN))]
     parts, start = [], 0
     for a, b in spans:
         parts.append(text[start : places[a][0]])

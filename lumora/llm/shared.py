@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumora.plans.sizing import cut_lineage
 
-#: Words as the duplicate and benchmark operators take them, after A-Z became a-z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A-Z to a-z, other ASCII characters that belong to no word to a space.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-case words of a UTF-8 text."""
+    return text.translate(PLAIN).split()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
