@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from lumora.llm.shared import fresh, id_and_text, words_of, written
@@ -186,42 +186,73 @@ def _rooted(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFram
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _shares(texts: DataFrame) -> DataFrame:
+    """(node, total, shared): weight of a node's shingles, and of those that some other node has as well.
+
+    No other node can have more than `shared` in common with it, which bounds its similarity to any of them.
+    """
+    schema = T.StructType([texts.schema["node"], T.StructField("shingle", T.LongType()), T.StructField("weight", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1)):
+                elements, weights = shingles(words_of(text.as_py().encode()))
+                node = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(elements), np.int64)))
+                yield pa.RecordBatch.from_arrays([node, pa.array(elements.view(np.int64)), pa.array(weights)], names=["node", "shingle", "weight"])
+
+    rows = texts.mapInArrow(work, schema)
+    owned = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"), F.max("weight").alias("weight"))
+    alone = owned.where("node = top").groupBy("node").agg(F.sum("weight").alias("alone"))
+    totals = rows.groupBy("node").agg(F.sum("weight").alias("total"))
+    return totals.join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _possible(shared_a: str, total_a: str, shared_b: str, total_b: str, least: float) -> Column:
+    """Whether two nodes can be that similar, by what each shares with any other."""
+    common = F.least(shared_a, shared_b)
+    return common >= least * (F.col(total_a) + F.col(total_b) - common)
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, and class_id, the least id of its class.
 
     Words are lower-cased runs of letters and digits, elements are shingles of five words (shorter texts are one shingle),
     weighted by how often they occur. Texts of equal words are copies: they become one node, named by their least id, so a
-    group of copies costs partial minima only. In each band nodes of one key are linked to the least of them, not to each
-    other; links are checked on whole texts. Where a bucket's other members still belong to several classes, all its pairs
-    between classes are checked too, so that no link is lost to the choice of a centre.
-    Texts without words (null, empty) are classes of their own. Rows of one id are one document. Rows without id have no
-    class (null). An id with several texts joins their classes.
+    group of copies costs partial minima only. In each band the nodes of one key are linked to one centre, not to each
+    other: to the node that shares the largest part of its shingles with others, as the common source of edited copies does.
+    Links are checked on whole texts. Where nodes of a bucket still belong to several classes, the pairs between these
+    classes are checked as well, unless a node's own shingles rule them out, so no link is lost to the choice of a centre.
+    Texts without words (null, empty) are classes of their own. Rows of one id are one document, and an id with several
+    texts joins their classes. Rows without id have no class (null).
     """
     docs = id_and_text(docs, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
     signed = written(_signed(known), "signed")
     nodes = written(signed.groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    placed = nodes.select("node", F.explode_outer("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
-    links = written(placed.join(buckets, "band").where("node > hub").select("band", "hub", "node"), "links")
-
     copies = signed.join(nodes.select("print", "node"), "print").select("doc_id", "node")
     named = written(copies.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("top")), "named")
-    linked = written(links.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(known.join(wanted, known["doc_id"] == wanted["node"]).select("node", "text").where("text IS NOT NULL").distinct(), "texts")
     several = named.where("node < top").select("doc_id", F.col("node").alias("a"))
     same_id = several.join(copies, "doc_id").select("a", F.col("node").alias("b"))
-    edges = written(_verified(linked, texts, least).distinct(), "checked")
-    roots = components(edges)
-
-    members = _rooted(_rooted(links, "node", roots, "root"), "hub", roots, "hub_root")
-    unsure = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rest = written(members.join(unsure, "band").select("band", "node", "root"), "rest")
-    left, right = rest.toDF("band", "a", "root_a"), rest.toDF("band", "b", "root_b")
-    pairs = left.join(right, "band").where("root_a <> root_b AND a < b").select("a", "b").distinct()
-    more = _verified(pairs, texts, least)
-    final = written(components(edges.union(more).union(same_id)), "roots")
+
+    placed = nodes.select("node", F.explode_outer("bands").alias("band"))
+    met = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    members = written(placed.join(met, "band"), "members")
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = written(known.join(wanted, "doc_id", "left_semi").where("text IS NOT NULL").toDF("node", "text").distinct(), "texts")
+    members = written(members.join(_shares(texts), "node"), "members")
+
+    centres = members.groupBy("band").agg(F.min(F.struct((-F.col("shared") / F.col("total")).alias("s"), "node", "total", "shared")).alias("hub"))
+    starred = members.join(centres, "band").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "total", "shared", F.col("hub.total").alias("total_a"), F.col("hub.shared").alias("shared_a"))
+    links = starred.where((F.col("a") != F.col("b")) & _possible("shared", "total", "shared_a", "total_a", least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(_verified(links, texts, least), "edges")
+
+    rooted = _rooted(members, "node", components(edges), "root")
+    unsure = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("total").alias("lightest")).where("low < high").drop("low", "high")
+    best = F.col("shared") >= least * (F.greatest("lightest", "shared") + F.col("total") - F.col("shared"))
+    rest = written(rooted.join(unsure, "band").where(best).select("band", "node", "root", "total", "shared"), "rest")
+    left, right = rest.toDF("band", "a", "root_a", "total_a", "shared_a"), rest.toDF("band", "b", "root_b", "total_b", "shared_b")
+    pairs = left.join(right, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _possible("shared_a", "total_a", "shared_b", "total_b", least)).select("a", "b").distinct()
+    final = components(edges.union(_verified(pairs, texts, least)).union(same_id))
 
     classes = _rooted(named.select("doc_id", "node"), "node", final, "class_id").select("doc_id", "class_id")
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
