@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules
+from lumora.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules, secret_scan
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,31 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_minhash")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def spans_sql(name: str, kind: str, rank: int, pattern: str, keep: str = "TRUE") -> str:
+    """A view of all matches of a pattern in `t(doc_id, text)`: what stands between matches gives their places."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS between FROM t WHERE regexp_matches(text, '{pattern}')),
+{name}_i AS (SELECT doc_id, found, between, unnest(range(1, len(found) + 1)) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, start, start + length(match) AS stop, match
+           FROM (SELECT doc_id, found[i] AS match, length(array_to_string(between[1:i], '')) + length(array_to_string(found[1:i - 1], '')) AS start FROM {name}_i) WHERE {keep})"""
+
+
+def _secret_sql() -> str:
+    views = []
+    for k, r in enumerate(secret_scan.RULES):
+        keep = f"length(regexp_extract(match, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})) >= {r.least}" if r.least > 1 else "TRUE"
+        views.append(spans_sql(f"r{k}", r.kind, k, r.pattern, keep))
+    every = " UNION ALL ".join(f"SELECT doc_id, kind, rank, start, stop FROM r{k}" for k in range(len(secret_scan.RULES)))
+    counts = ", ".join(f"count(rank) FILTER (rank = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE))
+    said = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(views)}, every AS ({every})
+SELECT t.doc_id, {counts}, sha256(coalesce({said} FILTER (rank < {len(secret_scan.BASE)}), '')) AS base_sha256, coalesce({said}, '') AS spans
+FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id"""
+
+
+@register("op6_secret_scan", _secret_sql())
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))

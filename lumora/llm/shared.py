@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -57,11 +57,60 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joined_spans(spans: Column, order: Sequence[str]) -> Column:
-    """`kind:start:end`, comma-joined, of an array of structs with these fields, in the order of the fields named."""
-    sortable = F.transform(spans, lambda s: F.struct(*[s[f] for f in order], s["kind"], s["start"], s["end"]))
-    texts = F.transform(F.sort_array(sortable), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    return F.array_join(texts, ",")
+def _starts(lengths: Column) -> Column:
+    """The sum of all earlier values for each value of an array of whole numbers, by blocks of 64."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda n, x: n + x)
+
+    def inside(before: Column) -> Column:
+        return F.transform(lengths, lambda _, i: F.get(before, (i / 64).cast("int")) + total(F.slice(lengths, i - i % 64 + 1, i % 64)))
+
+    def blocks(sums: Column) -> Column:
+        return let(F.transform(sums, lambda _, c: total(F.slice(sums, F.lit(1), c))), inside)
+
+    last = ((F.size(lengths) - 1) / 64).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), last), lambda c: total(F.slice(lengths, c * 64 + 1, F.lit(64)))), blocks)
+
+
+def pattern_spans(text: Column, pattern: str, *hints: str) -> Column:
+    """All leftmost, non-overlapping matches of a pattern that matches no empty text: array of (start, end, match).
+
+    Positions are code points, `end` is exclusive. What stands between matches gives the positions. The pattern is only
+    tried on texts that hold one of the `hints`. Null, or an empty array, where nothing matches.
+    """
+
+    def placed(found: Column) -> Column:
+        def of(between: Column) -> Column:
+            lengths = F.transform(found, lambda m, i: F.length(between[i]) + F.length(m))
+            return let(_starts(lengths), lambda before: F.transform(found, lambda m, i: F.struct(
+                (before[i] + F.length(between[i])).alias("start"), (before[i] + F.length(between[i]) + F.length(m)).alias("end"), m.alias("match"))))
+
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), of))
+
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
+    if not hints:
+        return spans
+    there = F.contains(text, F.lit(hints[0]))
+    for hint in hints[1:]:
+        there = there | F.contains(text, F.lit(hint))
+    return F.when(there, spans)
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<kind:string,rank:int,start:int,end:int>>")
+
+
+def of_kind(spans: Column, kind: str, rank: int) -> Column:
+    """Spans with their kind and its place in the list of kinds; none if null."""
+    named = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.coalesce(named, no_spans())
+
+
+def joined_spans(spans: Column, first: str, then: str) -> Column:
+    """`kind:start:end`, comma-joined, in the order of these two fields."""
+    keyed = F.transform(spans, lambda s: F.struct(s[first].alias("a"), s[then].alias("b"), s["end"].alias("c"), F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")).alias("said")))
+    return F.array_join(F.transform(F.sort_array(keyed), lambda s: s["said"]), ",")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
