@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules, secret_scan
+from lumora.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sharding
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,49 @@ FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id"""
 @register("op6_secret_scan", _secret_sql())
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def hilbert_of(point: tuple[int, ...], bits: int) -> int:
+    """Place of one cell on the curve, for the tables of SQL and tests."""
+    x, n = list(point), len(point)
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if x[-1] >> b & 1:
+            t ^= (1 << b) - 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+_CURVE = [hilbert_of((c >> 8, c >> 4 & 15, c & 15), 4) for c in range(4096)]
+_SHARD_SQL = f"""
+WITH b AS (SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 16 AS size,
+                  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+d AS (SELECT doc_id, size::BIGINT AS size,
+             xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, {_crc_table()}[(xor(c, v) & 255) + 1]))) AS text_crc32,
+             ('0x' || md5(coalesce(lang, ''))[1:1])::INT * 256 + ('0x' || md5(coalesce(source, ''))[1:1])::INT * 16 + list_sum(list_transform(range(5, 20), lambda k: (size >= (1::BIGINT << k))::INT))::INT AS cell FROM b),
+r AS (SELECT *, row_number() OVER (ORDER BY {_CURVE}[cell + 1], doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM d)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // n)::INT AS shard, (place - ((place * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM r"""
+
+
+@register("op8_sharding", _SHARD_SQL)
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
