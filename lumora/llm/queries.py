@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sharding
+from lumora.llm import bpe, decontamination, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,8 @@ SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 4
 @register("op8_sharding", _SHARD_SQL)
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_private(table(spark, sf_dir, "documents")))

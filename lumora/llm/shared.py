@@ -73,9 +73,11 @@ def _starts(lengths: Column) -> Column:
     return let(F.transform(F.sequence(F.lit(0), last), lambda c: total(F.slice(lengths, c * 64 + 1, F.lit(64)))), blocks)
 
 
-def pattern_spans(text: Column, pattern: str, *hints: str) -> Column:
+def pattern_spans(text: Column, pattern: str, *hints: str, context: tuple[int, int] | None = None) -> Column:
     """All leftmost, non-overlapping matches of a pattern that matches no empty text: array of (start, end, match).
 
+    With `context`, also `before` and `after`: so many characters on either side, up to the next match.
+
     Positions are code points, `end` is exclusive. What stands between matches gives the positions. The pattern is only
     tried on texts that hold one of the `hints`. Null, or an empty array, where nothing matches.
     """
@@ -83,8 +85,15 @@ def pattern_spans(text: Column, pattern: str, *hints: str) -> Column:
     def placed(found: Column) -> Column:
         def of(between: Column) -> Column:
             lengths = F.transform(found, lambda m, i: F.length(between[i]) + F.length(m))
-            return let(_starts(lengths), lambda before: F.transform(found, lambda m, i: F.struct(
-                (before[i] + F.length(between[i])).alias("start"), (before[i] + F.length(between[i]) + F.length(m)).alias("end"), m.alias("match"))))
+
+            def span(before: Column, m: Column, i: Column) -> Column:
+                start = before[i] + F.length(between[i])
+                parts = [start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match")]
+                if context:
+                    parts += [F.substring(between[i], -context[0], context[0]).alias("before"), F.substring(between[i + 1], 1, context[1]).alias("after")]
+                return F.struct(*parts)
+
+            return let(_starts(lengths), lambda before: F.transform(found, lambda m, i: span(before, m, i)))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), of))
 
