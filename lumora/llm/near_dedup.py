@@ -186,25 +186,43 @@ def _rooted(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFram
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+#: Parts into which the hashes of shingles are dealt for the bounds; a power of two.
+PARTS = 64
+
+
 def _shares(texts: DataFrame) -> DataFrame:
-    """(node, total, shared): weight of a node's shingles, and of those that some other node has as well.
+    """(node, total, shared, parts): weight of a text's shingles, and of those that some other node has as well, in all and per part.
 
-    No other node can have more than `shared` in common with it, which bounds its similarity to any of them.
+    Two texts have at most the smaller `shared` in common, and at most the sum of the smaller values over all parts.
     """
-    schema = T.StructType([texts.schema["node"], T.StructField("shingle", T.LongType()), T.StructField("weight", T.LongType())])
+    node = texts.schema["node"]
+    each = T.StructType([node, T.StructField("shingle", T.LongType()), T.StructField("weight", T.LongType())])
+    dealt = T.StructType([node, T.StructField("total", T.LongType()), T.StructField("all_parts", T.ArrayType(T.LongType(), False))])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, text in enumerate(batch.column(1)):
                 elements, weights = shingles(words_of(text.as_py().encode()))
-                node = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(elements), np.int64)))
-                yield pa.RecordBatch.from_arrays([node, pa.array(elements.view(np.int64)), pa.array(weights)], names=["node", "shingle", "weight"])
+                owner = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(elements), np.int64)))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(elements.view(np.int64)), pa.array(weights)], names=each.names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for text in batch.column(1):
+                elements, weights = shingles(words_of(text.as_py().encode()))
+                parts.append(np.bincount((elements % _U(PARTS)).astype(np.int64), weights, PARTS).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(p.sum()) for p in parts], pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=dealt.names)
 
-    rows = texts.mapInArrow(work, schema)
-    owned = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"), F.max("weight").alias("weight"))
-    alone = owned.where("node = top").groupBy("node").agg(F.sum("weight").alias("alone"))
-    totals = rows.groupBy("node").agg(F.sum("weight").alias("total"))
-    return totals.join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    owned = texts.mapInArrow(spread, each).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"), F.max("weight").alias("weight"))
+    part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")  # of a signed hash the last bits are the same
+    own = owned.where("node = top").groupBy("node", part).agg(F.sum("weight").alias("weight"))
+    own = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("own"))
+    single = texts.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")  # an id with several texts gets the wider bound
+    less = F.transform("all_parts", lambda v, k: v - F.coalesce(F.element_at("own", k), F.lit(0)))
+    parts = F.when(F.col("own").isNull(), F.col("all_parts")).otherwise(less)
+    made = texts.mapInArrow(summed, dealt).join(own.join(single, "node"), "node", "left").select("node", "total", parts.alias("parts"))
+    return made.withColumn("shared", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x))
 
 
 def _possible(shared_a: str, total_a: str, shared_b: str, total_b: str, least: float) -> Column:
@@ -221,7 +239,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     group of copies costs partial minima only. In each band the nodes of one key are linked to one centre, not to each
     other: to the node that shares the largest part of its shingles with others, as the common source of edited copies does.
     Links are checked on whole texts. Where nodes of a bucket still belong to several classes, the pairs between these
-    classes are checked as well, unless a node's own shingles rule them out, so no link is lost to the choice of a centre.
+    classes are checked as well, in the first band in which they meet, unless the shingles that each shares with any other
+    rule them out. So no link is lost to the choice of a centre, and nothing is capped.
     Texts without words (null, empty) are classes of their own. Rows of one id are one document, and an id with several
     texts joins their classes. Rows without id have no class (null).
     """
@@ -239,7 +258,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = written(placed.join(met, "band"), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = written(known.join(wanted, "doc_id", "left_semi").where("text IS NOT NULL").toDF("node", "text").distinct(), "texts")
-    members = written(members.join(_shares(texts), "node"), "members")
+    shares = written(_shares(texts), "shares")
+    members = written(members.join(shares.drop("parts"), "node"), "members")
 
     centres = members.groupBy("band").agg(F.min(F.struct((-F.col("shared") / F.col("total")).alias("s"), "node", "total", "shared")).alias("hub"))
     starred = members.join(centres, "band").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "total", "shared", F.col("hub.total").alias("total_a"), F.col("hub.shared").alias("shared_a"))
@@ -250,8 +270,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     unsure = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("total").alias("lightest")).where("low < high").drop("low", "high")
     best = F.col("shared") >= least * (F.greatest("lightest", "shared") + F.col("total") - F.col("shared"))
     rest = written(rooted.join(unsure, "band").where(best).select("band", "node", "root", "total", "shared"), "rest")
-    left, right = rest.toDF("band", "a", "root_a", "total_a", "shared_a"), rest.toDF("band", "b", "root_b", "total_b", "shared_b")
-    pairs = left.join(right, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _possible("shared_a", "total_a", "shared_b", "total_b", least)).select("a", "b").distinct()
+    details = nodes.select("node", "bands").join(rest.select("node").distinct(), "node").join(shares.select("node", "parts"), "node")
+    rest = written(rest.join(details, "node"), "rest")
+    left, right = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "total", "shared", "bands", "parts")]) for x in "ab")
+    first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("band")
+    common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
+    close = common >= least * (F.col("total_a") + F.col("total_b") - common)
+    between = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
+    pairs = left.join(right, "band").where(between & _possible("shared_a", "total_a", "shared_b", "total_b", least) & first & close)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     final = components(edges.union(_verified(pairs, texts, least)).union(same_id))
 
     classes = _rooted(named.select("doc_id", "node"), "node", final, "class_id").select("doc_id", "class_id")

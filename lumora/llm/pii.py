@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumora.llm.shared import id_and_text, joined_spans, let, of_kind, pattern_spans
+from lumora.llm.shared import before_each, id_and_text, joined_spans, let, of_kind, pattern_spans
 
 
 def _digits(match: Column) -> Column:
@@ -98,11 +98,13 @@ def votes(c: Column) -> dict[str, Column]:
 
 def features(c: Column) -> dict[str, Column]:
     """0 or 1 each."""
+    opinions = votes(c)
     number, match, digits = c["kind"] == "number", c["match"], F.length(_digits(c["match"]))
     tests = {
         "handle": c["kind"] == "handle", "spelled": c["kind"] == "spelled_email", "short": number & (digits < 9), "ten": number & digits.between(9, 11), "long": number & (digits > 11),
         "brackets": match.contains("("), "hyphens": number & match.contains("-"), "dots": number & match.contains("."), "spaces": number & match.contains(" "),
         "contact": _said(CONTACT_WORDS, c["before"]), "identity": _said(IDENTITY_WORDS, c["before"]), "other": _said(OTHER_WORDS, c["before"]), "century": number & match.rlike("^(?:19|20)"),
+        "phone_like": opinions["phone_shape"] == 1, "identity_like": opinions["identity_shape"] == 1, "unchecked": opinions["no_check_digit"] == 0,
     }
     return {name: test.cast("int") for name, test in tests.items()}
 
@@ -129,36 +131,62 @@ def candidates(text: Column, base: Column) -> Column:
 
     every = F.concat(*[named(pattern_spans(text, c.pattern, *c.hints, context=CONTEXT), c.kind, len(BASE) + k) for k, c in enumerate(CANDIDATES)])
     free = F.filter(every, lambda c: F.length(_digits(c["match"])).between(6, 19) | (c["kind"] != "number"))
-    return F.filter(free, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return let(free, lambda c: F.when((F.size(c) == 0) | (F.size(base) == 0), c).otherwise(let(_edges(base, c), lambda e: _apart(c, e))))
+
+
+FAR = 2**31 - 1
+
+
+def _edges(base: Column, found: Column) -> Column:
+    """Starts and ends of base spans, and starts and numbers of candidates, in one order; a base span comes first at a tie."""
+    own = F.transform(found, lambda c, i: F.struct(c["start"].alias("start"), F.lit(1).alias("own"), F.lit(0).alias("end"), i.alias("number")))
+    return F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), F.lit(-1).alias("number"))), own))
+
+
+def _apart(found: Column, edges: Column) -> Column:
+    """The candidates that no base span overlaps: none that starts earlier ends behind their start, none starts inside."""
+    ends = before_each(F.transform(edges, lambda e: e["end"]), F.greatest, F.lit(0))
+    starts = F.reverse(before_each(F.reverse(F.transform(edges, lambda e: F.when(e["own"] == 0, e["start"]).otherwise(FAR))), F.least, F.lit(FAR)))
+
+    def of(end: Column, start: Column) -> Column:
+        own = F.filter(F.transform(edges, lambda e, k: F.struct(e["number"].alias("number"), e["start"].alias("start"), end[k].alias("end"), start[k].alias("next"))), lambda x: x["number"] >= 0)
+        free = F.filter(own, lambda x: (x["end"] <= x["start"]) & (x["next"] >= found[x["number"]]["end"]))
+        return F.transform(free, lambda x: found[x["number"]])
+
+    return let(ends, lambda end: let(starts, lambda start: of(end, start)))
 
 
 class Model(NamedTuple):
-    """Weights of the span classifier, and the reliability of each labeler."""
+    """Weights of the span classifier, and how often each labeler votes rightly when it votes on a class."""
 
     intercept: float
     weights: dict[str, float]
     reliability: dict[str, float]
 
 
-def reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 10.0, start: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns: accuracy of each labeler and probability of each pattern.
+def reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns: (labeler, class, outcome) rates, and each pattern's probability to be private.
 
-    `table` has a row per pattern and a column per labeler. An abstention says nothing. Pseudo-counts of `strength`
-    votes at accuracy `start` keep labelers with few votes near it.
+    `table` has a row per pattern and a column per labeler; the outcomes are votes for, against, and abstention. The
+    start is the majority of votes. Pseudo-counts of `strength` spans per class, in which labelers vote rightly ten times as
+    often as wrongly, keep rates of rare votes sensible.
     """
-    voted = table != ABSTAIN
-    accuracy, prior = np.full(table.shape[1], start), 0.5
-    probability = np.full(len(table), prior)
+    expected = np.array([[0.30, 0.03, 0.67], [0.03, 0.30, 0.67]])  # outcomes 0, 1, none; for class 0 and class 1
+    outcomes = np.stack([table == 0, table == 1, table == ABSTAIN], axis=2).astype(float)
+    balance = (table == 1).sum(axis=1) - (table == 0).sum(axis=1)
+    probability = np.where(balance > 0, 0.9, np.where(balance < 0, 0.05, 0.1))
+    rates = np.zeros((table.shape[1], 2, 3))
     for _ in range(rounds):
-        odds = np.log(accuracy / (1 - accuracy))
-        score = np.log(prior / (1 - prior)) + np.where(voted, np.where(table == 1, odds, -odds), 0.0).sum(axis=1)
-        probability = 1 / (1 + np.exp(-score))
-        right = np.where(table == 1, probability[:, None], 1 - probability[:, None]) * voted * counts[:, None]
-        accuracy = (right.sum(axis=0) + strength * start) / ((voted * counts[:, None]).sum(axis=0) + strength)
-        accuracy = np.clip(accuracy, 0.51, 0.99)
-        spoken = voted.any(axis=1)
-        prior = float(np.clip(((probability * counts)[spoken].sum() + strength / 2) / (counts[spoken].sum() + strength), 0.02, 0.98))
-    return accuracy, probability
+        weights = np.stack([(1 - probability) * counts, probability * counts])
+        share = (weights.sum(axis=1) + 1) / (weights.sum() + 2)
+        seen = np.einsum("cp,plo->lco", weights, outcomes)
+        rates = (seen + strength * expected[None]) / (seen.sum(axis=2, keepdims=True) + strength)
+        score = np.log(share[:, None]) + np.einsum("plo,lco->cp", outcomes, np.log(rates))
+        latest = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
+        if np.abs(latest - probability).max() < 1e-9:
+            break
+        probability = latest
+    return rates, probability
 
 
 def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -180,7 +208,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     """Labelers' reliabilities and the span classifier, from all candidates of all documents.
 
     Votes and features are small whole numbers, so their patterns are counted with partial sums, and at most
-    3^10 * 2^13 counts, in practice some hundred, reach the driver. Without candidates the classifier finds nothing.
+    3^10 * 2^16 counts, in practice some hundred, reach the driver. Without candidates the classifier finds nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = id_and_text(docs, id_col, text_col).select(F.explode_outer(let(base_spans(text), lambda base: candidates(text, base))).alias("c")).where("c IS NOT NULL")
@@ -192,10 +220,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     table = np.array([[r[f"v_{n}"] for n in v] for r in rows])
     x = np.array([[r[f"f_{n}"] for n in f] for r in rows], dtype=float)
     counts = np.array([r["n"] for r in rows], dtype=float)
-    accuracy, probability = reliabilities(table, counts)
-    spoken = (table != ABSTAIN).any(axis=1)
-    w = logistic(x[spoken], probability[spoken], counts[spoken]) if spoken.any() else np.zeros(len(f) + 1)
-    return Model(float(w[0]), dict(zip(f, map(float, w[1:]))), dict(zip(v, map(float, accuracy))))
+    rates, probability = reliabilities(table, counts)
+    w = logistic(x, probability, counts)
+    right = (rates[:, 0, 0] + rates[:, 1, 1]) / rates[:, :, :2].sum(axis=(1, 2))
+    return Model(float(w[0]), dict(zip(f, map(float, w[1:]))), dict(zip(v, map(float, right))))
 
 
 def find_private(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

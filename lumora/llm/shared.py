@@ -57,20 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _starts(lengths: Column) -> Column:
-    """The sum of all earlier values for each value of an array of whole numbers, by blocks of 64."""
+def before_each(values: Column, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each value of an array, all earlier ones merged (an associative operation), by blocks of 64."""
 
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda n, x: n + x)
+    def merged(part: Column) -> Column:
+        return F.aggregate(part, zero, merge)
 
-    def inside(before: Column) -> Column:
-        return F.transform(lengths, lambda _, i: F.get(before, (i / 64).cast("int")) + total(F.slice(lengths, i - i % 64 + 1, i % 64)))
+    def inside(blocks: Column) -> Column:
+        return F.transform(values, lambda _, i: merge(F.get(blocks, (i / 64).cast("int")), merged(F.slice(values, i - i % 64 + 1, i % 64))))
 
-    def blocks(sums: Column) -> Column:
-        return let(F.transform(sums, lambda _, c: total(F.slice(sums, F.lit(1), c))), inside)
+    def of_blocks(totals: Column) -> Column:
+        return let(F.transform(totals, lambda _, c: merged(F.slice(totals, F.lit(1), c))), inside)
 
-    last = ((F.size(lengths) - 1) / 64).cast("int")
-    return let(F.transform(F.sequence(F.lit(0), last), lambda c: total(F.slice(lengths, c * 64 + 1, F.lit(64)))), blocks)
+    last = ((F.size(values) - 1) / 64).cast("int")
+    return F.when(F.size(values) > 0, let(F.transform(F.sequence(F.lit(0), last), lambda c: merged(F.slice(values, c * 64 + 1, F.lit(64)))), of_blocks))
 
 
 def pattern_spans(text: Column, pattern: str, *hints: str, context: tuple[int, int] | None = None) -> Column:
@@ -93,7 +93,7 @@ def pattern_spans(text: Column, pattern: str, *hints: str, context: tuple[int, i
                     parts += [F.substring(between[i], -context[0], context[0]).alias("before"), F.substring(between[i + 1], 1, context[1]).alias("after")]
                 return F.struct(*parts)
 
-            return let(_starts(lengths), lambda before: F.transform(found, lambda m, i: span(before, m, i)))
+            return let(before_each(lengths, lambda n, x: n + x, F.lit(0)), lambda before: F.transform(found, lambda m, i: span(before, m, i)))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), of))
 
