@@ -187,7 +187,7 @@ def _rooted(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFram
 
 
 #: Parts into which the hashes of shingles are dealt for the bounds; a power of two.
-PARTS = 64
+PARTS = 32
 
 
 def _shares(texts: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     left, right = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "total", "shared", "bands", "parts")]) for x in "ab")
     first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("band")
     common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
-    close = common >= least * (F.col("total_a") + F.col("total_b") - common)
+    close = (1 + least) * common + 1e-6 >= least * (F.col("total_a") + F.col("total_b"))
     between = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
     pairs = left.join(right, "band").where(between & _possible("shared_a", "total_a", "shared_b", "total_b", least) & first & close)
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
