@@ -189,7 +189,7 @@ def reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int = 200, stre
     return rates, probability
 
 
-def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Weights (the intercept first) of a logistic regression on soft targets, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])

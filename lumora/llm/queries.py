@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
+from lumora.llm import bpe, decontamination, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_private(table(spark, sf_dir, "documents")))
+
+
+@register("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))

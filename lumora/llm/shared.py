@@ -61,16 +61,21 @@ def before_each(values: Column, merge: Callable[[Column, Column], Column], zero:
     """For each value of an array, all earlier ones merged (an associative operation), by blocks of 64."""
 
     def merged(part: Column) -> Column:
-        return F.aggregate(part, zero, merge)
+        return F.aggregate(part, zero, lambda a, b: merge(a, b))
 
-    def inside(blocks: Column) -> Column:
-        return F.transform(values, lambda _, i: merge(F.get(blocks, (i / 64).cast("int")), merged(F.slice(values, i - i % 64 + 1, i % 64))))
+    def of_values(x: Column) -> Column:
+        last = ((F.size(x) - 1) / 64).cast("int")
+        totals = F.transform(F.sequence(F.lit(0), last), lambda c: merged(F.slice(x, c * 64 + 1, F.lit(64))))
 
-    def of_blocks(totals: Column) -> Column:
-        return let(F.transform(totals, lambda _, c: merged(F.slice(totals, F.lit(1), c))), inside)
+        def inside(blocks: Column) -> Column:
+            return F.transform(x, lambda _, i: merge(F.get(blocks, (i / 64).cast("int")), merged(F.slice(x, i - i % 64 + 1, i % 64))))
 
-    last = ((F.size(values) - 1) / 64).cast("int")
-    return F.when(F.size(values) > 0, let(F.transform(F.sequence(F.lit(0), last), lambda c: merged(F.slice(values, c * 64 + 1, F.lit(64)))), of_blocks))
+        def of_blocks(t: Column) -> Column:
+            return let(F.transform(t, lambda _, c: merged(F.slice(t, F.lit(1), c))), inside)
+
+        return F.when(F.size(x) > 0, let(totals, of_blocks)).otherwise(x)
+
+    return let(values, of_values)
 
 
 def pattern_spans(text: Column, pattern: str, *hints: str, context: tuple[int, int] | None = None) -> Column:
