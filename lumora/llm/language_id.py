@@ -18,7 +18,7 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 1600, 3, 500
 UNKNOWN = "und"
 #: Windows computed at once.
-BATCH_WINDOWS = 512
+BATCH_WINDOWS = 128
 
 
 class Network(NamedTuple):

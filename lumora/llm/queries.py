@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
+from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
+
+
+def _license_sql() -> str:
+    known = [*licences.NOTICES, *[(n, t) for n, _, t in licences.TEXTS], *[(n, f"{title}\n\n{t}") for n, title, t in licences.TEXTS]]
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def lines(text: str) -> str:
+        text = f"lower({text})"
+        for pattern, replacement in license_scan.CANONICAL:
+            text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+        return f"list_transform(string_split({text}, chr(10)), lambda x: trim(x))"
+
+    whole = "array_to_string(list_filter(ls, lambda x: x <> ''), ' ')"
+    return f"""WITH k AS (SELECT sha256({whole}) AS digest, min(licence) AS licence FROM (SELECT licence, {lines('said')} AS ls FROM (VALUES {", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known)}) AS v(licence, said)) GROUP BY 1),
+l AS (SELECT doc_id, {lines("text")} AS ls FROM documents),
+u AS (SELECT doc_id, 'text' AS scope, NULL::INT AS line, {whole} AS said FROM l
+      UNION ALL SELECT doc_id, 'line', i::INT, ls[i + 1] FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM l WHERE len(ls) > 1))
+SELECT doc_id, scope, line, licence, digest FROM (SELECT *, sha256(said) AS digest FROM u WHERE said <> '') JOIN k USING (digest)"""
+
+
+@register("op5_license_scan", _license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licences(table(spark, sf_dir, "documents"))
