@@ -224,7 +224,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of `docs` with every span cut out of its text that windows of items cover; null stays null."""
     made, n = annotate(docs, items, text_col, window=window)
-    at, spans_at, width = docs.columns.index(text_col), made.columns.index(n["spans"]), len(docs.columns)
+    names, at, spans_at = docs.columns, docs.columns.index(text_col), made.columns.index(n["spans"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +232,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", wind
                 cut(t.as_py().encode(), [(x["start"], x["end"]) for x in s.as_py()]).decode() if len(s) and t.is_valid else t.as_py()
                 for t, s in zip(batch.column(at), batch.column(spans_at))
             ]
-            columns = batch.columns[:width]
+            columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return made.mapInArrow(work, docs.schema)
