@@ -56,10 +56,10 @@ def s2(spark, sf):
     return txt.distinct()
 
 
-@query("s3_read_csv_auto", ORDER_SQL + " WHERE o_orderstatus = 'O'")
+@query("s3_read_csv_auto", ORDER_SQL)
 def s3(spark, sf):
     folder = K.workspace(spark)
-    K.write_csv(_orders_text(spark, sf).where("o_orderstatus = 'O'"), folder, ";")
+    K.write_csv(_orders_text(spark, sf), folder, ";")
     return _typed_orders(S.read_csv_auto(spark, folder))
 
 

@@ -99,10 +99,10 @@ def p14(spark, sf):
 # ---------------------------------------------------------------- joins, unions, aggregates
 
 @query("j1_outer_merge", """SELECT coalesce(c.k, s.k) AS nationkey, c.acctbal, s.acctbal AS acctbal_dup, c.customers
-  FROM (SELECT c_nationkey AS k, round(min(c_acctbal), 2) AS acctbal, count(*) AS customers FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) c
+  FROM (SELECT c_nationkey AS k, round(min(c_acctbal), 2) AS acctbal, count(*) AS customers FROM customer GROUP BY 1) c
   FULL JOIN (SELECT s_nationkey AS k, round(min(s_acctbal), 2) AS acctbal FROM supplier GROUP BY 1) s ON c.k = s.k""")
 def j1(spark, sf):
-    c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("nationkey")).agg(
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(
         F.round(F.min("c_acctbal"), 2).alias("acctbal"), F.count(F.lit(1)).alias("customers"))
     s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.round(F.min("s_acctbal"), 2).alias("acctbal"))
     return P.outer_merge([c, s], "nationkey")

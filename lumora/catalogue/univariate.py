@@ -163,7 +163,7 @@ def d20(spark, sf):
 
 
 @query("d21_distribution_type", f"""WITH g AS ({each(NUM, 'skewness({c}) AS s, kurtosis({c}) AS k', 'lineitem')}) SELECT variable, round(s, 6) AS skewness, round(k, 6) AS kurtosis,
-  CASE WHEN abs(s) < 0.5 AND abs(k) < 0.5 THEN 'Normal' WHEN abs(s) > 1 THEN 'Altamente sesgada' WHEN abs(k) > 3 THEN 'Leptocúrtica (picos altos)' ELSE 'Moderadamente sesgada' END AS distribution FROM g""")
+  CASE WHEN abs(s) < 0.5 AND abs(k) < 0.5 THEN 'Normal' WHEN abs(s) > 1 THEN 'Altamente sesgada' WHEN abs(k) > 3 THEN 'Leptocúrtica (picos altos)' WHEN k < -1 THEN 'Platicúrtica (picos bajos)' ELSE 'Moderadamente sesgada' END AS distribution FROM g""")
 def d21(spark, sf):
     return rounded(U.distribution_type(table(spark, sf, "lineitem"), NUM))
 

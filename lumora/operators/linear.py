@@ -15,17 +15,23 @@ def _vector(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
 
 
-def design(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> list[tuple[tuple, int, np.ndarray]]:
-    """[(key values, n, X'X with constant)] over complete rows; one small matrix per key reaches the driver."""
+def design(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> tuple[np.ndarray, list[tuple[tuple, int, np.ndarray]]]:
+    """(centre, [(key values, n, X'X with constant)]) over complete rows, of columns less their overall mean.
+
+    Products of values far from zero would lose their last digits. One small matrix per key reaches the driver.
+    """
     used = df.select(*keys, _vector(cols).alias("_x")).where(~F.exists("_x", lambda v: v.isNull()))
-    rows = vector_products(used, "_x", len(cols), keys).collect()
-    return [(tuple(r[k] for k in keys), r["n"], unpack(r["gram"], len(cols))) for r in rows]
+    means = used.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(cols))]).first()
+    centre = np.array([m or 0.0 for m in means])
+    centred = used.select(*keys, F.array(*[F.col("_x")[i] - F.lit(float(c)) for i, c in enumerate(centre)]).alias("_x"))
+    rows = vector_products(centred, "_x", len(cols), keys).collect()
+    return centre, [(tuple(r[k] for k in keys), r["n"], unpack(r["gram"], len(cols))) for r in rows]
 
 
-def moments(n: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and population covariance from X'X with constant."""
+def moments(n: int, gram: np.ndarray, centre: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector and population covariance from X'X with constant of columns less `centre`."""
     mean = gram[0, 1:] / n
-    return mean, gram[1:, 1:] / n - np.outer(mean, mean)
+    return mean + centre, gram[1:, 1:] / n - np.outer(mean, mean)
 
 
 def linear_form(cols: Sequence[str], weights: Sequence[float], constant: float) -> Column:
@@ -66,8 +72,9 @@ def solve_penalised(n: int, gram: np.ndarray, model: str) -> tuple[np.ndarray, f
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, model: str = "linear") -> tuple[np.ndarray, float]:
-    ((_, n, gram),) = design(df, [*features, target])
-    return solve_penalised(n, gram, model)
+    centre, ((_, n, gram),) = design(df, [*features, target])
+    w, c = solve_penalised(n, gram, model)
+    return w, c + float(centre[-1] - centre[:-1] @ w)
 
 
 def coefficients(df: DataFrame, features: Sequence[str], target: str, model: str = "linear") -> DataFrame:
@@ -82,7 +89,7 @@ def predict_linear(df: DataFrame, features: Sequence[str], weights: np.ndarray,
 
 def cross_validate_linear(df: DataFrame, features: Sequence[str], target: str, fold: str, model: str = "linear") -> DataFrame:
     """(folds, mean_score, std_score) of R². One pass gives X'X per fold; a training matrix is the total minus a fold."""
-    per = design(df, [*features, target], [fold])
+    _, per = design(df, [*features, target], [fold])  # scores don't depend on the centre
     total = sum(g for _, _, g in per)
     n_all = sum(n for _, n, _ in per)
     scores = []
@@ -108,8 +115,8 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
 
 def pca_fit(df: DataFrame, cols: Sequence[str], scaled: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(mean, scale, loadings by column, explained share) from one aggregate."""
-    ((_, n, gram),) = design(df, cols)
-    mean, cov = moments(n, gram)
+    centre, ((_, n, gram),) = design(df, cols)
+    mean, cov = moments(n, gram, centre)
     scale = np.sqrt(np.clip(np.diag(cov), 0, None)) if scaled else np.ones(len(cols))
     scale[scale == 0] = 1.0
     values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
@@ -139,8 +146,8 @@ def pca_variance(df: DataFrame, cols: Sequence[str], scaled: bool = True) -> Dat
 
 def factor_fit(df: DataFrame, cols: Sequence[str], k: int, rounds: int = 1000, tol: float = 1e-8):
     """Maximum-likelihood factors by EM on the covariance matrix: (mean, loadings, noise)."""
-    ((_, n, gram),) = design(df, cols)
-    mean, cov = moments(n, gram)
+    centre, ((_, n, gram),) = design(df, cols)
+    mean, cov = moments(n, gram, centre)
     noise = np.diag(cov).copy()
     values, vectors = np.linalg.eigh(cov)
     load = vectors[:, ::-1][:, :k] * np.sqrt(np.clip(values[::-1][:k], 1e-12, None))
@@ -179,10 +186,10 @@ def factor_analysis(df: DataFrame, cols: Sequence[str], k: int = 2) -> DataFrame
 
 def gaussian_fit(df: DataFrame, features: Sequence[str], label: str, kind: str) -> list[tuple]:
     """[(class, log prior, mean, inverse covariance, log determinant)]: lda pooled, qda per class, naive diagonal."""
-    per = design(df, features, [label])
+    centre, per = design(df, features, [label])
     n_all = sum(n for _, n, _ in per)
     d = len(features)
-    fits = [(key[0], n, *moments(n, g)) for key, n, g in per]
+    fits = [(key[0], n, *moments(n, g, centre)) for key, n, g in per]
     pooled = sum(n * cov for _, n, _, cov in fits) / n_all
     smooth = 1e-9 * float(np.max(np.diag(pooled)))
     out = []

@@ -24,7 +24,7 @@ from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
 from lumora.plans.order import ordered_index, running_sums
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, spread_out
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on, spread_out
 
 
 def encode_mixed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -405,7 +405,7 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 def stratified_folds(df: DataFrame, label: str, order: Sequence[str], k: int) -> DataFrame:
     """Within each class consecutive rows are dealt to folds in blocks of equal size."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    placed = ordered_index(df, order, [label]).join(broadcast_if_small(sizes), label)
+    placed = join_on(ordered_index(df, order, [label]), broadcast_if_small(sizes), [label])
     return placed.withColumn("fold", F.least(F.lit(k - 1), F.floor(F.col("_pos") * k / F.col("_n"))).cast("int")).drop("_pos", "_n")
 
 
@@ -459,7 +459,7 @@ def residual_rows(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.select(F.col(p).alias("fitted"), (F.col(y) - F.col(p)).alias("residual"))
 
 
-def residual_qq(df: DataFrame, y: str, p: str, max_points: int = 2000) -> DataFrame:
+def residual_qq(df: DataFrame, y: str, p: str, max_points: int | None = None) -> DataFrame:
     return qq_points(residual_rows(df, y, p), "residual", max_points)
 
 
@@ -484,13 +484,14 @@ def ml_summary(df: DataFrame, features: Sequence[str] | None = None) -> DataFram
     return row.select("n", F.lit(k).alias("features"), "strong_pairs", "missing_percentage", "quality", F.array_join(alerts, ",").alias("alerts"), grade.alias("readiness"))
 
 
-def project_2d(labelled: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], max_points: int = 2000) -> DataFrame:
-    """(key…, label, pc1, pc2): a bounded sample for drawing, with the variance shares of both axes."""
+def project_2d(labelled: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], max_points: int | None = None) -> DataFrame:
+    """(key…, label, pc1, pc2) of all complete rows, or of a sample of `max_points`, with the variance shares of both axes."""
     mean, spread, vectors, share = L.pca_fit(labelled, cols)
     axes = [
         L.linear_form(cols, vectors[:, j] / spread, -float((mean / spread) @ vectors[:, j])).alias(f"pc{j + 1}") for j in range(2)
     ]
-    shown = sample_n(labelled.dropna(subset=list(cols)), max_points, key)
+    complete = labelled.dropna(subset=list(cols))
+    shown = sample_n(complete, max_points, key) if max_points else complete
     return shown.select(*key, label, *axes, F.lit(float(share[0])).alias("share1"), F.lit(float(share[1])).alias("share2"))
 
 

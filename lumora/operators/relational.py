@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lumora.plans.order import ordered_index
-from lumora.plans.sizing import broadcast_if_small
+from lumora.plans.sizing import broadcast_if_small, join_on
 
 
 def data_columns(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def split_chronological(df: DataFrame, order: Sequence[str], keys: Sequence[str]
     placed = ordered_index(df, order, keys)
     if keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        placed = placed.join(sizes, keys)
+        placed = join_on(placed, sizes, keys)
     else:
         placed = placed.withColumn("_n", F.lit(df.count()))
     train = F.col("_pos") < F.floor(F.col("_n") * (1 - test))
@@ -178,12 +178,13 @@ def distinct_count(df: DataFrame, cols: Sequence[str], approximate: bool = False
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in cols])
         return wide.unpivot([], list(cols), "variable", "unique_count")
-    kinds: dict[str, list[str]] = {"bigint": [], "double": [], "timestamp": [], "string": []}
+    kinds: dict[str, list[str]] = {"bigint": [], "double": [], "timestamp": [], "timestamp_ntz": [], "date": [], "string": []}
     for c in cols:
         t = df.schema[c].dataType
         kind = (
             "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, (T.DoubleType, T.FloatType))
-            else "timestamp" if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "string"
+            else "timestamp_ntz" if isinstance(t, T.TimestampNTZType) else "timestamp" if isinstance(t, T.TimestampType)
+            else "date" if isinstance(t, T.DateType) else "string"
         )
         kinds[kind].append(c)
     parts = []

@@ -166,7 +166,7 @@ def residual_histogram(parts: DataFrame, residual: str = "residual", bins: int =
     return histogram(parts, residual, bins)
 
 
-def residual_qq(parts: DataFrame, residual: str = "residual", max_points: int = 2000) -> DataFrame:
+def residual_qq(parts: DataFrame, residual: str = "residual", max_points: int | None = None) -> DataFrame:
     return qq_points(parts, residual, max_points)
 
 
@@ -250,6 +250,8 @@ def adf_test(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), longe
     """
     keys = list(keys)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    level = base.groupBy(*keys).agg(F.avg("_y").alias("_level"))  # the constant takes up any shift; products of far values lose digits
+    base = _attach(base, level, keys).withColumn("_y", F.col("_y") - F.col("_level")).drop("_level")
     placed, small = positions(base, ts, keys)
     step = sliding(placed, "_pos", 1, 0, lambda w: {"_prev": F.lag("_y", 1).over(w)}, keys, small).withColumn("_d", F.col("_y") - F.col("_prev"))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -325,6 +327,8 @@ def granger(df: DataFrame, ts: str, cols: Sequence[str], maxlag: int = 4, min_ro
     Rows are repeated once per lag order (lags above it set to 0), so one aggregate per column pair serves all orders.
     """
     base = df.select(ts, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    level = base.agg(*[F.avg(c).alias(c) for c in cols]).first()  # the constant takes up any shift; products of far values lose digits
+    base = base.select(ts, *[(F.col(c) - F.lit(level[c] or 0.0)).alias(c) for c in cols])
     placed, small = positions(base, ts)
     spec = {f"_{i}_{k}": (c, k) for i, c in enumerate(cols) for k in range(1, maxlag + 1)}
     history = sliding(placed, "_pos", maxlag, 0, lambda w: {

@@ -285,8 +285,8 @@ def outliers_modified_z(df: DataFrame, col: str, threshold: float = 3.5) -> Data
     return df.where(F.lit(0.6745) * gap / F.lit(mad) > threshold)
 
 
-def outlier_report(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = 10) -> DataFrame:
-    """IQR and z-score outlier counts per column (the report shows the first ten), n ≥ 4."""
+def outlier_report(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """IQR and z-score outlier counts per column (of the first `limit`, if given), n ≥ 4."""
     cols = list(cols or numeric_names(df))[:limit]
     q = column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"])
     rows = {r["variable"]: r for r in q.collect()}
@@ -393,8 +393,8 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         F.sum((~inside).cast("long")).alias("outliers"))
 
 
-def qq_points(df: DataFrame, col: str, max_points: int = 2000) -> DataFrame:
-    """(theoretical, ordered, fit) at Filliben positions; the line is fitted on all rows, the points thinned."""
+def qq_points(df: DataFrame, col: str, max_points: int | None = None) -> DataFrame:
+    """(theoretical, ordered, fit) at Filliben positions; the line is fitted on all rows. With `max_points` about so many, both ends among them."""
     x = df.select(_x(col).alias("ordered")).where(F.col("ordered").isNotNull())
     n = x.count()
     if n < 2:
@@ -405,8 +405,8 @@ def qq_points(df: DataFrame, col: str, max_points: int = 2000) -> DataFrame:
     p = F.when(F.col("_pos") == 0, 1 - edge).when(F.col("_pos") == n - 1, edge).otherwise((i - 0.3175) / (n + 0.365))
     placed = ordered_index(keyed, ["ordered", "_tie"]).select("_pos", "ordered", phi_inverse(p).alias("theoretical"))
     line = placed.agg(F.regr_slope("ordered", "theoretical"), F.regr_intercept("ordered", "theoretical")).first()
-    step = max(1, n // max_points) if n > max_points else 1
-    kept = placed.where(F.col("_pos") % step == 0)
+    step = max(1, n // max_points) if max_points else 1
+    kept = placed.where((F.col("_pos") % step == 0) | (F.col("_pos") == n - 1))
     return kept.select("theoretical", "ordered", (F.lit(line[0]) * F.col("theoretical") + F.lit(line[1])).alias("fit"))
 
 
@@ -463,7 +463,7 @@ def distribution_type(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # Labels and limits of the rule.
     kind = (
         F.when((s < 0.5) & (F.abs(k) < 0.5), "Normal").when(s > 1, "Altamente sesgada")
-        .when(F.abs(k) > 3, "Leptocúrtica (picos altos)").when(F.abs(k) < -1, "Platicúrtica (picos bajos)")
+        .when(F.abs(k) > 3, "Leptocúrtica (picos altos)").when(k < -1, "Platicúrtica (picos bajos)")
         .otherwise("Moderadamente sesgada")
     )
     return _shape_rows(df, cols).where("n >= 4").select("variable", "skewness", "kurtosis", kind.alias("distribution"))

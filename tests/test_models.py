@@ -160,3 +160,30 @@ def test_auc_equals_pairs_won(spark, plan):
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
     gap = s[y == 1][:, None] - s[y == 0][None]
     assert M.auc(df, "y", "s").first()["auc"] == pytest.approx(((gap > 0) + 0.5 * (gap == 0)).mean())
+
+
+@pytest.mark.parametrize("shift", [1e6, 1e8, 1.7e9])
+def test_shifts_change_no_slope_share_or_class(spark, shift):
+    """Columns far from zero: fits, axes and classes are those of the same columns near zero."""
+    from lumora.operators import linear as L
+
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=400), rng.normal(size=400)
+    rows = [(int(i), float(a), float(b), float(3 * a - 2 * b + e), "u" if a + b > 0 else "v", float(a + shift)) for i, (a, b, e) in enumerate(zip(x, z, rng.normal(0, 0.1, 400)))]
+    df = spark.createDataFrame(rows, "i long, x double, z double, y double, label string, far double")
+    near, _ = L.fit_linear(df, ["x", "z"], "y")
+    far, _ = L.fit_linear(df, ["far", "z"], "y")
+    assert np.allclose(near, far, atol=1e-5)
+    assert np.allclose(L.pca_fit(df, ["x", "z", "y"])[3], L.pca_fit(df, ["far", "z", "y"])[3], atol=1e-5)
+    for kind in ("lda", "qda", "naive"):
+        right = [L.gaussian_predict(df, cols, L.gaussian_fit(df, cols, "label", kind)).where("prediction = label").count() for cols in (["x", "z"], ["far", "z"])]
+        assert abs(right[0] - right[1]) <= 2
+
+
+def test_rows_of_the_null_stratum_stay(spark):
+    from lumora.operators.models import stratified_folds
+    from lumora.operators.relational import split_random
+
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 5 > 0 THEN cast(id % 3 AS string) END AS g")
+    assert split_random(df, ["id"], stratify="g").count() == 100
+    assert stratified_folds(df, "g", ["id"], 4).count() == 100

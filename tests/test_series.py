@@ -196,3 +196,16 @@ def test_future_dates_fall_back_to_a_day(spark):
 def test_segments_cover_the_series(spark):
     rows = T.segment_stats(frame(spark, range(30)), "ts", "value", [10, 25], ["key"]).orderBy("segment").collect()
     assert [r["length"] for r in rows] == [10, 15, 5]
+
+
+def test_adf_and_granger_do_not_depend_on_the_level(spark):
+    from lumora.operators import timeseries as S
+
+    rng = np.random.default_rng(8)
+    noise, other = rng.normal(size=300), rng.normal(size=300)
+    rows = [(i, float(a), float(b), float(a + 1e6), float(b + 1e8)) for i, (a, b) in enumerate(zip(noise, other))]
+    df = spark.createDataFrame(rows, "t long, a double, b double, far_a double, far_b double")
+    near, far = (S.adf_test(df, "t", c).first() for c in ("a", "far_a"))
+    assert near["p_value"] < 0.01 and np.isclose(near["statistic"], far["statistic"], atol=1e-3)
+    near, far = ([r["f"] for r in S.granger(df, "t", cols).orderBy("cause", "effect", "lag").collect()] for cols in (["a", "b"], ["far_a", "far_b"]))
+    assert np.allclose(near, far, atol=1e-3)
