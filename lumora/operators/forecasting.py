@@ -34,6 +34,17 @@ def forecast_linear(df: DataFrame, ts: str, value: str, horizon: int = 5, keys:
 
 # ---------------------------------------------------------------- ARIMA by two regressions
 
+def _off_level(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`_y` less its mean per key, and these means: products of values far from zero would lose their last digits."""
+    level = cut_lineage(df.groupBy(*keys).agg(F.avg("_y").alias("_level")))
+    return _attach(df, level, keys).withColumn("_y", F.col("_y") - F.col("_level")).drop("_level"), level
+
+
+def _on_level(df: DataFrame, level: DataFrame, keys: list[str], cols: Sequence[str] = ("forecast", "lower", "upper")) -> DataFrame:
+    lifted = _attach(df, level, keys)
+    return lifted.select(*[(F.col(c) + F.col("_level")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _differenced(df: DataFrame, keys: list[str], small: bool, lag: int, source: str, out: str) -> DataFrame:
     return sliding(df, "_pos", lag, 0, lambda w: {out: F.col(source) - F.lag(source, lag).over(w)}, keys, small)
 
@@ -134,6 +145,7 @@ def forecast_arima(
     """
     keys = list(keys)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    base, level = _off_level(base, keys)
     placed, small = positions(base, ts, keys)
     series = cut_lineage(placed)
     ds = list(range(MAX_D + 1)) if auto else [order[1]]
@@ -184,7 +196,7 @@ def forecast_arima(
     half = Z95 * F.col("_z.error")
     out = rows.select(*keys, (F.col("_at") + 1).alias("step"), F.col("_z.forecast").alias("forecast"), (F.col("_z.forecast") - half).alias("lower"),
                       (F.col("_z.forecast") + half).alias("upper"), "p", "d", "q", "aic")
-    return _dated(out, base, ts, horizon, keys)
+    return _on_level(_dated(out, base, ts, horizon, keys), level, keys)
 
 
 def forecast_sarima(df: DataFrame, ts: str, value: str, horizon: int = 12, season: int = 12, keys: Sequence[str] = ()) -> DataFrame:
@@ -315,6 +327,8 @@ def forecast_var(df: DataFrame, ts: str, cols: Sequence[str], horizon: int = 12,
     cols = list(cols)
     k = len(cols)
     base = df.select(ts, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    level = base.agg(*[F.avg(c).alias(c) for c in cols]).first()  # products of values far from zero lose digits
+    base = base.select(ts, *[(F.col(c) - F.lit(level[c] or 0.0)).alias(c) for c in cols])
     placed, small = positions(base, ts)
     h = sliding(placed, "_pos", maxlag, 0, lambda w: {"_v": F.array(*[F.lag(c, j).over(w) for j in range(1, maxlag + 1) for c in cols], *cols)}, (), small)
     row = vector_products(h.where(~F.exists("_v", lambda v: v.isNull())).select("_v"), "_v", k * (maxlag + 1)).first()
@@ -336,7 +350,7 @@ def forecast_var(df: DataFrame, ts: str, cols: Sequence[str], horizon: int = 12,
         x = np.concatenate([[1.0], *[np.array(t) for t in tail[:p]]])
         new = b @ x
         tail.insert(0, new.tolist())
-        rows += [(step, c, float(v), p) for c, v in zip(cols, new)]
+        rows += [(step, c, float(v) + (level[c] or 0.0), p) for c, v in zip(cols, new)]
     out = df.sparkSession.createDataFrame(rows, "step int, variable string, forecast double, lag_order int")
     return join_on(out, future_dates(base, ts, horizon), ["step"])
 
@@ -348,6 +362,7 @@ def forecast_seasonal_regression(df: DataFrame, ts: str, value: str, horizon: in
     keys = list(keys)
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    base, level = _off_level(base, keys)
     origin = base.agg(F.min(ts)).first()[0]
     size = 1 + 2 * terms
 
@@ -370,7 +385,7 @@ def forecast_seasonal_regression(df: DataFrame, ts: str, value: str, horizon: in
     ahead = _attach(future_dates(base, ts, horizon, keys), fits, keys).withColumn("_x", features())
     mean = F.col("beta")[0] + F.aggregate(F.zip_with("_x", F.slice("beta", 2, size), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     half = F.lit(z) * F.col("spread")
-    return ahead.select(*keys, "step", ts, mean.alias("forecast"), (mean - half).alias("lower"), (mean + half).alias("upper"))
+    return _on_level(ahead.select(*keys, "step", ts, mean.alias("forecast"), (mean - half).alias("lower"), (mean + half).alias("upper")), level, keys)
 
 
 # ---------------------------------------------------------------- comparison

@@ -209,3 +209,19 @@ def test_adf_and_granger_do_not_depend_on_the_level(spark):
     assert near["p_value"] < 0.01 and np.isclose(near["statistic"], far["statistic"], atol=1e-3)
     near, far = ([r["f"] for r in S.granger(df, "t", cols).orderBy("cause", "effect", "lag").collect()] for cols in (["a", "b"], ["far_a", "far_b"]))
     assert np.allclose(near, far, atol=1e-3)
+
+
+def test_forecasts_move_with_the_level(spark):
+    rng = np.random.default_rng(3)
+    y = np.cumsum(rng.normal(size=120)) * 0.3 + 5
+    start = datetime(2020, 1, 1)
+    rows = [(start + timedelta(days=i), float(v), float(v + 1e8), float(o), float(o + 1e6)) for i, (v, o) in enumerate(zip(y, rng.normal(size=120)))]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, near double, far double, other double, far_other double")
+
+    def got(frame):
+        return np.array([r["forecast"] for r in frame.orderBy("step").collect()])
+
+    assert np.allclose(got(FC.forecast_arima(df, "ts", "near", 5)) + 1e8, got(FC.forecast_arima(df, "ts", "far", 5)), atol=1e-2)
+    assert np.allclose(got(FC.forecast_seasonal_regression(df, "ts", "near", 5, 1)) + 1e8, got(FC.forecast_seasonal_regression(df, "ts", "far", 5, 1)), atol=1e-2)
+    near = FC.forecast_var(df, "ts", ["near", "other"], 4).where("variable = 'near'")
+    assert np.allclose(got(near) + 1e8, got(FC.forecast_var(df, "ts", ["far", "far_other"], 4).where("variable = 'far'")), atol=1e-2)
