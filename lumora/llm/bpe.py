@@ -13,7 +13,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,23 +44,27 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@cache
 def character_tables() -> dict:
     """Letters and numbers as character classes, and lower-case forms that differ from Python's.
 
-    They come from the Unicode tables that the vocabulary's own library was built with, which may be older or newer.
+    They come from the Unicode tables that the vocabulary's own library was built with, which may be older or newer;
+    some thousand characters are asked for at once.
     """
     from tokenizers import Regex, normalizers, pre_tokenizers
 
-    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    tables: dict = {}
-    for name in "LN":
-        runs = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True).pre_tokenize_str(text)
-        tables[name] = "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in runs)
-    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
-    lowered = dict(zip(every, [*lowered[:10], "\n", *lowered[12:]]))  # the line feed itself made two empty lines
-    tables["lower"] = {c: low for c, low in lowered.items() if low != c.lower()}
-    return tables
+    lower = normalizers.Lowercase()
+    runs = {name: pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True) for name in "LN"}
+    classes: dict[str, list[str]] = {name: [] for name in runs}
+    forms: dict[str, str] = {}
+    for start in range(0, sys.maxunicode + 1, 4096):
+        block = [chr(c) for c in range(start, start + 4096) if not 0xD800 <= c < 0xE000 and c != 10]
+        if not block:
+            continue
+        for name, split in runs.items():
+            classes[name] += [f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in split.pre_tokenize_str("".join(block))]
+        forms |= {c: low for c, low in zip(block, lower.normalize_str("\n".join(block)).split("\n")) if low != c.lower()}
+    return {**{name: "".join(found) for name, found in classes.items()}, "lower": forms}
 
 
 class Vocabulary:
