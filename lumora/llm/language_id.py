@@ -128,7 +128,8 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Windows of at most SAMPLE_DOCS documents outside the held-out fold, about as many of each language.
 
     Documents are ordered by an exponential variable, made from a hash of the id and scaled by how often their language
-    occurs, and the first ones taken; windows lie at hashed places anywhere in the text.
+    occurs, and the first ones taken; windows lie at hashed places anywhere in the text. A limit on the variable, below
+    which four times the sample is expected at most, holds before anything is gathered.
     """
     rows = id_and_text(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "language")
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -141,8 +142,9 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     room = F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)
     parts = [F.substring(data, F.pmod(F.xxhash64("text", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
     taken = rows.where(scale.isNotNull()).select((-F.log(uniform) * scale).alias("order"), "language", F.array_distinct(F.array(*parts)).alias("parts"))
+    taken = taken.where(F.col("order") <= 4.0 * SAMPLE_DOCS / len(counts))
     found = [(r["language"], bytes(part)) for r in taken.orderBy("order", "language", "parts").limit(SAMPLE_DOCS).collect() for part in r["parts"]]
-    return np.concatenate([windows_of(part) for _, part in found]), [name for name, _ in found]
+    return np.concatenate([windows_of(part) for _, part in found] or [np.zeros((0, WINDOW), np.uint8)]), [name for name, _ in found]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
