@@ -59,10 +59,28 @@ class Candidate(NamedTuple):
     hints: tuple[str, ...]
 
 
+_END = r"(?![0-9]|[.-][0-9])"
+#: Shapes of one number, tried in this order, so that numbers side by side are told apart; the last takes whole groups of
+#: digits up to 19 digits, and what follows is the next number. Runs are never given back, or are short.
+NUMBERS: tuple[str, ...] = (
+    rf"(?:1[\x20.-])?[(]?[0-9]{{3}}[)]?[\x20.-]?[0-9]{{3}}[\x20.-][0-9]{{4}}{_END}",
+    rf"[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
+    rf"(?:19|20)[0-9]{{2}}[.-][0-9]{{1,2}}[.-][0-9]{{1,2}}{_END}",
+    rf"[0-9]{{1,2}}[.-][0-9]{{1,2}}[.-](?:19|20)[0-9]{{2}}{_END}",
+    rf"(?:19|20)[0-9]{{2}}\x20?-\x20?(?:19|20)[0-9]{{2}}{_END}",
+    rf"0[1-9](?:[\x20.-][0-9]{{2}}){{4}}{_END}",
+    # ahead of another number that begins with 0, of one of three groups, of one without separators
+    r"[(]?0[0-9]{1,4}[)]?(?:[\x20-]{1,3}[0-9]{2,12}){1,6}?(?=\x20{1,3}[(]?0[0-9]{1,4}[)]?[\x20-]{1,3}[0-9]{3})",
+    r"[0-9]{1,12}+(?:[.-][0-9]{1,12}+){1,6}+(?=\x20{1,3}[0-9]{1,12}(?:[.-][0-9]{1,12}){2})",
+    r"[0-9]{7,19}+(?=\x20{1,3}[0-9]{6,19}(?![0-9]))",
+    r"[(]?[0-9](?:[().\x20-]*+[0-9]){5,18}(?![0-9])",
+)
+
+
 #: What the labelers vote on.
 CANDIDATES: tuple[Candidate, ...] = (
-    Candidate("number", r"(?<![0-9.+])[(]?[0-9][0-9().\x20-]{5,40}[0-9](?![0-9])", ()),
-    Candidate("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_.])", ("@",)),
+    Candidate("number", rf"(?<![0-9.+])(?:{'|'.join(NUMBERS)})", ()),
+    Candidate("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_]{3,}+(?!\.[\p{L}\p{N}_])", ("@",)),
     Candidate("spelled_email", r"[A-Za-z0-9._-]{2,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,64}(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z]{2,10}", ("(at)", "[at]")),
 )
 CONTEXT = (40, 12)

@@ -275,6 +275,26 @@ def test_weak_supervision_adds_phones_and_identity_numbers(spark):
     assert all(0.5 < r <= 1 for r in model.reliability.values())
 
 
+def candidates_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).orderBy("doc_id").collect()
+    return [[(c["kind"], c["match"]) for c in r["c"]] for r in rows]
+
+
+def test_numbers_side_by_side_and_handles(spark):
+    lists = [
+        ["555-123-4567", "555-987-6543"], ["0171 2345678", "0172 3456789"], ["(555) 123-4567", "(555) 987-6543", "(555) 111-2222"], ["123-45-6789", "987-65-4321", "111-22-3333"],
+        ["01 02 03 04 05", "06 07 08 09 10"], ["2019-01-02", "2020-03-04", "2021-05-06"], ["12-345-678", "98-765-432", "11-222-333"], ["1234567", "7654321", "2345678"], ["1-800-555-1234", "555 987 6543"],
+    ]
+    assert candidates_of(spark, ["call " + " ".join(x) + " now" for x in lists]) == [[("number", n) for n in x] for x in lists]
+    account = "61 1090 1014 0000 0712 1981 2874"  # 26 digits: in whole groups, none lost
+    assert [m for _, m in candidates_of(spark, [f"account {account}"])[0]] == ["61 1090 1014 0000 0712", "1981 2874"]
+    assert candidates_of(spark, ["dial 030 1234 5678 or 12 34 56 78.", "9" * 25, "write to @alice_b. Or @" + "a" * 40 + ", not @alice.example or me@abc"]) == [
+        [("number", "030 1234 5678"), ("number", "12 34 56 78")], [], [("handle", "@alice_b"), ("handle", "@" + "a" * 40)]]
+    long = spark.createDataFrame([(1, "1-" * 100_000), (2, "1 " * 100_000), (3, "12345678 " * 20_000), (4, "1" + "-" * 200_000), (5, "9" * 200_000)], "doc_id long, text string")
+    assert pii.find_private(long, pii.Model(-1.0, dict.fromkeys(pii.features(F.col("c")), 0.0), {})).count() == 5
+
+
 def test_stages_on_messy_and_empty_tables(spark, messy, empty, tmp_path):
     spark.createDataFrame([(1, PROSE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (messy, empty):
