@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and further spans by weak supervision.
 
-Candidates that the fixed patterns miss are voted on by labelers: shapes, word lists and context. Expectation-maximisation
+Candidates that the fixed patterns miss are voted on by labelers: shapes, gazetteers and context. Expectation-maximisation
 over the counts of vote patterns estimates how reliable each labeler is, and a logistic classifier of the spans is
 trained on the resulting probabilities. Both see counts of patterns only, whose number doesn't grow with the corpus.
 """
@@ -77,12 +77,49 @@ NUMBERS: tuple[str, ...] = (
 )
 
 
-#: What the labelers vote on.
+_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Terrace|Way"
+#: Number and street as English, German, French and Spanish put them.
+ADDRESSES: tuple[str, ...] = (
+    rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,5}}[A-Za-z]?\x20(?:{_WORD}\x20){{1,4}}?(?:{_STREETS})(?![\p{{L}}])",
+    r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}-]{0,40}(?:straße|strasse|str\.|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?(?![\p{L}\p{N}])",
+    rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,4}}(?:\x20(?:bis|ter))?,?\x20(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)\x20(?:(?:de|du|des|la|le|les)\x20|[dl]['’]){{0,3}}{_WORD}(?:\x20{_WORD}){{0,4}}",
+    rf"(?<![\p{{L}}\p{{N}}])(?:[Cc]alle|[Aa]venida|Avda\.|[Pp]laza|[Pp]aseo)\x20(?:(?:de|del|la|las|los|el)\x20){{0,3}}{_WORD}(?:\x20{_WORD}){{0,4}},?\x20(?:n[ºo°]\.?\x20?)?[0-9]{{1,4}}(?![\p{{L}}\p{{N}}])",
+)
+#: Capitalised words in a row, with particles between them; words that announce a name are not part of it.
+_NAME = rf"(?!(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dear|Name|Named|Signed|Address|Born|My|Mein|Meine|Ich|Je|Me|Mi)(?![\p{{L}}]))(?<![\p{{L}}\p{{N}}_@#/.'’-]){_WORD}(?:\x20(?:(?:van|von|de|der|den|del|della|di|da|du|la|le|bin|y)\x20){{0,2}}{_WORD})*+"
+
+#: The gazetteers: short lists of common names and of large places, in lower case. A name or place that is in none can
+#: still be found by its context.
+GIVEN_NAMES = tuple("""james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven paul andrew joshua kevin brian george edward ronald timothy jason
+mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen anna alice emma olivia sophia
+hans peter klaus jürgen wolfgang dieter stefan andreas uwe bernd jens lukas felix jonas maximilian ursula monika petra sabine renate helga birgit claudia katrin heike lena hannah
+jean pierre michel philippe alain jacques nicolas christophe laurent julien antoine françois louis marie nathalie isabelle sylvie catherine françoise céline camille chloé juliette
+josé antonio juan manuel francisco luis javier carlos miguel ángel pedro jorge fernando alejandro diego maría carmen ana isabel dolores pilar teresa rosa lucía elena
+mohammed ahmed ali omar fatima aisha wei li ming yuki hiroshi priya raj anil giovanni marco giulia ivan olga dmitri""".split())
+FAMILY_NAMES = tuple("""smith johnson williams brown jones miller davis wilson anderson taylor thomas moore jackson martin lee thompson white harris clark lewis robinson walker young allen king wright scott hill green adams baker nelson carter mitchell roberts turner phillips campbell parker evans edwards collins
+müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann schäfer koch bauer richter klein wolf schröder neumann schwarz zimmermann braun krüger hofmann hartmann lange
+bernard dubois durand leroy moreau laurent lefebvre bertrand roux fournier girard bonnet dupont lambert fontaine rousseau vincent mercier
+garcía garcia rodríguez gonzález fernández lópez martínez sánchez pérez gómez ruiz hernández díaz moreno álvarez muñoz romero torres navarro ramos
+rossi ferrari ivanov petrov kumar singh patel sharma khan nguyen kim chen wang zhang tanaka suzuki silva santos""".split())
+PLACES = tuple("""london|manchester|birmingham|liverpool|edinburgh|glasgow|dublin|new york|los angeles|chicago|houston|san francisco|boston|seattle|philadelphia|toronto|sydney|melbourne
+berlin|hamburg|münchen|munich|köln|cologne|frankfurt|stuttgart|düsseldorf|leipzig|dresden|wien|vienna|zürich|zurich|bern|basel|paris|marseille|lyon|toulouse|nantes|strasbourg|bordeaux|lille|genève|bruxelles|brussels
+madrid|barcelona|valencia|sevilla|zaragoza|málaga|bilbao|buenos aires|bogotá|santiago de chile|ciudad de méxico|rome|milan|lisbon|amsterdam|warsaw|prague|moscow|tokyo|beijing|shanghai|mumbai|delhi|singapore|cairo""".replace("\n", "|").split("|"))
+#: Directly before a name or place.
+NAMING_WORDS = r"mr\.?|mrs\.?|ms\.?|dr\.?|prof\.?|herr|herrn|frau|monsieur|madame|mme|señor|señora|sr\.|sra\.|my name is|named|name:|signed|dear|mein name ist|ich heiße|je m['’]appelle|me llamo|mi nombre es"
+LIVING_WORDS = "lives in|living in|resident of|born in|moved to|address:|wohnt in|wohnhaft in|geboren in|habite à|né à|née à|vive en|nacido en|nacida en|residente en"
+#: Within a run of capitalised words: not a person.
+THING_WORDS = tuple("the of and license licence university institute company inc ltd gmbh corporation foundation association committee act law public version general software street department ministry january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
+
+#: What the labelers vote on; of `name`s, listed places become `place`s, a kind of their own.
 CANDIDATES: tuple[Candidate, ...] = (
     Candidate("number", rf"(?<![0-9.+])(?:{'|'.join(NUMBERS)})", ()),
     Candidate("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_]{3,}+(?!\.[\p{L}\p{N}_])", ("@",)),
     Candidate("spelled_email", r"[A-Za-z0-9._-]{2,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,64}(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z]{2,10}", ("(at)", "[at]")),
+    Candidate("address", "|".join(ADDRESSES), ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9")),
+    Candidate("name", _NAME, ()),
 )
+WORDY = ("address", "name", "place")
 CONTEXT = (40, 12)
 CONTACT_WORDS = "phone|telephone|tel|mobile|cell|call|fax|whatsapp|telefon|handy|anruf|téléphone|portable|teléfono|móvil|llame|contact|kontakt|contacto|reach|email|mail|follow"
 IDENTITY_WORDS = "ssn|passport|iban|account|konto|compte|cuenta|insurance|licence|license|patient|born|birth|ausweis|dni|nif|steuer|sécu|identity|customer"
@@ -95,34 +132,61 @@ def _said(words: str, text: Column) -> Column:
     return F.lower(text).rlike(rf"(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)")
 
 
+def _right_before(words: str, text: Column) -> Column:
+    return F.lower(text).rlike(rf"(?:^|[^\p{{L}}])(?:{words})\s*$")
+
+
+def _words(match: Column) -> Column:
+    return F.split(F.lower(match), " ")
+
+
 def votes(c: Column) -> dict[str, Column]:
     """1: private, 0: not, 2: no opinion. `c` has kind, match, before, after."""
     number, match, digits = c["kind"] == "number", c["match"], _digits(c["match"])
+    name, wordy, words = c["kind"] == "name", c["kind"].isin(*WORDY), _words(c["match"])
+    given = name & (F.size(words) > 1) & F.exists(words, lambda w: w.isin(*GIVEN_NAMES))
+    family = name & (F.size(words) > 1) & F.element_at(words, -1).isin(*FAMILY_NAMES)
     yes = lambda test: F.when(test, 1).otherwise(ABSTAIN)
     no = lambda test: F.when(test, 0).otherwise(ABSTAIN)
     return {
         "phone_shape": yes(number & match.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^0[0-9]{1,4}[ -][0-9][0-9 -]{4,}[0-9]$")),
         "identity_shape": yes(number & match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
         "address_shape": yes(c["kind"] == "spelled_email"),
-        "contact_words": yes(_said(CONTACT_WORDS, c["before"])),
+        "contact_words": yes(~wordy & _said(CONTACT_WORDS, c["before"])),
         "identity_words": yes(number & _said(IDENTITY_WORDS, c["before"])),
-        "other_words": no(_said(OTHER_WORDS, c["before"]) | F.substring(c["before"], -2, 2).rlike(r"[$€£#]")),
+        "other_words": no(~wordy & (_said(OTHER_WORDS, c["before"]) | F.substring(c["before"], -2, 2).rlike(r"[$€£#]"))),
         "measure": no(number & c["after"].rlike(r"^\s?(?:%|€|\$|kg|km|cm|mm|px|mb|gb)")),
         "date_shape": no(number & match.rlike(r"^(?:(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2})$")),
         "no_check_digit": no(number & (F.length(digits) >= 13) & ~luhn(digits)),
         "loose_digits": no(number & ((F.length(digits) < 7) | (F.length(F.regexp_replace(match, "[0-9]", "")) >= F.length(digits)))),
+        "street_shape": yes(c["kind"] == "address"),
+        "given_names": yes(given),
+        "family_names": yes(family),
+        "places": yes(c["kind"] == "place"),
+        "naming_words": yes(name & _right_before(NAMING_WORDS, c["before"])),
+        "living_words": yes(wordy & _right_before(LIVING_WORDS, c["before"])),
+        "unlisted": no(name & ~given & ~family & ~_right_before(NAMING_WORDS, c["before"])),
+        "thing_words": no(name & F.arrays_overlap(words, F.array(*map(F.lit, THING_WORDS)))),
+        "repeated": no(name & (F.size(words) > 2) & (F.size(F.array_distinct(words)) * 2 <= F.size(words))),
     }
 
 
+#: Votes on words; the others are votes on numbers, handles and spelled addresses. Neither kind sees the other's spans.
+WORD_VOTES = ("street_shape", "given_names", "family_names", "places", "naming_words", "living_words", "unlisted", "thing_words", "repeated")
+
+
 def features(c: Column) -> dict[str, Column]:
     """0 or 1 each."""
     opinions = votes(c)
     number, match, digits = c["kind"] == "number", c["match"], F.length(_digits(c["match"]))
+    wordy = c["kind"].isin(*WORDY)
     tests = {
         "handle": c["kind"] == "handle", "spelled": c["kind"] == "spelled_email", "short": number & (digits < 9), "ten": number & digits.between(9, 11), "long": number & (digits > 11),
-        "brackets": match.contains("("), "hyphens": number & match.contains("-"), "dots": number & match.contains("."), "spaces": number & match.contains(" "),
-        "contact": _said(CONTACT_WORDS, c["before"]), "identity": _said(IDENTITY_WORDS, c["before"]), "other": _said(OTHER_WORDS, c["before"]), "century": number & match.rlike("^(?:19|20)"),
+        "brackets": ~wordy & match.contains("("), "hyphens": number & match.contains("-"), "dots": number & match.contains("."), "spaces": number & match.contains(" "),
+        "contact": ~wordy & _said(CONTACT_WORDS, c["before"]), "identity": ~wordy & _said(IDENTITY_WORDS, c["before"]), "other": ~wordy & _said(OTHER_WORDS, c["before"]), "century": number & match.rlike("^(?:19|20)"),
         "phone_like": opinions["phone_shape"] == 1, "identity_like": opinions["identity_shape"] == 1, "unchecked": opinions["no_check_digit"] == 0,
+        "name": c["kind"] == "name", "place": c["kind"] == "place", "address": c["kind"] == "address", "given": opinions["given_names"] == 1, "family": opinions["family_names"] == 1,
+        "named": opinions["naming_words"] == 1, "lives": opinions["living_words"] == 1, "unlisted": opinions["unlisted"] == 0, "thing": opinions["thing_words"] == 0, "repeated": opinions["repeated"] == 0,
     }
     return {name: test.cast("int") for name, test in tests.items()}
 
@@ -148,7 +212,16 @@ def candidates(text: Column, base: Column) -> Column:
         return F.coalesce(made, F.array().cast("array<struct<kind:string,rank:int,start:int,end:int,match:string,before:string,after:string>>"))
 
     every = F.concat(*[named(pattern_spans(text, c.pattern, *c.hints, context=CONTEXT), c.kind, len(BASE) + k) for k, c in enumerate(CANDIDATES)])
-    free = F.filter(every, lambda c: F.length(_digits(c["match"])).between(6, 19) | (c["kind"] != "number"))
+
+    def placed(c: Column) -> Column:
+        listed = (c["kind"] == "name") & F.lower(c["match"]).isin(*PLACES)
+        return c.withField("kind", F.when(listed, "place").otherwise(c["kind"])).withField("rank", c["rank"] + listed.cast("int"))
+
+    def sensible(c: Column) -> Column:
+        named_so = _right_before(NAMING_WORDS, c["before"])
+        return F.when(c["kind"] == "number", F.length(_digits(c["match"])).between(6, 19)).when(c["kind"] == "name", c["match"].contains(" ") | named_so).otherwise(True)
+
+    free = F.filter(F.transform(every, placed), sensible)
     return let(free, lambda c: F.when((F.size(c) == 0) | (F.size(base) == 0), c).otherwise(let(_edges(base, c), lambda e: _apart(c, e))))
 
 
@@ -201,7 +274,7 @@ def reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int = 200, stre
         rates = (seen + strength * expected[None]) / (seen.sum(axis=2, keepdims=True) + strength)
         score = np.log(share[:, None]) + np.einsum("plo,lco->cp", outcomes, np.log(rates))
         latest = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
-        if np.abs(latest - probability).max() < 1e-9:
+        if np.abs(latest - probability).max(initial=0) < 1e-9:
             break
         probability = latest
     return rates, probability
@@ -225,8 +298,9 @@ def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Labelers' reliabilities and the span classifier, from all candidates of all documents.
 
-    Votes and features are small whole numbers, so their patterns are counted with partial sums, and at most
-    3^10 * 2^16 counts, in practice some hundred, reach the driver. Without candidates the classifier finds nothing.
+    Votes and features are small whole numbers, so their patterns are counted with partial sums, and only
+    these counts, in practice some hundred, reach the driver. Expectation-maximisation runs over votes on words and over the
+    other votes, as far more words than numbers are candidates. Without candidates the classifier finds nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = id_and_text(docs, id_col, text_col).select(F.explode_outer(let(base_spans(text), lambda base: candidates(text, base))).alias("c")).where("c IS NOT NULL")
@@ -235,13 +309,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     if not rows:
         return Model(-1.0, dict.fromkeys(f, 0.0), dict.fromkeys(v, 0.8))
     rows.sort(key=tuple)
-    table = np.array([[r[f"v_{n}"] for n in v] for r in rows])
     x = np.array([[r[f"f_{n}"] for n in f] for r in rows], dtype=float)
     counts = np.array([r["n"] for r in rows], dtype=float)
-    rates, probability = reliabilities(table, counts)
+    wordy = np.array([any(r[f"f_{kind}"] for kind in WORDY) for r in rows])
+    probability, right = np.zeros(len(rows)), {}
+    for names, own in (([n for n in v if n not in WORD_VOTES], ~wordy), (list(WORD_VOTES), wordy)):
+        table = np.array([[r[f"v_{n}"] for n in names] for r, there in zip(rows, own) if there]).reshape(-1, len(names))
+        rates, probability[own] = reliabilities(table, counts[own])
+        right |= dict(zip(names, map(float, (rates[:, 0, 0] + rates[:, 1, 1]) / rates[:, :, :2].sum(axis=(1, 2)))))
     w = logistic(x, probability, counts)
-    right = (rates[:, 0, 0] + rates[:, 1, 1]) / rates[:, :, :2].sum(axis=(1, 2))
-    return Model(float(w[0]), dict(zip(f, map(float, w[1:]))), dict(zip(v, map(float, right))))
+    return Model(float(w[0]), dict(zip(f, map(float, w[1:]))), right)
 
 
 def find_private(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -295,6 +295,18 @@ def test_numbers_side_by_side_and_handles(spark):
     assert pii.find_private(long, pii.Model(-1.0, dict.fromkeys(pii.features(F.col("c")), 0.0), {})).count() == 5
 
 
+def test_names_places_and_street_addresses(spark):
+    given, family = ["John", "Mary", "Hans", "Lucía"], ["Smith", "Müller", "Dubois", "García"]
+    texts = [f"we met {g} {f} there" for g in given for f in family] + [f"ask Mr. {f} about it" for f in family] + ["she lives in Berlin now", "a flat at 12 Old Mill Road there", "wohnt Hauptstraße 5 dort", "au 7 rue de la Paix ici", "en Calle Mayor 12 hoy"]
+    texts += [f"it says Stteen Erachtz{'abcdefgh'[k % 8]} again" for k in range(60)] + ["under the General Public License", "Orre Orre Orre Orre", "Plain words. Nothing else"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(docs)
+    found = pii.redact(docs, model).orderBy("doc_id").collect()
+    got = [r["text"] for r in found]
+    assert got[:25] == ["we met <name> there"] * 16 + ["ask Mr. <name> about it"] * 4 + ["she lives in <place> now", "a flat at <address> there", "wohnt <address> dort", "au <address> ici", "en <address> hoy"]
+    assert got[25:] == texts[25:]
+
+
 def test_stages_on_messy_and_empty_tables(spark, messy, empty, tmp_path):
     spark.createDataFrame([(1, PROSE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (messy, empty):
