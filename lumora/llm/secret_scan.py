@@ -31,12 +31,17 @@ BASE: tuple[Rule, ...] = (
 )
 #: Further kinds.
 MORE: tuple[Rule, ...] = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    # up to the END marker (headers may hold single hyphens), or without one to the end of the base64 lines
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----|[ \t\r\n\\]*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/= \t\r\n\\]*[A-Za-z0-9+/=]{16})?(?:[ \t\r\n\\]+[A-Za-z0-9+/]+=+)?)?",
+        ("PRIVATE KEY-----",),
+    ),
     Rule("code_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", ("eyJ",)),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35,}", ("AIza",)),
-    Rule("url_login", r"://[A-Za-z0-9._%+-]{1,80}:[A-Za-z0-9._%+!$&*-]{1,80}@", ("://",)),
+    Rule("url_login", r"://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$&*-]+@", ("://",)),
 )
 RULES = BASE + MORE
 
