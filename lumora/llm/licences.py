@@ -1,5 +1,7 @@
 """Texts and notices of well-known licences, as their publishers word them."""
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -30,7 +32,26 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-#: licence, title that may stand above its text, text.
+#: Texts in files of their own; the title stands in the text. Copies often end before the advice on how to apply the terms.
+LONG = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "GFDL-1.3", "Artistic-1.0-Perl", "Unlicense")
+ENDS = ("END OF TERMS AND CONDITIONS", "Exhibit A - Source Code Form License Notice", "ADDENDUM: How to use this License for your documents")
+
+
+def _long_texts() -> list[tuple[str, str, str]]:
+    found = []
+    for name in LONG:
+        text = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        found.append((name, "", text))
+        for end in ENDS:
+            if end in text:
+                body = text[: text.index(end)]
+                found += [(name, "", body), (name, "", body + end)]
+    return found
+
+
+LONG_TEXTS = _long_texts()
+
+#: licence, title that may stand above its text (empty: none), text.
 TEXTS: tuple[tuple[str, str, str], ...] = (
     ("MIT", "MIT License", MIT),
     ("MIT", "The MIT License (MIT)", MIT),
@@ -38,6 +59,7 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("BSD-2-Clause", "BSD 2-Clause License", BSD_HEAD + BSD_TAIL),
     ("BSD-3-Clause", "BSD 3-Clause License", BSD_HEAD + BSD_THIRD + BSD_TAIL),
     ("Zlib", "zlib License", ZLIB),
+    *LONG_TEXTS,
 )
 
 #: licence, one-line notice.

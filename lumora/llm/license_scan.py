@@ -9,9 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lumora.llm.licences import NOTICES, TEXTS
 from lumora.llm.shared import id_and_text, let
 
+#: What goes on after `copyright` where it begins a line of a licence's own words, so that no holder follows.
+PROSE = ("holder", "owner", "notice", "law", "license", "licence", "statement", "disclaimer", "interest", "treaty", "permission", "protection", "infringement", "right", "status", "and ", "or ", "in ", "on ", "is ", "are ", "if ", "of ", "related", "doctrine", "as ", "to ", "for ", "by ", "under ", "applies", "the software", "the library", "terms", "line", "material", "act", "resulting", "permissions", "ownership")
 #: Applied to lower-case text, one after the other: pattern, replacement. Java and RE2 read them alike.
 CANONICAL: tuple[tuple[str, str], ...] = (
     (r"(?m)^[^\n\p{L}\p{N}©]*(?:copyright|©|\(c\))[ \t]*(?:\(c\)|©)?[ \t]*(?:[0-9]{4}|<|\[|\{)[^\n]*$", ""),
+    (r"(?m)^[^\n\p{L}\p{N}©]*(?:copyright[ \t:]*(?:\(c\)|©)|©)[^\n]*$", ""),
+    (r"(?m)^[^\n\p{L}\p{N}©]*\(c\)[^\n]*[0-9]{4}[^\n]*$", ""),
+    *[(rf"copyright[ \t]+{word}", f"copyright_ {word}") for word in PROSE],
+    (r"(?m)^[^\n\p{L}\p{N}©]*copyright[ \t:]+[^\n \t][^\n]*$", ""),
+    (r"copyright_ ", "copyright "),
+    (r"(?m)^[ \t]*[0-9]{1,2}[.)][ \t]+", ""),
     (r"(?m)^[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*$", ""),
     (r"licence", "license"),
     (r"sub[- ]license", "sublicense"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumora.llm import bpe, decontamination, language_id, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
+from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
 from lumora.llm.licences import MIT
 from lumora.llm.queries import hilbert_of
 from lumora.llm.shared import scratch
@@ -190,6 +190,17 @@ def test_licences(messy, empty, spark):
     assert {(r["doc_id"], r["scope"], r["line"], r["licence"]) for r in license_scan.find_licences(docs).collect()} == {(1, "text", None, "MIT"), (2, "line", 1, "MIT"), (3, "line", 0, "Apache-2.0")}
 
 
+def test_long_licences_holders_and_list_markers(spark):
+    bsd = licences.BSD_HEAD + licences.BSD_TAIL
+    texts = {name: text for name, _, text in reversed(licences.LONG_TEXTS)}
+    cases = [(name, text) for name, text in texts.items()]
+    cases += [("MIT", f"MIT License\n\n{line}\n\n{MIT}") for line in ("Copyright (c) The Foo Authors", "Copyright John Smith 2020", "Copyright The Foo Authors", "(c) Foo 2020")]
+    cases += [("BSD-2-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ")), ("BSD-2-Clause", bsd), ("MIT", MIT.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"))]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in license_scan.find_licences(docs).where("scope = 'text'").collect()}
+    assert [got.get(k) for k in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_secret_ledger(spark, messy, empty):
     got = by_id(secret_scan.digests(secret_scan.scan(messy)))
     assert sum(map(len, got.values())) == len(TEXTS)
