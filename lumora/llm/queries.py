@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding
+from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding, whitening
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,8 @@ SELECT doc_id, scope, line, licence, digest FROM (SELECT *, sha256(said) AS dige
 @register("op5_license_scan", _license_sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licences(table(spark, sf_dir, "documents"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
