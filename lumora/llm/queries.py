@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, manifest, near_dedup, pii, quality_rules, secret_scan, sharding, whitening
+from lumora.llm import bpe, decontamination, language_id, licences, license_scan, line_dedup, manifest, near_dedup, pii, quality_rules, secret_scan, sharding, suffix_dedup, whitening
 from lumora.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,8 @@ SELECT doc_id, leaf, subroot, high.digest AS root, sha256(proof) AS proof_sha256
 @register("op13_merkle_manifest", _MANIFEST_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")))
