@@ -47,7 +47,7 @@ def _between(least: int, most: int) -> Callable[[Column], Column]:
 #: before, and runs are never given back, so that long runs cost linear time; the matches are those of the plain patterns.
 BASE: tuple[Base, ...] = (
     Base("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",), None),
-    Base("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (), lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")),
+    Base("ip", r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (), lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")),
     Base("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", (), lambda m: _between(16, 19)(m) & luhn(_digits(m))),
     Base("phone", r"\+[0-9][\x20().0-9-]+[0-9]", ("+",), _between(8, 15)),
 )
@@ -86,8 +86,10 @@ ADDRESSES: tuple[str, ...] = (
     rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,4}}(?:\x20(?:bis|ter))?,?\x20(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)\x20(?:(?:de|du|des|la|le|les)\x20|[dl]['’]){{0,3}}{_WORD}(?:\x20{_WORD}){{0,4}}",
     rf"(?<![\p{{L}}\p{{N}}])(?:[Cc]alle|[Aa]venida|Avda\.|[Pp]laza|[Pp]aseo)\x20(?:(?:de|del|la|las|los|el)\x20){{0,3}}{_WORD}(?:\x20{_WORD}){{0,4}},?\x20(?:n[ºo°]\.?\x20?)?[0-9]{{1,4}}(?![\p{{L}}\p{{N}}])",
 )
+#: Letters and digits of an international account number, alone or in groups of four, or of a passport.
+_CODE = r"(?=[A-Z])(?<![\p{L}\p{N}])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[A-Z]{1,2}[0-9]{6,9})(?![\p{L}\p{N}])"
 #: Capitalised words in a row, with particles between them; words that announce a name are not part of it.
-_NAME = rf"(?!(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dear|Name|Named|Signed|Address|Born|My|Mein|Meine|Ich|Je|Me|Mi)(?![\p{{L}}]))(?<![\p{{L}}\p{{N}}_@#/.'’-]){_WORD}(?:\x20(?:(?:van|von|de|der|den|del|della|di|da|du|la|le|bin|y)\x20){{0,2}}{_WORD})*+"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_@#/.'’-])(?!(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dear|Name|Named|Signed|Address|Born|My|Mein|Meine|Ich|Je|Me|Mi)(?![\p{{L}}])){_WORD}(?:\x20(?:(?:van|von|de|der|den|del|della|di|da|du|la|le|bin|y)\x20){{0,2}}{_WORD})*+"
 
 #: The gazetteers: short lists of common names and of large places, in lower case. A name or place that is in none can
 #: still be found by its context.
@@ -113,10 +115,11 @@ THING_WORDS = tuple("the of and license licence university institute company inc
 
 #: What the labelers vote on; of `name`s, listed places become `place`s, a kind of their own.
 CANDIDATES: tuple[Candidate, ...] = (
-    Candidate("number", rf"(?<![0-9.+])(?:{'|'.join(NUMBERS)})", ()),
+    Candidate("number", rf"(?=[(0-9])(?<![0-9.+])(?:{'|'.join(NUMBERS)})", ()),
     Candidate("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z0-9_]{3,}+(?!\.[\p{L}\p{N}_])", ("@",)),
     Candidate("spelled_email", r"[A-Za-z0-9._-]{2,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,64}(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z]{2,10}", ("(at)", "[at]")),
     Candidate("address", "|".join(ADDRESSES), ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9")),
+    Candidate("code", _CODE, ()),
     Candidate("name", _NAME, ()),
 )
 WORDY = ("address", "name", "place")
@@ -126,6 +129,8 @@ IDENTITY_WORDS = "ssn|passport|iban|account|konto|compte|cuenta|insurance|licenc
 OTHER_WORDS = "isbn|issn|doi|version|page|pages|chapter|figure|fig|table|section|order|invoice|price|total|sum|article|paragraph|seite|siehe"
 
 ABSTAIN = 2
+#: About so many documents, chosen by hash, are enough to fit labelers and classifier; spans are found in all documents.
+TRAINING_ROWS = 20_000
 
 
 def _said(words: str, text: Column) -> Column:
@@ -153,7 +158,8 @@ def votes(c: Column) -> dict[str, Column]:
         "identity_shape": yes(number & match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
         "address_shape": yes(c["kind"] == "spelled_email"),
         "contact_words": yes(~wordy & _said(CONTACT_WORDS, c["before"])),
-        "identity_words": yes(number & _said(IDENTITY_WORDS, c["before"])),
+        "code_shape": yes((c["kind"] == "code") & match.rlike("^[A-Z]{2}[0-9]{2}.{10}")),
+        "identity_words": yes((number | (c["kind"] == "code")) & _said(IDENTITY_WORDS, c["before"])),
         "other_words": no(~wordy & (_said(OTHER_WORDS, c["before"]) | F.substring(c["before"], -2, 2).rlike(r"[$€£#]"))),
         "measure": no(number & c["after"].rlike(r"^\s?(?:%|€|\$|kg|km|cm|mm|px|mb|gb)")),
         "date_shape": no(number & match.rlike(r"^(?:(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2})$")),
@@ -162,7 +168,7 @@ def votes(c: Column) -> dict[str, Column]:
         "street_shape": yes(c["kind"] == "address"),
         "given_names": yes(given),
         "family_names": yes(family),
-        "places": yes(c["kind"] == "place"),
+        "places": no((c["kind"] == "place") & ~_right_before(LIVING_WORDS, c["before"])),
         "naming_words": yes(name & _right_before(NAMING_WORDS, c["before"])),
         "living_words": yes(wordy & _right_before(LIVING_WORDS, c["before"])),
         "unlisted": no(name & ~given & ~family & ~_right_before(NAMING_WORDS, c["before"])),
@@ -185,7 +191,7 @@ def features(c: Column) -> dict[str, Column]:
         "brackets": ~wordy & match.contains("("), "hyphens": number & match.contains("-"), "dots": number & match.contains("."), "spaces": number & match.contains(" "),
         "contact": ~wordy & _said(CONTACT_WORDS, c["before"]), "identity": ~wordy & _said(IDENTITY_WORDS, c["before"]), "other": ~wordy & _said(OTHER_WORDS, c["before"]), "century": number & match.rlike("^(?:19|20)"),
         "phone_like": opinions["phone_shape"] == 1, "identity_like": opinions["identity_shape"] == 1, "unchecked": opinions["no_check_digit"] == 0,
-        "name": c["kind"] == "name", "place": c["kind"] == "place", "address": c["kind"] == "address", "given": opinions["given_names"] == 1, "family": opinions["family_names"] == 1,
+        "code": c["kind"] == "code", "account": opinions["code_shape"] == 1, "name": c["kind"] == "name", "place": c["kind"] == "place", "address": c["kind"] == "address", "given": opinions["given_names"] == 1, "family": opinions["family_names"] == 1,
         "named": opinions["naming_words"] == 1, "lives": opinions["living_words"] == 1, "unlisted": opinions["unlisted"] == 0, "thing": opinions["thing_words"] == 0, "repeated": opinions["repeated"] == 0,
     }
     return {name: test.cast("int") for name, test in tests.items()}
@@ -295,15 +301,21 @@ def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float
     return w
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Labelers' reliabilities and the span classifier, from all candidates of all documents.
+def sample(docs: DataFrame, most: int) -> DataFrame:
+    """Of (doc_id, text) about `most` rows, those of the least hashes; all rows of a smaller table."""
+    n = docs.count()
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < most) if n > most else docs
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_ROWS) -> Model:
+    """Labelers' reliabilities and the span classifier, from all candidates of about `most` documents, chosen by hash.
 
     Votes and features are small whole numbers, so their patterns are counted with partial sums, and only
     these counts, in practice some hundred, reach the driver. Expectation-maximisation runs over votes on words and over the
     other votes, as far more words than numbers are candidates. Without candidates the classifier finds nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = id_and_text(docs, id_col, text_col).select(F.explode_outer(let(base_spans(text), lambda base: candidates(text, base))).alias("c")).where("c IS NOT NULL")
+    found = sample(id_and_text(docs, id_col, text_col), most).select(F.explode_outer(let(base_spans(text), lambda base: candidates(text, base))).alias("c")).where("c IS NOT NULL")
     v, f = votes(F.col("c")), features(F.col("c"))
     rows = found.select(*[c.alias(f"v_{n}") for n, c in v.items()], *[c.alias(f"f_{n}") for n, c in f.items()]).groupBy(*[f"v_{n}" for n in v], *[f"f_{n}" for n in f]).agg(F.count(F.lit(1)).alias("n")).collect()
     if not rows:
@@ -324,8 +336,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 def find_private(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: doc_id and all spans (kind, rank, start, end) in code points, base kinds first.
 
-    A candidate is added where the classifier's probability is over `least`. Null texts count as empty. Repeated rows and
-    null ids give a row each; other columns are not read. The model is trained on the same documents if none is given.
+    A candidate is added where the classifier's probability is over `least`, not where it equals it. Null texts count as empty.
+    Repeated rows and null ids give a row each, empty tables none; texts of any length are scanned whole; other columns are
+    not read. The model is trained on a bounded sample of the same documents if none is given.
     """
     model = model or train(docs, id_col, text_col)
     return id_and_text(docs, id_col, text_col).select("doc_id", find_spans(F.col("text"), model, least).alias("spans"))
