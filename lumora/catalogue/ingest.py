@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumora.catalogue.registry import GAPS, MESSY, gaps, messy, query, rounded, table
 from lumora.functions import columns as C
 from lumora.operators import schema as N
 from lumora.sources import files as S
+from lumora.sources.folders import opened
 from lumora.sources import sinks as K
 from lumora.sources import tables as W
 
@@ -30,13 +32,35 @@ def _typed_orders(df):
         C.to_moment(F.col("o_orderdate").cast("string"), "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")
 
 
-def order_files(spark, sf):
-    """All orders as files: `,` and `;` CSV and parquet by status, and a file of unknown format."""
+def _write_books(orders, folder, rows=500):
+    """Workbooks of at most `rows` rows each, written by the tasks that hold them."""
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        store, root, _ = opened(folder)
+        number = int(part["book"].iloc[0])
+        store.create_dir(root, recursive=True)
+        cells = [[None if pd.isna(v) else str(v) for v in r] for r in part.drop(columns="book").itertuples(index=False)]
+        with store.open_output_stream(f"{root}/book_{number}.xlsx") as f:
+            f.write(workbook_bytes(list(part.columns[:-1]), *cells))
+        return pd.DataFrame({"book": [number]})
+
+    books = max(1, orders.count() // rows)
+    text = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns], F.pmod(F.xxhash64("o_orderkey"), F.lit(books)).alias("book"))
+    text.groupBy("book").applyInPandas(write, "book long").count()
+
+
+def order_files(spark, sf, books=False):
+    """All orders as files: `,` and `;` CSV and parquet by status, and a file of unknown format; on request those
+    in parquet as workbooks instead."""
     folder = K.workspace(spark)
     o = _orders_text(spark, sf)
     K.write_csv(o.where("o_orderstatus = 'F'"), f"{folder}/finished")
     K.write_csv(o.where("o_orderstatus = 'O'"), f"{folder}/open", ";")
-    K.write_parquet(o.where("o_orderstatus = 'P'"), f"{folder}/pending")
+    pending = o.where("o_orderstatus = 'P'")
+    if books:
+        _write_books(pending, f"{folder}/books")
+    else:
+        K.write_parquet(pending, f"{folder}/pending")
     o.select(F.lit("plain words").alias("value")).limit(1).write.text(f"{folder}/notes")
     return folder
 
@@ -56,6 +80,18 @@ def s2(spark, sf):
     return txt.distinct()
 
 
+@query("s4_detect_encoding", """SELECT e.encoding, c_custkey, 'Señor ' || c_name AS name FROM customer, (VALUES ('utf-8'), ('latin-1')) AS e(encoding)""")
+def s4(spark, sf):
+    """Accented names in two encodings; the files are read by the encoding that was found."""
+    folder = K.workspace(spark)
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Señor "), "c_name").alias("name"))
+    for encoding in ("UTF-8", "ISO-8859-1"):
+        c.write.option("header", True).option("encoding", encoding).csv(f"{folder}/{encoding}")
+    groups = S.file_encodings(spark, folder).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()
+    parts = [S.read_delimited(spark, r["paths"], ",", r["encoding"]).select(F.lit(r["encoding"]).alias("encoding"), F.col("c_custkey").cast("bigint").alias("c_custkey"), "name") for r in groups]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("s3_read_csv_auto", ORDER_SQL)
 def s3(spark, sf):
     folder = K.workspace(spark)
@@ -112,10 +148,10 @@ def s10(spark, sf):
     return found.withColumn("cells", F.array_join("cells", "|"))
 
 
-def workbook_bytes(head, row):
-    """A minimal workbook with one sheet of two rows."""
+def workbook_bytes(*rows):
+    """A minimal workbook with one sheet."""
     cells = [
-        "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f"<c><v>{v}</v></c>" for v in r) for r in (head, row)
+        "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else "<c/>" if v is None else f"<c><v>{v}</v></c>" for v in r) for r in rows
     ]
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -139,7 +175,7 @@ def s11(spark, sf):
 
 @query("s12_read_many", ORDER_SQL)
 def s12(spark, sf):
-    tables, _ = S.read_many(spark, order_files(spark, sf))
+    tables, _ = S.read_many(spark, order_files(spark, sf, books=True))
     out = None
     for df in tables.values():
         part = _typed_orders(df)
@@ -149,7 +185,7 @@ def s12(spark, sf):
 
 @query("s13_ingest_directory", ORDER_SQL)
 def s13(spark, sf):
-    got = S.ingest_directory(spark, order_files(spark, sf))["unified"]
+    got = S.ingest_directory(spark, order_files(spark, sf, books=True))["unified"]
     return got.select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"), "o_orderstatus", "o_totalprice",
         F.col("o_orderdate").cast("timestamp").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lumora.functions import columns as C
@@ -85,25 +87,39 @@ def trim_table(df: DataFrame, order: str) -> DataFrame:
 
 # ---------------------------------------------------------------- type inference
 
-#: Head rows read in one top-k; columns with fewer than 100 values among them get a pass of their own.
-HEAD_ROWS = 1000
+#: Values of a column that tell its type.
+HEAD_VALUES = 100
 
 
 def _head_arrays(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(column, v): the first 100 non-null values of each column as text, in `order`."""
+    """(column, v): the first HEAD_VALUES non-null values of each column as text, in `order`, in one pass.
+
+    Each task keeps its least values per column; these short lists are merged per column.
+    """
     keys = [f"_o{i}" for i in range(len(order))]
-    keyed = df.select(
-        *[F.col(f"`{o}`").alias(k) for o, k in zip(order, keys)],
-        *[F.col(f"`{c}`").cast("string").alias(c) for c in cols],
-    )
-    top = keyed.orderBy(*keys).limit(HEAD_ROWS).collect()
-    texts = {c: [r[c] for r in top if r[c] is not None][:100] for c in cols}
-    if len(top) == HEAD_ROWS:
-        for c in cols:
-            if len(texts[c]) < 100:
-                rows = keyed.where(F.col(f"`{c}`").isNotNull()).orderBy(*keys).limit(100).select(f"`{c}`").collect()
-                texts[c] = [r[0] for r in rows]
-    return df.sparkSession.createDataFrame([(c, texts[c]) for c in cols], "column string, v array<string>")
+    keyed = df.select(*[F.col(f"`{o}`").alias(k) for o, k in zip(order, keys)], *[F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
+    by = [(k, "ascending") for k in keys]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows.take(pc.sort_indices(rows, sort_keys=by, null_placement="at_start"))
+            for i in range(len(cols)):
+                own = rows.select([*keys, f"_c{i}"]).filter(pc.is_valid(rows.column(f"_c{i}"))).slice(0, HEAD_VALUES).rename_columns([*keys, "v"])
+                if i in best and own.num_rows:
+                    own = pa.concat_tables([best[i], own])
+                    own = own.take(pc.sort_indices(own, sort_keys=by, null_placement="at_start")).slice(0, HEAD_VALUES)
+                best[i] = own if own.num_rows else best.get(i, own)
+        for i, rows in best.items():
+            yield from rows.append_column("at", pa.array([i] * rows.num_rows, pa.int32())).to_batches()
+
+    kinds = ", ".join(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in keys)
+    lists = keyed.mapInArrow(least, f"{kinds}, v string, at int")
+    ranked = lists.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(*keys))).where(F.col("r") <= HEAD_VALUES)
+    heads = ranked.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("s"))
+    named = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, column string")
+    return named.join(heads, "at", "left").select("column", F.coalesce(F.transform("s", lambda s: s["v"]), F.array().cast("array<string>")).alias("v"))
 
 
 def infer_types(df: DataFrame, order: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
@@ -330,7 +346,8 @@ def detect_time_columns(df: DataFrame, order: Sequence[str]) -> list[str]:
 
 # ---------------------------------------------------------------- union
 
-def _typed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+def tag_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Adds `_type_c` for every data column c."""
     return df.select("*", *[F.lit(types.get(c, "qualitative")).alias(f"_type_{c}") for c in data_names(df)])
 
 
@@ -345,7 +362,7 @@ def union_tables(
             "*", F.lit(name).alias("_source_file"), F.lit(0).alias("_table_index"),
             F.lit(",".join(times) or None).cast("string").alias("_time_columns"),
         )
-        parts.append(_typed(tagged, types) if types is not None else tagged)
+        parts.append(tag_types(tagged, types) if types is not None else tagged)
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     primary = next((c for c in merged.columns if any(w in c.lower() for w in TIME_WORDS)), None)
     return merged.orderBy(F.col(f"`{primary}`").asc_nulls_last()) if sort and primary else merged
@@ -362,7 +379,7 @@ def union_with_pivot(
             "*", F.lit(name).alias("_source_file"), F.lit(i).alias("_file_index"), F.lit(fmt).alias("_file_format")
         )
         if types is not None:
-            tagged = _typed(tagged, types)
+            tagged = tag_types(tagged, types)
         pivot = pivots.get(i)
         if pivot in df.columns:
             tagged = tagged.select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -11,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumora.functions.columns import null_tokens
-from lumora.operators.schema import apply_types, clean_names, infer_types, union_tables
+from lumora.operators.schema import apply_types, clean_names, infer_types, tag_types, union_tables
+from lumora.sources.folders import HEAD_BYTES, file_heads, read_folder
+from lumora.sources.tables import cells_to_columns
+from lumora.plans.sizing import cut_lineage, join_on
 
 # Known extensions, trial encodings and separators.
 FORMATS = {
@@ -19,9 +21,6 @@ FORMATS = {
 }
 ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
 SEPARATORS = [",", ";", "\t", "|"]
-HEAD_BYTES = 10_000
-#: Larger files are sniffed from their first lines instead of a binary read.
-SNIFF_LIMIT = 64 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, folder: str, exts: Sequence[str] | None = None) -> DataFrame:
@@ -76,24 +75,19 @@ SNIFF_SCHEMA = "path string, format string, encoding string, separator string, h
 
 
 def sniff_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, format, encoding, separator, header, error) for all files in one job."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    heads = files.where(F.col("length") <= SNIFF_LIMIT).select("path", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    """(path, format, encoding, separator, header, error) for all files in one job, from their first bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([sniff_head(p, bytes(h)) for p, h in zip(b["path"], b["head"])],
                                columns=["path", "format", "encoding", "separator", "header", "error"])
 
-    sniffed = heads.mapInPandas(run, SNIFF_SCHEMA)
-    large = [r["path"] for r in files.where(F.col("length") > SNIFF_LIMIT).select("path").collect()]
-    if large:
-        rows = []
-        for path in large:  # a limit on an unsorted scan reads the first split only
-            lines = spark.read.text(path).select(F.col("value").cast("binary")).limit(20).collect()
-            rows.append(tuple(sniff_head(path, b"\n".join(bytes(r[0]) for r in lines)).values()))
-        sniffed = sniffed.unionByName(spark.createDataFrame(rows, SNIFF_SCHEMA))
-    return sniffed
+    return file_heads(spark, folder).select("path", "head").mapInPandas(run, SNIFF_SCHEMA)
+
+
+def file_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, encoding) of every file."""
+    return sniff_files(spark, folder).select("path", "encoding")
 
 
 def _missing(df: DataFrame) -> DataFrame:
@@ -103,7 +97,8 @@ def _missing(df: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """Delimited text with a header. Values stay text with missing tokens removed; types are inferred later."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", False)
+    charset = "utf-8" if encoding == "utf-8" else "iso-8859-1"  # what Spark calls the trial encodings
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", charset).option("multiLine", False)
     reader = reader.option("escape", '"').option("mode", "PERMISSIVE")
     return _missing(reader.csv(paths if isinstance(paths, str) else list(paths)))
 
@@ -141,46 +136,76 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
+def read_xml(spark: SparkSession, paths: str | Sequence[str], row_tag: str = "row") -> DataFrame:
+    return spark.read.format("xml").option("rowTag", row_tag).load(paths if isinstance(paths, str) else list(paths))
 
 
 # ---------------------------------------------------------------- many files
 
+_ALIKE = ["format", "encoding", "separator", "header"]
+
+
+def _sheet_groups(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """Rows of sheets or tables below their header row, with the header; empty rows don't count."""
+    rows = read_folder(spark, source, folder)
+    rows = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+    filled = rows.where(F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "") | F.col("error").isNotNull())
+    first = filled.groupBy("path").agg(F.min("row").alias("_top"), F.min_by("cells", "row").alias("_head"), F.max("error").alias("_error"))
+    return filled.select("path", "row", "cells").join(first, "path")
+
+
+def _scan(spark: SparkSession, fmt: str, encoding: str, sep: str, paths: Sequence[str]) -> DataFrame:
+    if fmt in ("csv", "tsv"):
+        df = read_delimited(spark, paths, sep, encoding)
+        if len(df.columns) < 2:
+            raise ValueError("fewer than two columns")
+    else:
+        df = read_json_any(spark, paths) if fmt == "json" else spark.read.parquet(*paths) if fmt == "parquet" else read_xml(spark, paths)
+    if not df.columns:
+        raise ValueError("no columns")
+    return df
+
+
 def read_many(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables by group name, ingest log). Files with equal format, separator, encoding and header share a scan.
 
-    A group that cannot be read is recorded in the log and the others go on.
+    Workbooks (first sheet) and pages (first table) are grouped by their header row. A group or file that cannot be
+    read is recorded in the log and the others go on. The log is a DataFrame with a row per file; the paths of a
+    group reach the driver, where Spark's own file index of the scan holds them too.
     """
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    log: list[tuple] = []
-    for r in sniff_files(spark, folder).collect():  # one row per file, as in a file listing
-        if r["error"] or r["format"] in ("html", "xlsx"):
-            log.append((r["path"], r["format"], False, r["error"] or "use the table reader of this format", None))
-        else:
-            groups[(r["format"], r["encoding"], r["separator"], r["header"])].append(r["path"])
+    sniffed = cut_lineage(sniff_files(spark, folder))
+    plain = sniffed.where(F.col("error").isNull() & ~F.col("format").isin("html", "xlsx"))
+    groups = sorted(plain.groupBy(*_ALIKE).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect(), key=lambda r: r["paths"][0])
     tables: dict[str, DataFrame] = {}
-    for i, ((fmt, encoding, sep, _), paths) in enumerate(sorted(groups.items(), key=lambda kv: min(kv[1]))):
+    outcome: list[tuple] = []
+    for r in groups:
+        name, error = f"group_{len(outcome)}_{r['format']}", None
         try:
-            if fmt in ("csv", "tsv"):
-                df = read_delimited(spark, paths, sep, encoding)
-                if len(df.columns) < 2:
-                    raise ValueError("fewer than two columns")
-            elif fmt == "json":
-                df = read_json_any(spark, paths)
-            elif fmt == "parquet":
-                df = spark.read.parquet(*paths)
-            else:
-                df = reduce(DataFrame.unionByName, [read_xml(spark, p) for p in paths])
-            if not df.columns:
-                raise ValueError("no columns")
-            name = f"group_{i}_{fmt}"
-            tables[name] = df
-            log += [(p, fmt, True, None, name) for p in paths]
+            tables[name] = _scan(spark, r["format"], r["encoding"], r["separator"], r["paths"])
         except Exception as e:  # noqa: BLE001  (the log keeps the reason, other groups continue)
-            log += [(p, fmt, False, re.sub(r"\s+", " ", str(e))[:300], None) for p in paths]
-    schema = "path string, format string, success boolean, error string, table_name string"
-    return tables, spark.createDataFrame(log, schema)
+            name, error = None, re.sub(r"\s+", " ", str(e))[:300]
+        outcome.append((*[r[c] for c in _ALIKE], name, error))
+    logs = []
+    known = spark.createDataFrame(outcome, "format string, encoding string, separator string, header string, table_name string, _error string")
+    logs.append(join_on(plain, known, _ALIKE).select("path", "format", F.col("_error").isNull().alias("success"), F.col("_error").alias("error"), "table_name"))
+    logs.append(sniffed.where("error IS NOT NULL").select("path", "format", F.lit(False).alias("success"), "error", F.lit(None).cast("string").alias("table_name")))
+    formats = {r["format"] for r in sniffed.where("error IS NULL").select("format").distinct().collect()}
+    for fmt, source in (("xlsx", "workbook_sheets"), ("html", "html_files")):
+        if fmt not in formats:
+            continue
+        rows = cut_lineage(_sheet_groups(spark, folder, source))
+        heads = sorted(r["_head"] for r in rows.where("_head IS NOT NULL").select("_head").distinct().collect())
+        names = [(head, f"group_{len(outcome) + k}_{fmt}") for k, head in enumerate(heads)]
+        outcome += names
+        for head, name in names:
+            cells = rows.where(F.col("_head").eqNullSafe(F.array(*[F.lit(h) for h in head])) & (F.col("row") > F.col("_top")))
+            columns = [h if h and h.strip() else f"column_{i}" for i, h in enumerate(head)]
+            tables[name] = _missing(cells_to_columns(cells, columns, 0).drop("path", "row"))
+        named = spark.createDataFrame(names, "_head array<string>, table_name string")
+        files = sniffed.where(F.col("format") == fmt).select("path").join(rows.groupBy("path").agg(F.first("_head").alias("_head"), F.first("_error").alias("_error")), "path", "left")
+        reason = F.when(F.col("table_name").isNull(), F.coalesce("_error", F.lit("no table")))
+        logs.append(files.join(named, "_head", "left").select("path", F.lit(fmt).alias("format"), F.col("table_name").isNotNull().alias("success"), reason.alias("error"), "table_name"))
+    return tables, reduce(DataFrame.unionByName, logs)
 
 
 def table_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], types: Mapping[str, Mapping[str, str]], log: DataFrame) -> DataFrame:
@@ -192,23 +217,25 @@ def table_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], types: M
     schema = "table_name string, has_time_column boolean, time_column string, columns array<struct<name:string,dtype:string>>"
     if not rows:
         return spark.createDataFrame([], "file_path string, " + schema)
-    described = spark.createDataFrame(rows, schema)
-    return log.where("success").select(F.col("path").alias("file_path"), "table_name").join(F.broadcast(described), "table_name")
+    return log.where("success").select(F.col("path").alias("file_path"), "table_name").join(spark.createDataFrame(rows, schema), "table_name")
 
 
 def ingest_directory(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Read, clean, type and stack all files below `folder`: {unified, catalog, log}."""
+    """Read, clean, type and stack all files below `folder`: {unified, catalog, log}.
+
+    Every column `c` has its inferred type in `_type_c`; numbers and dates are parsed by it. Rows come in order of the first
+    time column, without a time last.
+    """
     tables, log = read_many(spark, folder)
     typed, kinds = [], {}
     for name, raw in tables.items():
         df = clean_names(raw)
         found = {r["column"]: r["dtype"] for r in infer_types(df, df.columns[:1]).collect()}
         kinds[name] = found
-        typed.append((name, apply_types(df, found)))
+        typed.append((name, tag_types(apply_types(df, found), found)))
     if not typed:
         raise ValueError(f"no readable file below {folder}")
-    unified = union_tables(typed, None, sort=False)
-    return {"unified": unified, "catalog": table_catalog(spark, tables, kinds, log), "log": log}
+    return {"unified": union_tables(typed), "catalog": table_catalog(spark, tables, kinds, log), "log": log}
 
 
 # The two source files of the domain pair and their tags.

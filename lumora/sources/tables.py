@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -57,6 +58,14 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
+def page_tables(text: str) -> list[list[list[str]]]:
+    """All tables of a page, as rows of cells."""
+    parser = _Tables()
+    parser.feed(text)
+    parser.close()
+    return [[r for r in t if r] for t in parser.tables]
+
+
 def html_tables(pages: DataFrame, url: str = "url", html: str = "html", all_tables: bool = False) -> DataFrame:
     """(url, table_count, table_index, row, cells): the first (or every) table of each page; tasks hold one batch of pages."""
 
@@ -64,10 +73,7 @@ def html_tables(pages: DataFrame, url: str = "url", html: str = "html", all_tabl
         for batch in batches:
             rows = []
             for u, text in zip(batch["url"], batch["html"]):
-                parser = _Tables()
-                parser.feed(text or "")
-                parser.close()
-                found = [[r for r in t if r] for t in parser.tables]
+                found = page_tables(text or "")
                 for i, table in enumerate(found if all_tables else found[:1]):
                     rows += [(u, len(found), i, k, cells) for k, cells in enumerate(table)]
             yield pd.DataFrame(rows, columns=["url", "table_count", "table_index", "row", "cells"])
@@ -83,9 +89,9 @@ def _column_number(ref: str) -> int:
     return n - 1
 
 
-def workbook_sheet(content: bytes, sheet: int | str = 0) -> tuple[list[str], str, list[list[str | None]]]:
-    """(sheet names, chosen sheet, rows of cell texts) of one .xlsx file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+def workbook_sheet(content: bytes | IO[bytes], sheet: int | str = 0) -> tuple[list[str], str, list[list[str | None]]]:
+    """(sheet names, chosen sheet, rows of cell texts) of one .xlsx file, given whole or as an open file."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         entries = [(s.get("name"), s.get(LINK)) for s in book.iter(f"{SHEET}sheet")]
         names = [n for n, _ in entries]
