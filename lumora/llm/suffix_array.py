@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 
+_ZERO = np.zeros(1, np.int64)
+_PLACES = np.arange(1 << 16)
+
+
 def rising(t: np.ndarray) -> np.ndarray:
     """Whether the suffix at each place is smaller than the one after it; the end of the text is the least character."""
     out = np.zeros(len(t), bool)
@@ -16,23 +18,23 @@ def rising(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stretches(t: np.ndarray, chosen: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+def _stretches(t: np.ndarray, chosen: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Consecutive ranges of characters such that no chosen suffix begins in the range of its successor, unless both begin alike."""
     if size <= 256:
-        yield from ((c, c) for c in range(size))
-        return
+        return [(c, c) for c in np.flatnonzero(np.bincount(t, minlength=size)).tolist()]
     j = np.flatnonzero(chosen[:-1] & (t[:-1] > t[1:]))
     nearest = np.full(size, size)
     np.minimum.at(nearest, t[j + 1], t[j])
     nearest = np.minimum.accumulate(nearest[::-1])[::-1].tolist()
-    c = 0
+    found, c = [], 0
     while c < size:
         last = nearest[c] - 1
-        yield c, last
+        found.append((c, last))
         c = last + 1
+    return found
 
 
-def _induce(t: np.ndarray, sa: np.ndarray, heads: np.ndarray, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> None:
+def _induce(t: np.ndarray, sa: np.ndarray, heads: np.ndarray, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray, stretches: list[tuple[int, int]]) -> None:
     """From the suffixes in `sa`, front to back, put the chosen predecessors at the heads of their buckets."""
 
     def put(j: np.ndarray, c: np.ndarray) -> None:
@@ -41,14 +43,21 @@ def _induce(t: np.ndarray, sa: np.ndarray, heads: np.ndarray, starts: np.ndarray
             sa[at : at + len(j)] = j
             heads[c[0]] += len(j)
             return
-        order = np.argsort(c, kind="stable")
+        order = c.argsort(kind="stable")
         c, j = c[order], j[order]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        counts = np.diff(first, append=len(c))
-        sa[np.repeat(heads[c[first]] - first, counts) + np.arange(len(c))] = j
-        heads[c[first]] += counts
+        first = np.concatenate([_ZERO, (c[1:] != c[:-1]).nonzero()[0] + 1])
+        of = c[first]
+        if len(first) == len(c):
+            sa[heads[of]] = j
+            heads[of] += 1
+            return
+        counts = np.empty_like(first)
+        counts[:-1] = first[1:] - first[:-1]
+        counts[-1] = len(c) - first[-1]
+        sa[(heads[of] - first).repeat(counts) + _PLACES[: len(c)] if len(c) <= len(_PLACES) else (heads[of] - first).repeat(counts) + np.arange(len(c))] = j
+        heads[of] += counts
 
-    for low, high in _stretches(t, chosen, len(starts)):
+    for low, high in stretches:
         a, b = starts[low], ends[high]
         if a == b:
             continue
@@ -77,7 +86,15 @@ def _induce(t: np.ndarray, sa: np.ndarray, heads: np.ndarray, starts: np.ndarray
             put(j, c)
 
 
-def _from_leftmost(t: np.ndarray, size: int, up: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+class _Text:
+    """What both inductions over a text share."""
+
+    def __init__(self, t: np.ndarray, size: int, up: np.ndarray) -> None:
+        self.mirrored = (size - 1 - t.astype(np.int32)).astype(t.dtype)
+        self.forth, self.back = _stretches(t, ~up, size), _stretches(self.mirrored, up, size)
+
+
+def _from_leftmost(t: np.ndarray, size: int, up: np.ndarray, leftmost: np.ndarray, known: _Text) -> np.ndarray:
     """All suffixes in order, induced from the leftmost-smaller ones in theirs."""
     n = len(t)
     counts = np.bincount(t, minlength=size)
@@ -91,10 +108,9 @@ def _from_leftmost(t: np.ndarray, size: int, up: np.ndarray, leftmost: np.ndarra
     heads = starts.copy()
     sa[heads[t[n - 1]]] = n - 1
     heads[t[n - 1]] += 1
-    _induce(t, sa, heads, starts, ends, ~up)
+    _induce(t, sa, heads, starts, ends, ~up, known.forth)
     sa[places] = -1
-    mirrored = (size - 1 - t.astype(np.int32)).astype(t.dtype)
-    _induce(mirrored, sa[::-1], (n - ends)[::-1].copy(), (n - ends)[::-1], (n - starts)[::-1], up)
+    _induce(known.mirrored, sa[::-1], (n - ends)[::-1].copy(), (n - ends)[::-1], (n - starts)[::-1], up, known.back)
     return sa
 
 
@@ -108,7 +124,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     is_leftmost[0] = False
     is_leftmost[1:] &= ~up[:-1]
     leftmost = np.flatnonzero(is_leftmost).astype(np.int32)
-    rough = _from_leftmost(t, size, up, leftmost[np.argsort(t[leftmost], kind="stable")])
+    known = _Text(t, size, up)
+    rough = _from_leftmost(t, size, up, leftmost[np.argsort(t[leftmost], kind="stable")], known)
     if len(leftmost) < 2:
         return rough
     order = rough[is_leftmost[rough]]
@@ -130,7 +147,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
         reduced = np.empty(len(order), np.int32)
         reduced[number[order]] = names
         order = leftmost[suffix_array(reduced, int(names[-1]) + 1)]
-    return _from_leftmost(t, size, up, order)
+    return _from_leftmost(t, size, up, order, known)
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, begins: np.ndarray, cap: int) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller id. Equal strings have the
 same least hash among their 16-byte parts, the anchor. Shards of texts first tell, by 32 bits per anchor, which anchors
-occur more than once. Only stretches of strings with such an anchor become pieces; equal pieces are joined, and pieces are
-dealt out by their anchor. Each task sorts all suffixes of its pieces by induced sorting; neighbours whose common
-prefix is as long as a window are one class, and the least id of each class goes back to the texts.
+occur more than once. Only stretches of strings with such an anchor become pieces; each shard sends a piece once, packed
+with others for the task of its anchor. A task joins equal pieces and sorts all suffixes of what is left by induced
+sorting; neighbours whose common prefix is as long as a window are one class, and the least id of each class goes
+back to the shards.
 """
 
 from __future__ import annotations
@@ -26,9 +27,7 @@ WINDOW, PART = 50, 16
 RUN = WINDOW - PART + 1
 PIECE = WINDOW + RUN - 1
 #: Bytes of text in a shard, of pieces in one suffix array, of shards in a bucket, and anchors told apart in one task.
-SHARD_BYTES, ARRAY_BYTES, BUCKET_BYTES, ANCHORS = 4 << 20, 6 << 20, 24 << 20, 1 << 20
-#: With more pieces than this, an anchor's windows are dealt out one by one, by their own hash.
-CROWDED = 20_000
+SHARD_BYTES, ARRAY_BYTES, BUCKET_BYTES, ANCHORS = 4 << 20, 8 << 20, 24 << 20, 1 << 20
 #: Stands for a null id, which comes before all others.
 NO_ID = -(1 << 63)
 #: Between pieces; no byte of UTF-8.
@@ -175,55 +174,83 @@ def _short(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> _U(32)) % _U(buckets)) << _U(32) | (anchor & _U(0xFFFFFFFF))
 
 
-_PIECES = "shard long, number int, anchor long, print long, bytes binary, least long, most long"
+def _prints(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of every piece, at most 88 bytes long; `raw` goes on for 88 bytes behind the last one."""
+    rows = np.lib.stride_tricks.sliding_window_view(raw, 88)[begins]
+    rows *= np.arange(88) < sizes[:, None]
+    mixed = sizes.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    for w in range(11):
+        mixed = (mixed ^ rows[:, 8 * w : 8 * w + 8].copy().view("<u8")[:, 0]) * _U(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> _U(31)
+    return mixed
+
+
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins, in sorted columns."""
+    begins = np.zeros(len(columns[0]), bool)
+    begins[:1] = True
+    for c in columns:
+        begins[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(begins)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    whole = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+#: Of task −1: where the pieces of a shard are. Else: pieces that a task sorts.
+_PIECES = "task int, shard long, count int, blob binary"
 
 
 def pieces(shards: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
-    """The distinct pieces of each shard, with the least and largest id that has them; and one row per shard
-    (number −1) that tells where its pieces are."""
+    """The distinct pieces of each shard with the least and largest id that has them, packed by the task that sorts them;
+    and one row per shard (task −1) that tells where its pieces are."""
     buckets = max(24, total // 18 // ANCHORS)
+    tasks = max(24, total // ARRAY_BYTES)
 
     def cut(row: pa.Table, told: pa.Table) -> pa.Table:
-        if not row.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("shard", pa.int64()), ("number", pa.int32()), ("anchor", pa.int64()), ("print", pa.int64()), ("bytes", pa.binary()), ("least", pa.int64()), ("most", pa.int64()))})
-        shard, ids, ends, text = _shard(row)
-        first, count, anchor = runs(text, ends)
-        elsewhere = np.sort(np.concatenate([np.zeros(0, _U), *[np.frombuffer(b, _U) for b in told.column("anchors").to_pylist()]]))
-        short = _short(anchor, buckets)
-        chosen = _among(elsewhere, short)
-        own = ids[np.searchsorted(ends, first, side="right")]
-        order = np.argsort(anchor, kind="stable")
-        group = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-        if len(group):
-            unlike = np.minimum.reduceat(own[order], group) < np.maximum.reduceat(own[order], group)
-            chosen[order] |= np.repeat(unlike, np.diff(group, append=len(order)))
-        first, count, anchor, own = first[chosen], count[chosen], anchor[chosen], own[chosen]
-        size = count + WINDOW - 1
-        padded = np.concatenate([text, np.zeros(96, np.uint8)])
-        rows = np.lib.stride_tricks.sliding_window_view(padded, 88)[first]
-        there = np.arange(88) < size[:, None]
-        rows *= there
-        mixed = size.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
-        for w in range(11):
-            mixed = (mixed ^ rows[:, 8 * w : 8 * w + 8].copy().view("<u8")[:, 0]) * _U(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> _U(31)
-        order = np.lexsort((mixed, anchor))
-        begins = np.ones(len(order), bool)
-        begins[1:] = (anchor[order][1:] != anchor[order][:-1]) | (mixed[order][1:] != mixed[order][:-1])
-        group = np.flatnonzero(begins)
-        number = np.empty(len(order), np.int32)
-        number[order] = np.cumsum(begins) - 1
-        lead = order[group]
-        least = np.minimum.reduceat(own[order], group) if len(group) else own
-        most = np.maximum.reduceat(own[order], group) if len(group) else own
-        offsets = np.concatenate([[0], np.cumsum(size[lead])]).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(offsets), pa.py_buffer(rows[lead][there[lead]])])
-        where = np.stack([first.astype(np.int32), count.astype(np.int32), number]).tobytes()
-        return pa.table({
-            "shard": pa.array(np.full(len(lead) + 1, shard)), "number": pa.array(np.arange(-1, len(lead), dtype=np.int32)),
-            "anchor": pa.array(np.concatenate([[0], anchor[lead].view(np.int64)])), "print": pa.array(np.concatenate([[0], mixed[lead].view(np.int64)])),
-            "bytes": pa.concat_arrays([pa.array([where], pa.binary()), blob]), "least": pa.array(np.concatenate([[0], least])), "most": pa.array(np.concatenate([[0], most])),
-        })
+        out: dict[str, list] = {"task": [], "shard": [], "count": [], "blob": []}
+        kinds = {"task": pa.int32(), "shard": pa.int64(), "count": pa.int32(), "blob": pa.binary()}
+        if row.num_rows:
+            shard, ids, ends, text = _shard(row)
+            first, count, anchor = runs(text, ends)
+            elsewhere = np.sort(np.concatenate([np.zeros(0, _U), *[np.frombuffer(b, _U) for b in told.column("anchors").to_pylist()]]))
+            chosen = _among(elsewhere, _short(anchor, buckets))
+            own = ids[np.searchsorted(ends, first, side="right")]
+            order = np.argsort(anchor, kind="stable")
+            group = _groups(anchor[order])
+            if len(group):
+                unlike = np.minimum.reduceat(own[order], group) < np.maximum.reduceat(own[order], group)
+                chosen[order] |= np.repeat(unlike, np.diff(group, append=len(order)))
+            first, count, anchor, own = first[chosen], count[chosen], anchor[chosen], own[chosen]
+            sizes = count + WINDOW - 1
+            padded = np.concatenate([text, np.zeros(96, np.uint8)])
+            prints = _prints(padded, first, sizes)
+            task = ((anchor * _U(0xA0761D6478BD642F)) >> _U(40)).astype(np.int64) % tasks
+            order = np.lexsort((prints, anchor, task))
+            group = _groups(task[order], anchor[order], prints[order])
+            number = np.empty(len(order), np.int32)
+            number[order] = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(group, append=len(order)))
+            lead = order[group]
+            least = np.minimum.reduceat(own[order], group) if len(group) else own
+            most = np.maximum.reduceat(own[order], group) if len(group) else own
+            cuts = np.append(_groups(task[lead]), len(lead))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                at = lead[x:y]
+                raw = padded[_ragged(first[at], sizes[at])]
+                out["task"].append(int(task[at[0]]))
+                out["count"].append(y - x)
+                out["blob"].append(_packed(anchor[at], least[x:y], most[x:y], np.arange(x, y, dtype=np.int32), sizes[at].astype(np.uint8), raw))
+            out["task"].append(-1)
+            out["count"].append(len(first))
+            out["blob"].append(_packed(first.astype(np.int32), number, count.astype(np.uint8)))
+            out["shard"] = [shard] * len(out["task"])
+        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
 
     return shards.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(cut, _PIECES)
 
@@ -249,113 +276,121 @@ def window_classes(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, lea
     return out
 
 
-_FOUND = "anchor long, print long, skip int, froms binary, ids binary"
+_FOUND = "shard long, count int, blob binary"
 
 
-def sort_pieces(dealt: DataFrame) -> DataFrame:
-    """Least ids of the windows of all pieces that some larger id has too, as runs: places in the piece, and ids.
+def _classes_of(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The least id of every window of distinct pieces, which are sorted by anchor, by suffix arrays of bounded size.
 
-    `dealt` has (key, anchor, print, skip, bytes, least, most); pieces that may hold equal windows have one key. Arrays
-    are cut between keys only.
+    Arrays are cut between anchors. An anchor with more text than an array holds is cut between single windows instead,
+    ordered by their own hash: equal windows stay together.
     """
-
-    def sort(table: pa.Table) -> pa.RecordBatch:
-        blob = table.column("bytes").combine_chunks()
-        blob = blob if isinstance(blob, pa.Array) else pa.concat_arrays(blob.chunks)
-        offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
-        raw = np.frombuffer(blob.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        sizes = np.diff(offsets)
-        begins = offsets[:-1] - offsets[0] + np.arange(len(sizes))
-        text = np.full(len(raw) + len(sizes), GAP, np.uint8)
-        text[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw
-        counts = sizes - WINDOW + 1
-        least = table.column("least").to_numpy()
-        found = window_classes(text, begins, counts, least)
-        first = np.cumsum(counts) - counts
-        below = np.minimum.reduceat(found, first) < table.column("most").to_numpy()
-        cuts = np.ones(len(found), bool)
-        cuts[1:] = found[1:] != found[:-1]
-        cuts[first] = True
-        at = np.flatnonzero(cuts)
-        piece = np.repeat(np.arange(len(counts)), counts)[at]
-        bounds = np.searchsorted(piece, np.arange(len(counts) + 1))
-        froms, ids = (at - first[piece]).astype(np.uint8), found[at]
-        take = np.flatnonzero(below)
-        many = np.diff(bounds)[take]
-
-        def slices(values: np.ndarray) -> pa.Array:
-            ends = np.concatenate([[0], np.cumsum(many)]) * values.itemsize
-            return pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values[_ragged(bounds[take], many)])])
-
-        chosen = table.select(["anchor", "print", "skip"]).take(pa.array(take)).combine_chunks()
-        return pa.record_batch([*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in chosen.columns], slices(froms), slices(ids)], names=["anchor", "print", "skip", "froms", "ids"])
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("bytes").nbytes
-            if size >= ARRAY_BYTES:
-                table = pa.Table.from_batches(held)
-                keys = table.column("key").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-                if cut:
-                    yield sort(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                size = sum(b.column("bytes").nbytes for b in held) if cut else 0
-        if held:
-            yield sort(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(arrays, _FOUND)
-
-
-def deal(made: DataFrame) -> DataFrame:
-    """Distinct pieces with their key: the anchor, or, where an anchor has a crowd of pieces, each window's own hash."""
-    crowds = made.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor")
-    pinned = _written(crowds, "crowds")
-    plain = made.select(F.col("anchor").alias("key"), "anchor", "print", F.lit(-1).alias("skip"), "bytes", "least", "most")
-    if pinned.limit(1).count():
-        plain = plain.join(pinned, "anchor", "left_anti").select(plain.columns)
-        offsets = F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)
-        alone = made.join(pinned, "anchor", "left_semi").select("anchor", "print", "bytes", "least", "most", F.explode(offsets).alias("skip"))
-        alone = alone.withColumn("bytes", F.substring("bytes", F.col("skip") + 1, F.lit(WINDOW)))
-        plain = plain.unionByName(alone.select(F.xxhash64("bytes").alias("key"), "anchor", "print", "skip", "bytes", "least", "most"))
-    size = made.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    tasks = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), size // ARRAY_BYTES)
-    return plain.repartition(tasks, "key").sortWithinPartitions("key")
-
-
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of blobs, and how many each row has."""
-    chunks = [c for c in column.chunks if len(c)]
-    sizes = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in chunks]
-    values = [np.frombuffer(c.buffers()[2], np.uint8)[o[0] : o[-1]] if o[-1] > o[0] else np.zeros(0, np.uint8) for c, o in zip(chunks, sizes)]
-    counts = [np.diff(o).astype(np.int64) for o in sizes]
-    width = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, np.uint8), *values]).view(kind), np.concatenate([np.zeros(0, np.int64), *counts]) // width
-
-
-def covered_bytes(text: np.ndarray, ends: np.ndarray, ids: np.ndarray, where: np.ndarray, told: pa.Table) -> np.ndarray:
-    """Which bytes of a shard go.
-
-    `where` has first window, number of windows and piece number of every occurrence; `told` (number, skip, froms, ids)
-    the runs of least ids of pieces, or of the single window `skip`.
+    counts = sizes - WINDOW + 1
+    offset = np.cumsum(counts) - counts
+    found = np.empty(int(counts.sum()), np.int64)
+
+    def sort(begin: np.ndarray, size: np.ndarray, own: np.ndarray, to: np.ndarray) -> None:
+        starts = np.cumsum(size + 1) - (size + 1)
+        text = np.full(int((size + 1).sum()), GAP, np.uint8)
+        text[_ragged(starts, size)] = raw[_ragged(begin, size)]
+        found[_ragged(to, size - WINDOW + 1)] = window_classes(text, starts, size - WINDOW + 1, own)
+
+    def parts(key: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+        edges = np.append(_groups(key), len(key))
+        filled = np.append(0, np.cumsum(size))[edges]
+        low = 0
+        while low < len(edges) - 1:
+            high = max(low + 1, int(np.searchsorted(filled, filled[low] + ARRAY_BYTES, side="right")) - 1)
+            yield slice(int(edges[low]), int(edges[high]))
+            low = high
+
+    for part in parts(anchor, sizes):
+        if sizes[part].sum() <= 2 * ARRAY_BYTES:
+            sort(begins[part], sizes[part], least[part], offset[part])
+            continue
+        alone = counts[part]
+        begin, to, own = _ragged(begins[part], alone), _ragged(offset[part], alone), np.repeat(least[part], alone)
+        prints = _prints(np.concatenate([raw, np.zeros(88, np.uint8)]), begin, np.full(len(begin), WINDOW))
+        order = np.argsort(prints, kind="stable")
+        for some in parts(prints[order], np.full(len(order), WINDOW)):
+            at = order[some]
+            sort(begin[at], np.full(len(at), WINDOW), own[at], to[at])
+    return found
+
+
+def sort_pieces(cut: DataFrame) -> DataFrame:
+    """Least ids of the windows of all pieces that some larger id of the shard has too, as runs, packed by shard.
+
+    All pieces of an anchor are in one task; pieces of several shards that are equal are joined before they are sorted.
     """
-    first, counts, number = where.astype(np.int64)
+
+    def sort(rows: pa.Table) -> pa.Table:
+        shard, count, blobs = (rows.column(n).to_pylist() for n in ("shard", "count", "blob"))
+        parts: list[list[np.ndarray]] = []
+        for n, blob in zip(count, blobs):
+            whole, at, own = _unpacked(blob), 0, []
+            for kind in (_U, np.int64, np.int64, np.int32, np.uint8):
+                own.append(np.frombuffer(whole, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            parts.append([*own, np.frombuffer(whole, np.uint8, offset=at)])
+        anchor, least, most, number, sizes, raw = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        sizes = sizes.astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        raw = np.concatenate([raw, np.zeros(88, np.uint8)])
+        prints = _prints(raw, begins, sizes)
+        order = np.lexsort((prints, anchor))
+        group = _groups(anchor[order], prints[order])
+        lead = order[group]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(group)), np.diff(group, append=len(order)))
+        found = _classes_of(raw, begins[lead], sizes[lead], anchor[lead], np.minimum.reduceat(least[order], group))
+        counts = sizes[lead] - WINDOW + 1
+        offset = np.cumsum(counts) - counts
+        told = np.minimum.reduceat(found, offset)[which] < most
+        # runs of equal ids within a piece
+        edges = np.zeros(len(found), bool)
+        edges[1:] = found[1:] != found[:-1]
+        edges[offset] = True
+        at = np.flatnonzero(edges)
+        low = np.searchsorted(at, offset)
+        many = np.diff(low, append=len(at))
+        froms = (at - np.repeat(offset, many)).astype(np.uint8)
+        ids = found[at]
+        out_shard, out_count, out_blob, low_row = [], [], [], 0
+        for name, n in zip(shard, count):
+            rows_of = low_row + np.flatnonzero(told[low_row : low_row + n])
+            low_row += n
+            if len(rows_of):
+                w = which[rows_of]
+                take = _ragged(low[w], many[w])
+                out_shard.append(name)
+                out_count.append(len(rows_of))
+                out_blob.append(_packed(number[rows_of], many[w].astype(np.uint8), ids[take], froms[take]))
+        return pa.table({"shard": pa.array(out_shard, pa.int64()), "count": pa.array(out_count, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
+
+    return cut.where("task >= 0").groupBy("task").applyInArrow(sort, _FOUND)
+
+
+def covered_bytes(text: np.ndarray, ends: np.ndarray, ids: np.ndarray, where: tuple[int, bytes], told: list[tuple[int, bytes]]) -> np.ndarray:
+    """Which bytes of a shard go. `where` has first window, piece number and number of windows of every occurrence,
+    `told` the runs of least ids of pieces."""
+    n, blob = where
+    whole = _unpacked(blob)
+    first = np.frombuffer(whole, np.int32, n).astype(np.int64)
+    number, counts = np.frombuffer(whole, np.int32, n, 4 * n), np.frombuffer(whole, np.uint8, n, 8 * n).astype(np.int64)
     length = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
     length[number] = counts
     offset = np.cumsum(length) - length
     least = np.full(int(length.sum()), np.iinfo(np.int64).max)
-    piece, skip = told.column("number").to_numpy(), told.column("skip").to_numpy()
-    (froms, many), (own, _) = _flat(told.column("froms"), np.uint8), _flat(told.column("ids"), np.int64)
-    froms = froms.astype(np.int64)
-    stops = np.append(froms[1:], 0)
-    stops[np.cumsum(many) - 1] = np.where(skip < 0, length[piece], 1)
-    begins = np.repeat(offset[piece] + np.maximum(skip, 0), many) + froms
-    least[_ragged(begins, stops - froms)] = np.repeat(own, stops - froms)
+    for n, blob in told:
+        whole = _unpacked(blob)
+        piece, many = np.frombuffer(whole, np.int32, n), np.frombuffer(whole, np.uint8, n, 4 * n).astype(np.int64)
+        total = int(many.sum())
+        own, froms = np.frombuffer(whole, np.int64, total, 5 * n), np.frombuffer(whole, np.uint8, total, 5 * n + 8 * total).astype(np.int64)
+        stops = np.append(froms[1:], 0)
+        stops[np.cumsum(many) - 1] = length[piece]
+        least[_ragged(np.repeat(offset[piece], many) + froms, stops - froms)] = np.repeat(own, stops - froms)
     starts = _ragged(first, counts)
     owner = np.repeat(ids[np.searchsorted(ends, first, side="right")], counts)
     gone = starts[least[_ragged(offset[number], counts)] < owner]
@@ -373,21 +408,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     shards, total = shard_texts(id_and_text(docs, id_col, text_col))
     cut = _written(pieces(shards, repeated_anchors(shards, total), total), "pieces")
-    texts = cut.where("number >= 0")
-    made = _written(texts.groupBy("anchor", "print").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("bytes").alias("bytes")), "distinct")
-    found = _written(sort_pieces(deal(made)), "classes")
-    back = texts.select("shard", "number", "anchor", "print").join(found, ["anchor", "print"]).select("shard", "number", "skip", "froms", "ids")
-    places = cut.where("number < 0").select("shard", "number", F.lit(-1).alias("skip"), F.col("bytes").alias("froms"), F.lit(b"").cast("binary").alias("ids"))
+    told = sort_pieces(cut).select("shard", F.lit(False).alias("places"), "count", "blob").unionByName(cut.where("task < 0").select("shard", F.lit(True).alias("places"), "count", "blob"))
 
     def remove(row: pa.Table, told: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         if not row.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], kind), "kept": pa.array([], pa.binary())})
         _, ids, ends, text = _shard(row)
-        here = told.column("number").to_numpy() < 0
-        blobs = told.column("froms").filter(pa.array(here)).to_pylist()
-        where = np.frombuffer(blobs[0] if blobs else b"", np.int32).reshape(3, -1)
-        gone = covered_bytes(text, ends, ids, where, told.filter(pa.array(~here)))
+        found = list(zip(*[told.column(n).to_pylist() for n in ("places", "count", "blob")]))
+        where = next((n, b) for places, n, b in found if places)
+        gone = covered_bytes(text, ends, ids, where, [(n, b) for places, n, b in found if not places])
         lows = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -405,7 +435,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kept = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(left), pa.py_buffer(text[~gone])])
         return pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "n_bytes": pa.array(ends - lows), "spans": spans, "kept": kept})
 
-    told = back.unionByName(places)
     return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
