@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.operators import linear as L
 from lumora.operators.bivariate import corr_matrix
+from lumora.operators.clusters import dbscan, isolation_forest, isolation_scores, kmeans, kmeans_summary  # noqa: F401
+from lumora.operators.neighbours import knn_classify  # noqa: F401  (one of the classifiers)
 from lumora.operators.quality import quality_level
 from lumora.operators.relational import numeric_names, sample_n, split_random, text_names
 from lumora.operators.schema import label_encode, scale
@@ -24,7 +26,7 @@ from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
 from lumora.plans.order import ordered_index, running_sums
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on, spread_out
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on
 
 
 def encode_mixed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,21 +42,6 @@ def _assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> Dat
 
 # ---------------------------------------------------------------- clusters
 
-def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, out: str = "cluster") -> DataFrame:
-    """Rows with a cluster label (k-means‖, fixed seed)."""
-    x = _assembled(df, cols)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=out).fit(x)
-    return model.transform(x).drop("features")
-
-
-def kmeans_summary(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
-    """(cluster, size, inertia of the model)."""
-    x = spread_out(_assembled(df, cols).select("features"))
-    model = KMeans(k=k, seed=seed).fit(x)
-    rows = [(i, int(n), float(model.summary.trainingCost)) for i, n in enumerate(model.summary.clusterSizes)]
-    return df.sparkSession.createDataFrame(rows, "cluster int, size long, inertia double")
-
-
 def cluster_stats(labelled: DataFrame, cols: Sequence[str], label: str = "cluster") -> DataFrame:
     """Count, mean and std per cluster and column, 3 decimals."""
     aggs = [a for c in cols for a in (F.round(F.avg(c), 3).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 3).alias(f"{c}_std"))]
@@ -104,163 +91,6 @@ def spectral_clusters(df: DataFrame, cols: Sequence[str], k: int = 3, landmarks:
     return model.transform(placed).drop("_z", "features")
 
 
-def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): least node of each connected component; labels halve their distance each round by pointer jumping."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        step = lower.join(jump, F.col("new") == F.col("_n")).select("node", "label", F.least("new", "_l").alias("new"))
-        step = cut_lineage(step)
-        changed = step.where("new < label").limit(1).count()
-        labels = step.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
-
-
-def dbscan(
-    df: DataFrame, cols: Sequence[str], key: Sequence[str], eps: float = 0.5, min_pts: int = 5, scaled: bool = True, fine: int = 8, out: str = "cluster"
-) -> DataFrame:
-    """Density clusters (−1 noise) on a grid whose cells are so small that a cell's points are all neighbours.
-
-    A cell with `min_pts` points makes them all core without comparing any. Points of the other cells (fewer than
-    `min_pts` each) are compared with the points of adjacent cells, so a crowded cell meets a bounded number of
-    partners. Cells join when core points of both lie within eps; each cell is represented by one point per sub-cell,
-    at most `fine`^d, so links between crowded cells are exact up to eps·(1 ± 2/fine). Two or three columns.
-    """
-    cols, key = list(cols), list(key)
-    d = len(cols)
-    if d > 3:
-        raise ValueError("project to three columns first (see pca)")
-    base = scale(df.dropna(subset=cols), cols, "zscore") if scaled else df.dropna(subset=cols)
-    side = eps / math.sqrt(d)
-    cell = F.array(*[F.floor(F.col(c) / side) for c in cols])
-    pts = cut_lineage(base.select(*key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), cell.alias("cell")))
-    counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    reach = math.ceil(math.sqrt(d))
-    grid = np.array(np.meshgrid(*[range(-reach, reach + 1)] * d)).reshape(d, -1).T
-    near = [g for g in grid.tolist() if sum(max(abs(v) - 1, 0) ** 2 for v in g) < d + 1e-9]
-    offsets = F.array(*[F.array(*[F.lit(int(v)).cast("long") for v in g]) for g in near])
-
-    def neighbours(c: str) -> Column:
-        return F.transform(offsets, lambda o: F.zip_with(F.col(c), o, lambda a, b: a + b))
-
-    def gap(a: str, b: str) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-
-    counted = pts.join(broadcast_if_small(counts), "cell")
-    dense = counted.where(F.col("n") >= min_pts).select(*key, "x", "cell")
-    sparse = counted.where(F.col("n") < min_pts).select(*key, "x", "cell")
-    asked = sparse.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("x").alias("_x"), F.explode(neighbours("cell")).alias("cell"))
-    met = pts.join(broadcast_if_small(asked), "cell").where(gap("x", "_x") <= eps)
-    sparse_core = met.groupBy(*[f"_{k}" for k in key]).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_pts)
-    sparse_core = sparse.join(sparse_core.select(*[F.col(f"_{k}").alias(k) for k in key]), key, "left_semi")
-    core = cut_lineage(dense.unionByName(sparse_core))
-    sub = F.transform("x", lambda v: F.floor(v * fine / side))
-    reps = core.groupBy("cell", sub.alias("sub")).agg(F.min("x").alias("x")).select("cell", "x")
-    spread = reps.select(F.col("cell").alias("a"), F.col("x").alias("_x"), F.explode(neighbours("cell")).alias("cell"))
-    edges = reps.join(spread, "cell").where((F.col("a") < F.col("cell")) & (gap("x", "_x") <= eps)).select("a", F.col("cell").alias("b")).distinct()
-    labels = _components(edges, core.select(F.col("cell").alias("node")).distinct())
-    roots = ordered_index(labels.select("label").distinct(), ["label"], out=out)
-    named = labels.join(broadcast_if_small(roots), "label").select(F.col("node").alias("cell"), F.col(out).cast("int").alias(out))
-    named = broadcast_if_small(named)
-    core_rows = core.join(named, "cell").select(*key, out)
-    border_ask = sparse.join(sparse_core.select(*key), key, "left_anti")
-    border_ask = border_ask.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("x").alias("_x"), F.explode(neighbours("cell")).alias("cell"))
-    border = core.join(broadcast_if_small(border_ask), "cell").where(gap("x", "_x") <= eps).join(named, "cell").groupBy(*[f"_{k}" for k in key]).agg(F.min(out).alias(out))
-    found = core_rows.unionByName(border.select(*[F.col(f"_{k}").alias(k) for k in key], out))
-    return df.dropna(subset=cols).join(found, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
-
-
-# ---------------------------------------------------------------- isolation forest
-
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Random isolation tree as rows (feature, split, left, right, adjusted depth); feature −1 marks a leaf."""
-    nodes: list[tuple] = []
-
-    def average(n: int) -> float:
-        if n <= 1:
-            return 0.0
-        return 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
-
-    def build(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append(())
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (None, None)
-        open_cols = np.flatnonzero(high > low) if len(rows) > 1 else []
-        if depth >= limit or len(open_cols) == 0:
-            nodes[at] = (-1, 0.0, -1, -1, depth + average(len(rows)))
-            return at
-        f = int(rng.choice(open_cols))
-        split = float(rng.uniform(low[f], high[f]))
-        inside = rows[:, f] < split
-        left, right = build(rows[inside], depth + 1), build(rows[~inside], depth + 1)
-        nodes[at] = (f, split, left, right, 0.0)
-        return at
-
-    build(x, 0)
-    return nodes
-
-
-def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Rows with an anomaly score in (0, 1). One bounded hash sample feeds all trees; trees are grown in parallel."""
-    cols = list(cols)
-    mark = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    picked = df.dropna(subset=cols).select(mark.alias("_m"), L._vector(cols).alias("x")).orderBy("_m", "x").limit(trees * sample)
-    rows = picked.count()
-    size = min(sample, rows)
-    used = max(1, min(trees, rows // max(size, 1)))
-    # with few rows every tree sees all of them, in its own random splits
-    if rows < trees * sample:
-        used = trees
-        assigned = picked.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "_m")
-        assigned = assigned.select("x", "tree", F.xxhash64("_m", "tree").alias("_m"))
-    else:
-        assigned = picked.select("x", F.pmod("_m", F.lit(trees)).cast("int").alias("tree"), "_m")
-    limit = math.ceil(math.log2(max(size, 2)))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        ordered = pdf.sort_values("_m").head(sample) if rows < trees * sample else pdf
-        nodes = _grow(np.stack(ordered["x"].to_numpy()).astype(float), np.random.default_rng(seed + tree), limit)
-        f, s, left, right, depth = zip(*nodes)
-        return pd.DataFrame([(tree, len(ordered), list(f), list(s), list(left), list(right), list(depth))],
-                            columns=["tree", "n", "f", "s", "l", "r", "d"])
-
-    schema = "tree int, n int, f array<int>, s array<double>, l array<int>, r array<int>, d array<double>"
-    grown = sorted(assigned.groupBy("tree").applyInPandas(grow, schema).collect(), key=lambda t: t["tree"])
-    forest = [(np.array(t["f"]), np.array(t["s"]), np.array(t["l"]), np.array(t["r"]), np.array(t["d"])) for t in grown]
-    n = float(np.mean([t["n"] for t in grown]))
-    norm = 2 * (math.log(max(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float)
-        total = np.zeros(len(x))
-        place = np.arange(len(x))
-        for f, s, left, right, depth in forest:
-            at = np.zeros(len(x), dtype=int)
-            for _ in range(limit + 1):
-                inner = f[at] >= 0
-                if not inner.any():
-                    break
-                go_left = x[place, np.where(inner, f[at], 0)] < s[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total += depth[at]
-        return pd.Series(np.power(2.0, -total / len(forest) / norm))
-
-    return spread_out(df.dropna(subset=cols)).withColumn("score", score(L._vector(cols)))
-
-
-def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Rows with score and an outlier flag above the contamination quantile."""
-    scored = cut_lineage(isolation_scores(df, cols, key, seed=seed))  # read twice: for the cut and for the rows
-    (cut,) = quantile_values(scored, "score", [1 - contamination])
-    return scored.withColumn("outlier", F.col("score") > F.lit(cut))
-
-
 # ---------------------------------------------------------------- fitted models
 
 REGRESSORS = ["linear", "ridge", "lasso", "elastic_net", "random_forest", "gradient_boosting"]
@@ -298,40 +128,6 @@ def fit_predict_classes(train: DataFrame, test: DataFrame, features: Sequence[st
     return named.select(*test.columns, "prediction")
 
 
-def knn_classify(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """(key, prediction): majority of the k nearest training rows (ties: smaller label).
-
-    Training and test rows are cut into blocks; each pair of blocks is one task that returns only its k nearest
-    per test row, and the k best over all blocks are kept. No pair of rows is ever shuffled, and no side is broadcast.
-    """
-    blocks = max(1, math.ceil(train.count() / block_rows))
-    shards = max(1, math.ceil(test.count() / block_rows))
-    tr = train.select(L._vector(features).alias("x"), F.col(label).cast("string").alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    tr = tr.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    te = test.select(F.col(key).cast("string").alias("id"), L._vector(features).alias("x"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
-    te = te.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "d": [], "y": []})
-        b, y = np.stack(right["x"].to_numpy()).astype(float), right["y"].to_numpy()
-        out = []
-        for start in range(0, len(left), 256):
-            part = left.iloc[start: start + 256]
-            a = np.stack(part["x"].to_numpy()).astype(float)
-            d = np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2)) if b.size * len(a) < 2e7 else np.sqrt(
-                np.clip((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0, None))
-            for i, row in zip(part["id"], d):
-                top = np.lexsort((y, row))[:k]
-                out += [(i, float(row[j]), y[j]) for j in top]
-        return pd.DataFrame(out, columns=["id", "d", "y"])
-
-    found = te.groupBy("block", "shard").cogroup(tr.groupBy("block", "shard")).applyInPandas(nearest, "id string, d double, y string")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y"))), 1, k).alias("n"))  # ≤ k·blocks per row
-    votes = best.select("id", F.explode("n").alias("v")).groupBy("id", F.col("v.y").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    return votes.groupBy(F.col("id").alias(key)).agg(F.min(F.struct(-F.col("c"), "y"))["y"].alias("prediction"))
-
-
 # ---------------------------------------------------------------- metrics
 
 def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -187,3 +187,69 @@ def test_rows_of_the_null_stratum_stay(spark):
     df = spark.range(100).selectExpr("id", "CASE WHEN id % 5 > 0 THEN cast(id % 3 AS string) END AS g")
     assert split_random(df, ["id"], stratify="g").count() == 100
     assert stratified_folds(df, "g", ["id"], 4).count() == 100
+
+
+def test_knn_meets_few_cells_and_counts_copies(spark):
+    """Far fewer pairs than test × train are compared; a third of the training rows are copies of one point."""
+    from lumora.operators import neighbours as NB
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3)) + rng.integers(0, 6, size=(3000, 1)) * 5
+    x[:1000] = x[0]
+    y = rng.integers(0, 3, 3000)
+    df = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y))], "i int, a double, b double, c double, y int")
+    cols = ["a", "b", "c"]
+    train, test = df.where("i % 5 > 0"), df.where("i % 5 = 0")
+    got = {r["i"]: r["prediction"] for r in NB.knn_classify(train, test, cols, "y", "i", block_rows=100).collect()}
+    inside = np.array([i for i in range(3000) if i % 5])
+    for i in range(0, 3000, 5):
+        d = np.sqrt(((x[inside] - x[i]) ** 2).sum(axis=1))
+        near = y[inside][np.lexsort((y[inside], d))[:5]]
+        counts = np.bincount(near, minlength=3)
+        assert got[str(i)] == str(int(counts.argmax()))
+    found = NB.cells(train, cols, "y", 5)
+    assert NB.comparisons(NB.visits(test, cols, "i", found, 5), found) < 600 * 2400 / 8
+    assert NB.nearest(train.where("false"), test, cols, "y", "i").count() == 0
+
+
+def test_dbscan_in_five_columns(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.15, size=(60, 5)) for c in (0, 2, 4)] + [rng.uniform(-3, 7, size=(20, 5))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double, d double, e double")
+    core, label = brute_dbscan(x, 0.6, 5)
+    got = {r["i"]: r["cluster"] for r in M.dbscan(df, list("abcde"), ["i"], 0.6, 5, scaled=False).collect()}
+    noise = {i for i in range(len(x)) if label[i] == -1}
+    assert {i for i, c in got.items() if c == -1} == noise and len(set(got.values()) - {-1}) == len(set(label) - {-1})
+
+
+def test_components_of_long_chains_and_stars(spark):
+    from lumora.operators.clusters import components
+
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 4999)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    nodes = spark.createDataFrame([(v,) for v in {v for e in edges for v in e} | {9999}], "node long")
+    got = {r["node"]: r["label"] for r in components(df, nodes).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + k] == 1000 for k in range(300)) and got[5000] == 4999 and got[9999] == 9999
+
+
+def test_samples_of_trees_are_the_least_hashes(spark):
+    from lumora.operators import clusters as C
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(5000)], "i long, v double")
+    few, many = (sorted((r["tree"], r["mark"], tuple(r["x"])) for r in C.tree_samples(df.repartition(n), ["v"], ["i"], 4, 64, 1).collect()) for n in (1, 9))
+    assert few == many and all(sum(t == k for t, _, _ in few) == 64 for k in range(4))
+    assert len({tuple(x for k, _, x in few if k == t) for t in range(4)}) == 4
+    tiny = C.isolation_scores(df.where("i < 3"), ["v"], ["i"], trees=5)
+    assert tiny.count() == 3 and C.isolation_scores(df.where("false"), ["v"], ["i"]).count() == 0
+
+
+def test_kmeans_starts_do_not_depend_on_layout(spark):
+    from lumora.operators import clusters as C
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, size=(200, 2)) for c in ([0, 0], [5, 0], [0, 5], [5, 5])])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double")
+    one, two = ([tuple(r)[:2] for r in C.kmeans_summary(df.repartition(n), ["a", "b"], 4).collect()] for n in (1, 6))
+    assert one == two == [(k, 200) for k in range(4)]
+    labels = {r["i"]: r["cluster"] for r in C.kmeans(df, ["a", "b"], 4).collect()}
+    assert all(len({labels[i] for i in range(200 * g, 200 * g + 200)}) == 1 for g in range(4))
