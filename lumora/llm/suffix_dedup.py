@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -203,19 +204,19 @@ def _unpacked(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
-#: Of task −1: where the pieces of a shard are. Else: pieces that a task sorts.
-_PIECES = "task int, shard long, count int, blob binary"
+#: Pieces for a task to sort, or, with `places`, where the pieces of a shard are, which the task hands on.
+_PIECES = "task int, shard long, places boolean, count int, blob binary"
 
 
 def pieces(shards: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
     """The distinct pieces of each shard with the least and largest id that has them, packed by the task that sorts them;
-    and one row per shard (task −1) that tells where its pieces are."""
+    and one row per shard that tells where its pieces are."""
     buckets = max(24, total // 18 // ANCHORS)
-    tasks = max(24, total // ARRAY_BYTES)
+    tasks = max(24, total // (2 * ARRAY_BYTES))
 
     def cut(row: pa.Table, told: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"task": [], "shard": [], "count": [], "blob": []}
-        kinds = {"task": pa.int32(), "shard": pa.int64(), "count": pa.int32(), "blob": pa.binary()}
+        out: dict[str, list] = {"task": [], "shard": [], "places": [], "count": [], "blob": []}
+        kinds = {"task": pa.int32(), "shard": pa.int64(), "places": pa.bool_(), "count": pa.int32(), "blob": pa.binary()}
         if row.num_rows:
             shard, ids, ends, text = _shard(row)
             first, count, anchor = runs(text, ends)
@@ -246,7 +247,8 @@ def pieces(shards: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
                 out["task"].append(int(task[at[0]]))
                 out["count"].append(y - x)
                 out["blob"].append(_packed(anchor[at], least[x:y], most[x:y], np.arange(x, y, dtype=np.int32), sizes[at].astype(np.uint8), raw))
-            out["task"].append(-1)
+            out["places"] = [False] * len(out["task"]) + [True]
+            out["task"].append(shard % tasks)
             out["count"].append(len(first))
             out["blob"].append(_packed(first.astype(np.int32), number, count.astype(np.uint8)))
             out["shard"] = [shard] * len(out["task"])
@@ -276,7 +278,7 @@ def window_classes(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, lea
     return out
 
 
-_FOUND = "shard long, count int, blob binary"
+_FOUND = "shard long, places boolean, count int, blob binary"
 
 
 def _classes_of(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -322,8 +324,14 @@ def sort_pieces(cut: DataFrame) -> DataFrame:
     """Least ids of the windows of all pieces that some larger id of the shard has too, as runs, packed by shard.
 
     All pieces of an anchor are in one task; pieces of several shards that are equal are joined before they are sorted.
+    Rows that tell where pieces are go on as they are.
     """
 
+    def handled(rows: pa.Table) -> pa.Table:
+        places = rows.filter(rows.column("places")).select(["shard", "places", "count", "blob"])
+        work = rows.filter(pa.compute.invert(rows.column("places")))
+        return pa.concat_tables([places, sort(work)]) if work.num_rows else places
+
     def sort(rows: pa.Table) -> pa.Table:
         shard, count, blobs = (rows.column(n).to_pylist() for n in ("shard", "count", "blob"))
         parts: list[list[np.ndarray]] = []
@@ -367,9 +375,9 @@ def sort_pieces(cut: DataFrame) -> DataFrame:
                 out_shard.append(name)
                 out_count.append(len(rows_of))
                 out_blob.append(_packed(number[rows_of], many[w].astype(np.uint8), ids[take], froms[take]))
-        return pa.table({"shard": pa.array(out_shard, pa.int64()), "count": pa.array(out_count, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
+        return pa.table({"shard": pa.array(out_shard, pa.int64()), "places": pa.array([False] * len(out_shard), pa.bool_()), "count": pa.array(out_count, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
-    return cut.where("task >= 0").groupBy("task").applyInArrow(sort, _FOUND)
+    return cut.groupBy("task").applyInArrow(handled, _FOUND)
 
 
 def covered_bytes(text: np.ndarray, ends: np.ndarray, ids: np.ndarray, where: tuple[int, bytes], told: list[tuple[int, bytes]]) -> np.ndarray:
@@ -407,8 +415,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. Texts under WINDOW bytes keep all. Other columns are not read. Empty tables give no rows.
     """
     shards, total = shard_texts(id_and_text(docs, id_col, text_col))
-    cut = _written(pieces(shards, repeated_anchors(shards, total), total), "pieces")
-    told = sort_pieces(cut).select("shard", F.lit(False).alias("places"), "count", "blob").unionByName(cut.where("task < 0").select("shard", F.lit(True).alias("places"), "count", "blob"))
+    told = sort_pieces(pieces(shards, repeated_anchors(shards, total), total))
 
     def remove(row: pa.Table, told: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -438,12 +445,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def digests(found: DataFrame) -> DataFrame:
     """Lengths, numbers of removed bytes and spans, and a digest of what is left."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
