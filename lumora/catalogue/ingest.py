@@ -368,11 +368,13 @@ def n18(spark, sf):
     return _long(spark, sf)
 
 
-@query("n19_indicator_panel", f"WITH {_LONG_SQL} SELECT dept, CAST(2023 AS INTEGER) AS \"Year\", " + ", ".join(
-    f"coalesce(sum(CASE WHEN category || '_' || ind = '{k}' THEN v END), 0.0) AS \"{k}\"" for k in ("Age_<25_Nombre foyers RSA_PPA", "Age_65+_Nombre personnes RSA_PPA", "Famille_BUILDING_Nombre foyers RSA_PPA")) + " FROM long GROUP BY 1")
+#: All keys of the panel: five age bands and five family groups, each with both counts.
+_PANEL = [f"{category}_{ind}" for category in [*(f"Age_{AGE_MAP[a]}" for a in _SEGMENT_AGES), *(f"Famille_{s}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))] for ind in ("Nombre foyers RSA_PPA", "Nombre personnes RSA_PPA")]
+
+
+@query("n19_indicator_panel", f"WITH {_LONG_SQL} SELECT dept, CAST(2023 AS INTEGER) AS \"Year\", " + ", ".join(f"coalesce(sum(CASE WHEN category || '_' || ind = '{k}' THEN v END), 0.0) AS \"{k}\"" for k in _PANEL) + " FROM long GROUP BY 1")
 def n19(spark, sf):
-    keys = ["Age_<25_Nombre foyers RSA_PPA", "Age_65+_Nombre personnes RSA_PPA", "Famille_BUILDING_Nombre foyers RSA_PPA"]
-    return N.indicator_panel(_long(spark, sf), ["dept", "Year"], keys)
+    return N.indicator_panel(_long(spark, sf), ["dept", "Year"])
 
 
 @query("n20_coverage", f"WITH {GAPS} " + " UNION ALL ".join(f"SELECT '{c}' AS variable, round(count({c}) * 1.0 / count(*), 6) AS coverage FROM gaps" for c in ("o_totalprice", "o_orderpriority", "o_custkey")))

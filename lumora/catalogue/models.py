@@ -121,7 +121,7 @@ def m10l(spark, sf):
 @query("m11_tree_regressors")
 def m11(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.length("p_name").cast("double").alias("name_length"), "p_retailprice")
-    return M.compare_models(p, ["p_size", "name_length"], "p_retailprice", ["random_forest", "gradient_boosting"], ["p_partkey"], trees=10)
+    return M.compare_models(p, ["p_size", "name_length"], "p_retailprice", ["random_forest", "gradient_boosting"], ["p_partkey"])
 
 
 @query("m12_ransac")
@@ -142,7 +142,7 @@ def _labelled(spark, sf):
 
 @query("m13_classifiers")
 def m13(spark, sf):
-    return M.compare_models(_labelled(spark, sf), ["n_chars", "words"], "quality", ["logistic", "random_forest", "gradient_boosting", "linear_svm", "naive_bayes"], ["doc_id"], True, trees=5)
+    return M.compare_models(_labelled(spark, sf), ["n_chars", "words"], "quality", ["logistic", "random_forest", "gradient_boosting", "linear_svm", "naive_bayes"], ["doc_id"], True)
 
 
 _KNN = """e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) for v in embedding] AS x, vec_id % 5 = 0 AS held FROM embeddings), d AS (SELECT a.vec_id, CAST(b.label AS VARCHAR) AS y, list_distance(a.x, b.x) AS d FROM e a, e b WHERE a.held AND NOT b.held),
@@ -225,7 +225,7 @@ def m21(spark, sf):
 
 @query("m22_feature_importance")
 def m22(spark, sf):
-    return rounded(M.feature_importance(lines(spark, sf), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", trees=10))
+    return rounded(M.feature_importance(lines(spark, sf), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice"))
 
 
 @query("m23_binarize_by_percentile", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.75) FROM lineitem) AS INTEGER) AS target FROM lineitem")

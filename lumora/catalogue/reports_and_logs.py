@@ -41,12 +41,12 @@ def r5(spark, sf):
 
 @query("r6_ml_section")
 def r6(spark, sf):
-    return R.ml_section(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), trees=10)
+    return R.ml_section(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 
 @query("r7_report")
 def r7(spark, sf):
-    return R.report(gaps(spark, sf), "complete", trees=5)
+    return R.report(gaps(spark, sf), "complete")
 
 
 @query("r7_executive_report")

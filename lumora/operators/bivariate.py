@@ -208,10 +208,10 @@ def regression_rows(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.select("*", fit.alias("fitted"), (_x(y) - fit).alias("residual"))
 
 
-def scatter_with_trend(df: DataFrame, x: str, y: str, order: Sequence[str], above: int = 5000, target: int = 2000) -> DataFrame:
-    """Points thinned in `order`, each with the value of the line fitted on all rows."""
+def scatter_with_trend(df: DataFrame, x: str, y: str, order: Sequence[str], step: int = 1) -> DataFrame:
+    """Every `step`-th point in `order`, each with the value of the line fitted on all rows."""
     kept = [*order, *[c for c in (x, y) if c not in order]]
-    return every_kth(regression_rows(df, x, y).select(*kept, "fitted"), order, above, target)
+    return every_kth(regression_rows(df, x, y).select(*kept, "fitted"), order, step)
 
 
 # ---------------------------------------------------------------- groups and tables
@@ -306,6 +306,7 @@ def multi_column_test(df: DataFrame, cols: Sequence[str], test: str) -> DataFram
     parts = []
     if good:
         found = run(df, good)
+        found = found.where("method = 'shapiro'") if "method" in found.columns else found
         p = F.col("p_value") if "p_value" in found.columns else F.lit(None).cast("double")
         got = found.select("variable", "statistic", p.alias("p_value"))
         asked = spark.createDataFrame([(c,) for c in good], "variable string")

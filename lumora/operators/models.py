@@ -97,20 +97,29 @@ REGRESSORS = ["linear", "ridge", "lasso", "elastic_net", "random_forest", "gradi
 CLASSIFIERS = ["logistic", "random_forest", "gradient_boosting", "linear_svm", "naive_bayes", "lda", "qda"]
 
 
-def fit_predict_regression(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, model: str, trees: int = 100, seed: int = 42) -> DataFrame:
+#: Depth of the trees of a forest: the most that Spark grows.
+DEPTH = 30
+
+
+def fit_predict_regression(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, model: str, trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     """`test` with a `prediction`, from a model fitted on `train`."""
     if model in L.PENALTIES:
         w, c = L.fit_linear(train, features, target, model)
         return L.predict_linear(test.dropna(subset=list(features)), features, w, c)
     made = {
-        "random_forest": lambda: RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=10, seed=seed),
+        "random_forest": lambda: RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed),
         "gradient_boosting": lambda: GBTRegressor(labelCol=target, maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed),
     }[model]()
     fitted = made.fit(_assembled(train.dropna(subset=[target]), features))
     return fitted.transform(_assembled(test, features)).drop("features")
 
 
-def fit_predict_classes(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: str, trees: int = 100, seed: int = 42) -> DataFrame:
+def _each_against_rest(classifier, labels: int):
+    """Two labels need one model, more need one each."""
+    return classifier if labels == 2 else OneVsRest(classifier=classifier, labelCol="_y")
+
+
+def fit_predict_classes(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: str, trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     """`test` with a text `prediction`."""
     if model in ("lda", "qda", "naive_bayes"):
         return L.gaussian_predict(test, features, L.gaussian_fit(train, features, label, model))
@@ -118,9 +127,9 @@ def fit_predict_classes(train: DataFrame, test: DataFrame, features: Sequence[st
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     base = {
         "logistic": lambda: LogisticRegression(labelCol="_y", regParam=1.0 / max(n, 1), maxIter=100),
-        "random_forest": lambda: RandomForestClassifier(labelCol="_y", numTrees=trees, maxDepth=10, seed=seed),
-        "gradient_boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=3, seed=seed), labelCol="_y"),
-        "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), labelCol="_y"),
+        "random_forest": lambda: RandomForestClassifier(labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed),
+        "gradient_boosting": lambda: _each_against_rest(GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=3, seed=seed), len(indexer.labels)),
+        "linear_svm": lambda: _each_against_rest(LinearSVC(labelCol="_y", maxIter=50), len(indexer.labels)),
     }[model]()
     fitted = base.fit(_assembled(indexer.transform(train), features))
     scored = fitted.transform(_assembled(test, features)).withColumnRenamed("prediction", "_p")
@@ -141,14 +150,13 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ())
 
 
 def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(actual, predicted, count) over all label pairs, absent ones 0 (up to 200 labels; beyond, the pairs that occur)."""
+    """(actual, predicted, count) over all label pairs, absent ones 0."""
     cells = df.groupBy(F.col(y).cast("string").alias("actual"), F.col(p).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
     labels = cells.select(F.col("actual").alias("l")).unionByName(cells.select(F.col("predicted").alias("l"))).where("l is not null").distinct()
-    names = sorted(r["l"] for r in labels.limit(201).collect())
-    if len(names) > 200:
-        return cells
-    every = df.sparkSession.createDataFrame([(a, b) for a in names for b in names], "actual string, predicted string")
-    return every.join(F.broadcast(cells), ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).alias("count"))
+    labels = cut_lineage(labels)
+    listed = labels.agg(F.collect_list("l").alias("_all"), F.lit(1).alias("_j"))  # one row
+    every = labels.withColumn("_j", F.lit(1)).join(listed, "_j").select(F.col("l").alias("actual"), F.explode("_all").alias("predicted"))
+    return every.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -238,9 +246,9 @@ def compare_models(df: DataFrame, features: Sequence[str], target: str, models:
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc(lead), "model")
 
 
-def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
+def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     x = _assembled(df.dropna(subset=[target]), features)
-    found = RandomForestRegressor(labelCol=target, numTrees=trees, seed=seed).fit(x).featureImportances
+    found = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(x).featureImportances
     rows = [(f, float(found[i])) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 

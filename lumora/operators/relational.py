@@ -99,12 +99,10 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return df.withColumn("_mark", mark).orderBy("_mark", *key).limit(n).drop("_mark")
 
 
-def every_kth(df: DataFrame, order: Sequence[str], above: int = 5000, target: int = 2000) -> DataFrame:
-    """Thin an ordered table for plotting: beyond `above` rows keep each (n // target)-th."""
-    rows = df.count()
-    if rows <= above:
+def every_kth(df: DataFrame, order: Sequence[str], step: int = 1) -> DataFrame:
+    """Every `step`-th row of an ordered table, the first one included; all rows with a step of 1."""
+    if step < 2:
         return df
-    step = max(1, rows // target)
     return ordered_index(df, order).where(F.col("_pos") % step == 0).drop("_pos")
 
 

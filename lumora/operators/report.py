@@ -78,14 +78,14 @@ def quality_section(df: DataFrame) -> DataFrame:
     ])
 
 
-def descriptive_section(df: DataFrame, max_vars: int = 10) -> DataFrame:
+def descriptive_section(df: DataFrame, max_vars: int | None = None) -> DataFrame:
     numeric, text = numeric_names(df)[:max_vars], text_names(df)[:max_vars]
     parts = []
     if numeric:
         parts += [
             items(U.describe_numeric(df, numeric), "descriptive", "numeric", ["variable"]),
             items(U.skewness_ranking(df, numeric), "descriptive", "skewness", ["variable"]),
-            items(U.distribution_type(df, numeric[:5]), "descriptive", "distribution", ["variable"]),
+            items(U.distribution_type(df, numeric), "descriptive", "distribution", ["variable"]),
         ]
     if len(numeric) > 1:
         corr = cut_lineage(corr_matrix(df, numeric))  # one pass over the table for both items
@@ -117,13 +117,14 @@ def outlier_section(df: DataFrame) -> DataFrame:
 
 
 def temporal_trends(df: DataFrame) -> DataFrame:
-    """Trend of the first three numeric columns in the order of the first time column (ten rows or more)."""
+    """Trend of all numeric columns in the order of the first time column (ten rows or more)."""
     times = [c for c in data_names(df) if any(w in c.lower() for w in TIME_NAME_WORDS)]
-    numeric = [c for c in numeric_names(df) if c not in times][:3]
+    numeric = [c for c in numeric_names(df) if c not in times]
     if not times or not numeric:
         raise ValueError("a time column and a numeric column are needed")
     parts = []
     for c in numeric:
+        # rows that tie in time and value are alike, so their order changes nothing
         ordered = df.select(times[0], c).dropna().withColumn("_tie", F.monotonically_increasing_id())
         series = ordered.select(F.struct(F.col(times[0]).alias("t"), F.col(c).alias("v"), "_tie").alias("ts"), F.col(c).cast("double").alias("value"))
         parts.append(trend(series, "ts", "value").where("n >= 10").select(F.lit(f"{times[0]}_{c}").alias("pair"), "n", "slope", "r_squared", "direction"))
@@ -134,7 +135,7 @@ def temporal_section(df: DataFrame) -> DataFrame:
     return items(temporal_trends(df), "temporal", "trend", ["pair"])
 
 
-def ml_section(df: DataFrame, max_vars: int = 10, trees: int = 100) -> DataFrame:
+def ml_section(df: DataFrame, max_vars: int | None = None, trees: int = 100) -> DataFrame:
     """Importances for the last numeric column, three clusters of standardised rows, components."""
     numeric = numeric_names(df)[:max_vars]
     data = df.select(*numeric).dropna()
@@ -144,7 +145,7 @@ def ml_section(df: DataFrame, max_vars: int = 10, trees: int = 100) -> DataFrame
             items(M.feature_importance(data, numeric[:-1], numeric[-1], trees=trees), "ml", "importance", ["feature"]),
             items(L.pca_variance(data, numeric, scaled=False), "ml", "component", ["component"]),
         ]
-    parts.append(items(M.kmeans_summary(scale(data, numeric), numeric, 3), "ml", "cluster", ["cluster"]))
+    parts.append(items(M.kmeans_summary(data, numeric, 3), "ml", "cluster", ["cluster"]))
     return _union(parts)
 
 
@@ -182,7 +183,7 @@ def executive_report(df: DataFrame) -> DataFrame:
     return _union(parts)
 
 
-def report(df: DataFrame, kind: str = "complete", max_vars: int = 10, trees: int = 100) -> DataFrame:
+def report(df: DataFrame, kind: str = "complete", max_vars: int | None = None, trees: int = 100) -> DataFrame:
     """complete, quality, statistical, timeseries, ml or executive: the union of its section rows.
 
     Every section reads the table again; keep `df` as a stored or cached table.
@@ -204,16 +205,16 @@ def report(df: DataFrame, kind: str = "complete", max_vars: int = 10, trees: int
 
 
 def text_report(df: DataFrame) -> DataFrame:
-    """(line_no, line): overview, statistics of the first five numeric columns, pairs above .7."""
+    """(line_no, line): overview, statistics of the numeric columns, pairs above .7."""
     numeric = numeric_names(df)
     overview = Q.table_overview(df).first()
     lines = ["ANALYSIS REPORT", "", "OVERVIEW", *[f"{k}: {overview[k]}" for k in ("rows", "columns", "numeric_columns", "categorical_columns", "total_missing")]]
     if numeric:
         lines += ["", "DESCRIPTIVE STATISTICS"]
-        for r in U.describe_numeric(df, numeric[:5]).orderBy("variable").collect():
+        for r in U.describe_numeric(df, numeric).orderBy("variable").collect():
             lines += [r["variable"], f"mean {r['mean']:.2f}, median {r['q50']:.2f}, std {r['std'] or 0:.2f}, min {r['min']:.2f}, max {r['max']:.2f}"]
     if len(numeric) > 1:
-        pairs = strong_pairs(df, numeric, 0.7, 10).collect()
+        pairs = strong_pairs(df, numeric, 0.7).collect()
         lines += ["", "CORRELATIONS", *([f"{p['var1']} - {p['var2']}: r = {p['r']:.3f}" for p in pairs] or ["no pair above 0.7"])]
     return df.sparkSession.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 

@@ -156,7 +156,7 @@ def decomposition_metrics(parts: DataFrame, value: str, keys: Sequence[str] = ()
 
 
 def residual_diagnostics(parts: DataFrame, residual: str = "residual") -> DataFrame:
-    """n, mean, std and a normality verdict (Shapiro–Wilk up to 5000 values, Jarque–Bera beyond)."""
+    """n, mean and std, with a row for each normality test and its verdict; Shapiro–Wilk has none beyond 5000 values."""
     stats = parts.agg(F.count(residual).alias("n"), F.avg(residual).alias("mean"), F.stddev_samp(residual).alias("std"))
     test = shapiro_wilk(parts, [residual]).select("n", "method", "statistic", "p_value", (F.col("p_value") > 0.05).alias("normal"))
     return stats.join(F.broadcast(test), "n", "left")

@@ -224,7 +224,10 @@ def _shapiro(values: np.ndarray) -> tuple[float, float]:
 
 
 def shapiro_wilk(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(variable, n, method, statistic, p_value): exact groups are bounded by SHAPIRO_MAX before they are gathered."""
+    """(variable, n, method, statistic, p_value): a row for Shapiro–Wilk and a row for Jarque–Bera.
+
+    The first is defined up to SHAPIRO_MAX values, and null beyond; the second is there at every size.
+    """
     return shapiro_long(to_long(df, cols), ["variable"])
 
 
@@ -242,10 +245,11 @@ def shapiro_long(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema if f.name in keys)
     exact = kept.select(*keys, "value").groupBy(*keys).applyInPandas(
         test, f"{fields}, n long, method string, statistic double, p_value double")
+    beyond = sizes.where(F.col("_n") > SHAPIRO_MAX).select(*keys, F.col("_n").alias("n"), F.lit("shapiro").alias("method"), F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("double").alias("p_value"))
     jb = F.col("_n") / 6.0 * (F.col("_s") * F.col("_s") + F.col("_k") * F.col("_k") / 4.0)
-    rest = sizes.where(F.col("_n") > SHAPIRO_MAX).select(
+    rest = sizes.where(F.col("_n") > 2).select(
         *keys, F.col("_n").alias("n"), F.lit("jarque_bera").alias("method"), jb.alias("statistic"), F.exp(-jb / 2).alias("p_value"))
-    return exact.unionByName(rest)
+    return exact.unionByName(beyond).unionByName(rest)
 
 
 # ---------------------------------------------------------------- outliers

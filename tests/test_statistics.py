@@ -39,9 +39,12 @@ def test_shapiro_wilk_published_sample(spark):
     assert row["statistic"] == pytest.approx(0.79, abs=0.005) and row["p_value"] < 0.01 and row["method"] == "shapiro"
 
 
-def test_shapiro_leaves_large_groups_to_jarque_bera(spark):
-    row = U.shapiro_wilk(spark.range(6000).select(F.col("id").cast("double").alias("v")), ["v"]).first()
-    assert row["method"] == "jarque_bera" and row["n"] == 6000
+@pytest.mark.parametrize("n", [5000, 5001])
+def test_both_normality_tests_at_either_side_of_the_limit(spark, n):
+    rows = {r["method"]: r for r in U.shapiro_wilk(spark.range(n).select(F.col("id").cast("double").alias("v")), ["v"]).collect()}
+    assert set(rows) == {"shapiro", "jarque_bera"} and all(r["n"] == n for r in rows.values())
+    assert (rows["shapiro"]["statistic"] is None) == (n > 5000)
+    assert rows["jarque_bera"]["statistic"] == pytest.approx(n / 24 * (1.2 ** 2), rel=0.01)  # kurtosis of a uniform sample is -1.2
 
 
 def test_anderson_darling(spark, mixed):
