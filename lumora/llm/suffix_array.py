@@ -114,11 +114,34 @@ def _from_leftmost(t: np.ndarray, size: int, up: np.ndarray, leftmost: np.ndarra
     return sa
 
 
-def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
+#: Names of names are few, in as many buckets: from this depth on ranks are doubled instead of induced.
+DEEPEST = 2
+
+
+def _by_doubling(t: np.ndarray) -> np.ndarray:
+    """The suffixes of a short text in order: ranks of twice as long parts from ranks of their halves."""
+    n = len(t)
+    rank, step = t.astype(np.int64) + 1, 1
+    while True:
+        key = rank * (max(n, int(rank.max())) + 1)
+        key[: n - step] += rank[step:] if step < n else 0
+        order = key.argsort(kind="stable")
+        new = np.ones(n, np.int64)
+        new[1:] += np.cumsum(key[order[1:]] != key[order[:-1]])
+        if new[-1] == n:
+            return order.astype(np.int32)
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        step *= 2
+
+
+def suffix_array(t: np.ndarray, size: int, depth: int = 0) -> np.ndarray:
     """Starts of the suffixes of `t` (whole numbers below `size`) in lexicographic order."""
     n = len(t)
     if n < 2:
         return np.arange(n, dtype=np.int32)
+    if depth >= DEEPEST:
+        return _by_doubling(t)
     up = rising(t)
     is_leftmost = up.copy()
     is_leftmost[0] = False
@@ -146,7 +169,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     if names[-1] + 1 < len(order):
         reduced = np.empty(len(order), np.int32)
         reduced[number[order]] = names
-        order = leftmost[suffix_array(reduced, int(names[-1]) + 1)]
+        order = leftmost[suffix_array(reduced, int(names[-1]) + 1, depth + 1)]
     return _from_leftmost(t, size, up, order, known)
 
 
