@@ -142,7 +142,7 @@ def _labelled(spark, sf):
 
 @query("m13_classifiers")
 def m13(spark, sf):
-    return M.compare_models(_labelled(spark, sf), ["n_chars", "words"], "quality", ["logistic", "random_forest", "gradient_boosting", "linear_svm", "naive_bayes"], ["doc_id"], True)
+    return M.compare_models(_labelled(spark, sf), ["n_chars", "words"], "quality", ["logistic", "random_forest", "gradient_boosting", "linear_svm", "naive_bayes", "knn"], ["doc_id"], True)
 
 
 _KNN = """e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) for v in embedding] AS x, vec_id % 5 = 0 AS held FROM embeddings), d AS (SELECT a.vec_id, CAST(b.label AS VARCHAR) AS y, list_distance(a.x, b.x) AS d FROM e a, e b WHERE a.held AND NOT b.held),
@@ -220,7 +220,21 @@ def m20s(spark, sf):
 
 @query("m21_compare_models")
 def m21(spark, sf):
-    return M.compare_models(lines(spark, sf), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["linear", "ridge", "lasso", "elastic_net"], KEY)
+    return M.compare_models(lines(spark, sf), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["linear", "ridge", "lasso", "elastic_net", "ransac", "theil_sen"], KEY, cv=5)
+
+
+@query("m21_compare_linear", """WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS x0, o_totalprice AS y, row_number() OVER (ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),
+  s AS (SELECT *, p < floor(n * (1 - 0.2)) AS train, CAST(floor(n * (1 - 0.2)) AS BIGINT) AS nt FROM o), z AS (SELECT avg(x0) FILTER (train) AS a, stddev_pop(x0) FILTER (train) AS d FROM s),
+  t AS (SELECT p, train, (x0 - a) / d AS x, y, CASE WHEN train THEN CASE WHEN p < (nt % 5) * (nt // 5 + 1) THEN p // (nt // 5 + 1) ELSE nt % 5 + (p - (nt % 5) * (nt // 5 + 1)) // (nt // 5) END END AS fold FROM s, z),
+  f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM t WHERE train),
+  m AS (SELECT train, 1 - avg((y - b * x - c) * (y - b * x - c)) / var_pop(y) AS r2, sqrt(avg((y - b * x - c) * (y - b * x - c))) AS rmse, avg(abs(y - b * x - c)) AS mae FROM t, f GROUP BY train),
+  g AS (SELECT i, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM t, range(5) AS r(i) WHERE train AND fold <> i GROUP BY i),
+  v AS (SELECT 1 - sum((y - b * x - c) * (y - b * x - c)) / (var_pop(y) * count(*)) AS s FROM t JOIN g ON t.fold = g.i GROUP BY i)
+  SELECT 'linear' AS model, round(a.r2, 4) AS train_r2, round(a.rmse, 4) AS train_rmse, round(a.mae, 4) AS train_mae, round(h.r2, 4) AS test_r2, round(h.rmse, 4) AS test_rmse, round(h.mae, 4) AS test_mae,
+    round((SELECT avg(s) FROM v), 4) AS cv_mean, round((SELECT stddev_pop(s) FROM v), 4) AS cv_std FROM m a, m h WHERE a.train AND NOT h.train""")
+def m21l(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), "o_totalprice")
+    return M.compare_models(o, ["o_custkey"], "o_totalprice", ["linear"], ["o_orderkey"], cv=5)
 
 
 @query("m22_feature_importance")

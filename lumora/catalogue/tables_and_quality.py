@@ -67,7 +67,7 @@ def p9(spark, sf):
     return rounded(P.duplicate_rows(copies(spark, sf)))
 
 
-@query("p10_sample_n")
+@query("p10_sample_n", "SELECT * FROM lineitem ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42')), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000")
 def p10(spark, sf):
     return P.sample_n(table(spark, sf, "lineitem"), 1000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
@@ -90,7 +90,8 @@ def p13(spark, sf):
     return P.split_chronological(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "split")
 
 
-@query("p14_split_random")
+@query("p14_split_random", """WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey))
+  SELECT o_orderkey, o_orderstatus, CASE WHEN p < floor(n * (1 - 0.2)) THEN 'train' ELSE 'test' END AS split FROM o""")
 def p14(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return P.split_random(o, ["o_orderkey"], stratify="o_orderstatus")

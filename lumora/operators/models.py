@@ -20,7 +20,7 @@ from lumora.operators.bivariate import corr_matrix
 from lumora.operators.clusters import dbscan, isolation_forest, isolation_scores, kmeans, kmeans_summary  # noqa: F401
 from lumora.operators.neighbours import knn_classify  # noqa: F401  (one of the classifiers)
 from lumora.operators.quality import quality_level
-from lumora.operators.relational import numeric_names, sample_n, split_random, text_names
+from lumora.operators.relational import key_mark, numeric_names, sample_n, split_random, text_names
 from lumora.operators.schema import label_encode, scale
 from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
@@ -228,22 +228,71 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model: s
     return scores.agg(F.count(F.lit(1)).cast("int").alias("folds"), F.avg("s").alias("mean_score"), F.stddev_pop("s").alias("std_score"))
 
 
-def compare_models(df: DataFrame, features: Sequence[str], target: str, models: Sequence[str], key: Sequence[str], classes: bool = False, trees: int = 100, test: float = 0.2) -> DataFrame:
-    """One row per model, 4 decimals, best test score first."""
+#: Models of `compare_models` besides those of `fit_predict_regression`, given as a table of coefficients.
+ROBUST = {"ransac": L.ransac, "theil_sen": L.theil_sen}
+
+
+def _standardised(train: DataFrame, both: DataFrame, features: Sequence[str]) -> DataFrame:
+    """`both` with features centred and scaled as in `train` (population spread; constant columns are only centred)."""
+    row = train.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(features)]).first()
+    scaled = {c: (F.col(f"`{c}`") - F.lit(float(row[f"m{i}"] or 0.0))) / F.lit(float(row[f"s{i}"] or 1.0)) for i, c in enumerate(features)}
+    return both.withColumns(scaled)
+
+
+def _predictions(train: DataFrame, both: DataFrame, features: Sequence[str], target: str, model: str, key: Sequence[str], classes: bool, trees: int) -> DataFrame:
+    if model in ROBUST:
+        terms = {r["term"]: r["coefficient"] for r in ROBUST[model](train, features, target, list(key)).collect()}
+        return L.predict_linear(both, features, np.array([terms[f] for f in features]), terms["(constant)"])
+    if model == "knn":
+        named = both.withColumn("_id", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key]))
+        return named.join(knn_classify(train, named, features, target, "_id"), "_id").drop("_id")
+    return (fit_predict_classes if classes else fit_predict_regression)(train, both, features, target, model, trees)
+
+
+def compare_models(
+    df: DataFrame, features: Sequence[str], target: str, models: Sequence[str], key: Sequence[str], classes: bool = False, trees: int = 100, test: float = 0.2, cv: int | None = None
+) -> DataFrame:
+    """One row per model, 4 decimals, best test score first: scores on training and test rows, and over `cv` folds of the former.
+
+    Features are standardised by the training rows. Any of REGRESSORS, CLASSIFIERS, ROBUST and `knn`. Folds are runs of the
+    training rows in the random order of the split; without `cv` their columns are null.
+    """
     # pinned first: a null test over many computed columns is costly to optimise
     data = cut_lineage(df.select(*key, *features, target)).dropna()
-    split = cut_lineage(split_random(data, key, test, stratify=target if classes else None))
-    train, held = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+    split = split_random(data, key, test, stratify=target if classes else None)
+    both = cut_lineage(_standardised(split.where("split = 'train'"), split, features))
+    train = both.where("split = 'train'").drop("split")
+    folded = cut_lineage(contiguous_folds(train.withColumn("_mark", key_mark(key, 42)), ["_mark", *key], cv).drop("_mark")) if cv else None
+    names = ["accuracy", "precision", "recall", "f1"] if classes else ["r2", "rmse", "mae"]
     rows = []
     for m in models:
-        if classes:
-            scores = classification_metrics(fit_predict_classes(train, held, features, target, m, trees), target, "prediction")
-            cols, lead = ["accuracy", "precision", "recall", "f1"], "accuracy"
+        made = cut_lineage(_predictions(train, both, features, target, m, key, classes, trees).select(target, "prediction", "split"))
+        parts = []
+        for part in ("train", "test"):
+            own = made.where(F.col("split") == part)
+            scores = (classification_metrics if classes else regression_metrics)(own, target, "prediction")
+            parts.append(scores.select(F.lit(m).alias("model"), *[F.round(c, 4).alias(f"{part}_{c}") for c in names]))
+        row = parts[0].join(parts[1], "model")
+        if cv and m not in ROBUST and m != "knn":
+            found = cross_validate(folded, features, target, m, classes=classes, trees=trees).select(F.lit(m).alias("model"), F.round("mean_score", 4).alias("cv_mean"), F.round("std_score", 4).alias("cv_std"))
+            row = row.join(found, "model")
+        elif cv:
+            mean, std = _folds_of_predictions(folded, features, target, m, key, classes, trees, cv)
+            row = row.withColumns({"cv_mean": F.lit(mean), "cv_std": F.lit(std)})
         else:
-            scores = regression_metrics(fit_predict_regression(train, held, features, target, m, trees), target, "prediction")
-            cols, lead = ["r2", "rmse", "mae", "mape"], "r2"
-        rows.append(scores.select(F.lit(m).alias("model"), *[F.round(c, 4).alias(c) for c in cols]))
-    return reduce(DataFrame.unionByName, rows).orderBy(F.desc(lead), "model")
+            row = row.withColumns({"cv_mean": F.lit(None).cast("double"), "cv_std": F.lit(None).cast("double")})
+        rows.append(row)
+    return reduce(DataFrame.unionByName, rows).orderBy(F.desc(f"test_{names[0]}"), "model")
+
+
+def _folds_of_predictions(folded: DataFrame, features: Sequence[str], target: str, model: str, key: Sequence[str], classes: bool, trees: int, cv: int) -> tuple[float, float]:
+    scores = []
+    for i in range(cv):
+        inside, outside = folded.where(F.col("fold") != i).drop("fold"), folded.where(F.col("fold") == i).drop("fold")
+        made = _predictions(inside, outside, features, target, model, key, classes, trees)
+        row = (classification_metrics if classes else regression_metrics)(made, target, "prediction").first()
+        scores.append(row["accuracy" if classes else "r2"])
+    return round(float(np.mean(scores)), 4), round(float(np.std(scores)), 4)
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:

@@ -93,10 +93,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return both.select("rows", "duplicate_rows", share.alias("duplicate_percentage"))
 
 
+def key_mark(key: Sequence[str], seed: int) -> Column:
+    """A reproducible random order of rows: the digest of key and seed."""
+    return F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key], F.lit(str(seed))))
+
+
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Reproducible uniform sample: the n smallest seeded hashes of the key (a top-k, no full sort)."""
-    mark = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    return df.withColumn("_mark", mark).orderBy("_mark", *key).limit(n).drop("_mark")
+    """Reproducible uniform sample: the n smallest seeded digests of the key (a top-k, no full sort)."""
+    return df.withColumn("_mark", key_mark(key, seed)).orderBy("_mark", *key).limit(n).drop("_mark")
 
 
 def every_kth(df: DataFrame, order: Sequence[str], step: int = 1) -> DataFrame:
@@ -133,7 +137,7 @@ def split_random(
 ) -> DataFrame:
     """Mark a reproducible random train/test split, exact in size within each stratum."""
     keys = [stratify] if stratify else []
-    marked = df.withColumn("_mark", F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
+    marked = df.withColumn("_mark", key_mark(key, seed))
     return split_chronological(marked, ["_mark", *key], keys, test).drop("_mark")
 
 
