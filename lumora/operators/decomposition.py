@@ -119,11 +119,36 @@ def change_points_window(df: DataFrame, ts: str, value: str, width: int = 40, mo
     return top.select(*keys, F.col("_pos").alias("position"), ts, "gain")
 
 
-#: Blocks per series that the segment search sees; 5 rows each up to 10,000 rows, wider beyond.
+#: Break points lie on a grid of JUMP rows at any length. The search sees MAX_BLOCKS blocks per series; where these are wider
+#: than the grid, each break is then placed on the grid, within a block on either side.
 MAX_BLOCKS = 2000
 JUMP = 5
 
 
+def _refined(f: np.ndarray, c: np.ndarray, jump: int, found: list[int], fine: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], min_size: int) -> list[int]:
+    """Positions on the fine grid for coarse breaks (block numbers), one after the other.
+
+    `f` and `c` are running sums of features and rows over coarse blocks; `fine` has, per break, starts, features and
+    rows of the fine blocks on either side of it.
+    """
+    out: list[int] = []
+    before_f, before_c = np.zeros(f.shape[1]), 0.0
+    for i, b in enumerate(found):
+        end = found[i + 1] if i + 1 < len(found) else len(c) - 1
+        starts, features, rows = fine[b]
+        low = max(b - 1, 0)
+        # running sums up to each fine start, and those of the whole next segment
+        at_f = f[low] + np.vstack([np.zeros(f.shape[1]), np.cumsum(features, axis=0)[:-1]])
+        at_c = c[low] + np.concatenate([[0.0], np.cumsum(rows)[:-1]])
+        left_f, left_c, right_f, right_c = at_f - before_f, at_c - before_c, f[end] - at_f, c[end] - at_c
+        open_ = (left_c >= min_size) & (right_c >= min_size)
+        cost = left_c - (left_f**2).sum(axis=1) / np.maximum(left_c, 1) + right_c - (right_f**2).sum(axis=1) / np.maximum(right_c, 1)
+        k = int(np.where(open_, cost, np.inf).argmin()) if open_.any() else int(np.abs(starts - b * jump).argmin())
+        out.append(int(starts[k]))
+        before_f, before_c = at_f[k], at_c[k]
+    return out
+
+
 def _segments(total: np.ndarray, sizes: np.ndarray, method: str, breaks: int, penalty: float, min_blocks: int) -> list[int]:
     """Break points (block numbers) that minimise the kernel cost Σ (len − ‖Σφ‖²/len)."""
     f = np.vstack([np.zeros(total.shape[1]), np.cumsum(total, axis=0)])
@@ -183,32 +208,63 @@ def change_points(
     """(keys…, method, position): segmentation by the Gaussian-kernel cost.
 
     The kernel is written as a short sum of cosines (Gauss–Hermite quadrature), so the cost of any segment needs only
-    sums of these features. Spark sums them per block of rows; the search sees at most MAX_BLOCKS rows per series.
+    sums of these features. Spark sums them per block of rows; the search sees at most MAX_BLOCKS blocks per series, and a
+    second pass sums only the rows around the breaks of longer series again, on the grid of JUMP rows.
     """
     keys = list(keys)
     base = df.select(*keys, ts, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     placed, _ = positions(base, ts, keys)
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("_y").alias("_s"), F.avg("_y").alias("_m"))
     # squared gaps of independent normal values have median 2σ² times the median of χ² with one degree of freedom
-    stats = stats.select(*keys, "_n", "_m", F.greatest(F.lit(JUMP), F.ceil(F.col("_n") / MAX_BLOCKS)).cast("long").alias("_jump"),
+    stats = stats.select(*keys, "_n", "_m", (JUMP * F.greatest(F.lit(1), F.ceil(F.col("_n") / (MAX_BLOCKS * JUMP)))).cast("long").alias("_jump"),
                          F.coalesce(F.try_divide(F.lit(1.0), 2 * 0.454936423119572 * F.col("_s") * F.col("_s")), F.lit(1.0)).alias("_gamma"))
     t, w = np.polynomial.hermite.hermgauss(nodes)
     half = t > 0
     freq, weight = 2 * t[half], 2 * w[half] / math.sqrt(math.pi)
     x = (F.col("_y") - F.col("_m")) * F.sqrt("_gamma")
     features = [fn(F.lit(float(k)) * x) * math.sqrt(float(v)) for k, v in zip(freq, weight) for fn in (F.cos, F.sin)]
-    sums = _attach(placed, stats, keys).groupBy(*keys, F.floor(F.col("_pos") / F.col("_jump")).alias("_block")).agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_jump").alias("_jump"), *[F.sum(e).alias(f"_f{i}") for i, e in enumerate(features)])
-    blocks = sums.select(*keys, "_block", "_c", "_jump", F.array(*[f"_f{i}" for i in range(len(features))]).alias("_f"), F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    measured = _attach(placed, stats, keys).withColumn("_block", F.floor(F.col("_pos") / F.col("_jump")))
+    names = [f"_f{i}" for i in range(len(features))]
+    sums = measured.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c"), F.max("_jump").alias("_jump"), *[F.sum(e).alias(n) for n, e in zip(names, features)])
+    packed = cut_lineage(sums.select(*keys, "_block", "_c", "_jump", F.array(*names).alias("_f")))
+    blocks = packed.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values("_block")
         jump = int(part["_jump"].iloc[0])
         found = _segments(np.stack(part["_f"].to_numpy()).astype(float), part["_c"].to_numpy(dtype=float), part["method"].iloc[0],
                           breaks, penalty, max(1, math.ceil(min_size / jump)))
-        out = pd.DataFrame({"method": part["method"].iloc[0], "position": [int(b) * jump for b in found]})
+        out = pd.DataFrame({"method": part["method"].iloc[0], "position": [int(b) * jump for b in found], "jump": jump})
         for k in keys:
             out[k] = part[k].iloc[0]
+        return out[[*keys, "method", "position", "jump"]]
+
+    coarse = cut_lineage(blocks.groupBy(*keys, "method").applyInPandas(search, f"{_fields(df, keys)}method string, position long, jump long"))
+    if not coarse.where(F.col("jump") > JUMP).limit(1).count():
+        return coarse.drop("jump")
+    near = coarse.where(F.col("jump") > JUMP).select(*keys, "method", (F.col("position") / F.col("jump")).cast("long").alias("_at"))
+    near = near.withColumn("_block", F.explode(F.array(F.col("_at") - 1, F.col("_at"))))
+    around = join_on(measured, near, [*keys, "_block"]).withColumn("_start", F.floor(F.col("_pos") / JUMP) * JUMP)
+    fine = around.groupBy(*keys, "method", "_at", "_start").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(e).alias(n) for n, e in zip(names, features)])
+    fine = fine.select(*keys, "method", "_at", "_start", "_c", F.array(*names).alias("_f"))
+
+    def refine(whole: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if whole.empty or parts.empty:
+            return pd.DataFrame({n: [] for n in [*keys, "method", "position"]})
+        whole = whole.sort_values("_block")
+        jump = int(whole["_jump"].iloc[0])
+        total = np.stack(whole["_f"].to_numpy()).astype(float)
+        f = np.vstack([np.zeros(total.shape[1]), np.cumsum(total, axis=0)])
+        c = np.concatenate([[0.0], np.cumsum(whole["_c"].to_numpy(dtype=float))])
+        own = {}
+        for b, rows in parts.groupby("_at"):
+            rows = rows.sort_values("_start")
+            own[int(b)] = (rows["_start"].to_numpy(), np.stack(rows["_f"].to_numpy()).astype(float), rows["_c"].to_numpy(dtype=float))
+        out = pd.DataFrame({"method": whole["method"].iloc[0], "position": _refined(f, c, jump, sorted(own), own, min_size)})
+        for k in keys:
+            out[k] = whole[k].iloc[0]
         return out[[*keys, "method", "position"]]
 
-    return blocks.groupBy(*keys, "method").applyInPandas(search, f"{_fields(df, keys)}method string, position long")
+    by = [*keys, "method"]
+    placed_again = blocks.groupBy(*by).cogroup(fine.groupBy(*by)).applyInPandas(refine, f"{_fields(df, keys)}method string, position long")
+    return coarse.where(F.col("jump") <= JUMP).drop("jump").unionByName(placed_again)

@@ -242,8 +242,8 @@ def adf_p(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def adf_test(df: DataFrame, ts: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Augmented Dickey–Fuller with a constant and AIC lag choice; the most lags follow from the length of a series alone.
+def adf_test(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), longest: int | None = None) -> DataFrame:
+    """Augmented Dickey–Fuller with a constant and AIC lag choice; the most lags follow from the length of a series alone, unless the caller gives a limit.
 
     One aggregate gives the cross products for all lag orders of all keys; a second one, restricted to each
     key's chosen lag, gives the final fit. Only these small matrices are solved outside SQL.
@@ -255,7 +255,7 @@ def adf_test(df: DataFrame, ts: str, value: str, keys: Sequence[str] = ()) -> Da
     placed, small = positions(base, ts, keys)
     step = sliding(placed, "_pos", 1, 0, lambda w: {"_prev": F.lag("_y", 1).over(w)}, keys, small).withColumn("_d", F.col("_y") - F.col("_prev"))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rule = F.least(F.ceil(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))), F.floor(F.col("_n") / 2) - 3).cast("int")
+    rule = F.least(F.ceil(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))), F.floor(F.col("_n") / 2) - 3, *([F.lit(longest)] if longest is not None else [])).cast("int")
     sizes = cut_lineage(sizes.withColumn("_max", F.greatest(F.lit(0), rule)).where("_n >= 8"))
     longest = sizes.agg(F.coalesce(F.max("_max"), F.lit(0))).first()[0]  # grows with the fourth root of the longest series
 

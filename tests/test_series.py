@@ -225,3 +225,42 @@ def test_forecasts_move_with_the_level(spark):
     assert np.allclose(got(FC.forecast_seasonal_regression(df, "ts", "near", 5, 1)) + 1e8, got(FC.forecast_seasonal_regression(df, "ts", "far", 5, 1)), atol=1e-2)
     near = FC.forecast_var(df, "ts", ["near", "other"], 4).where("variable = 'near'")
     assert np.allclose(got(near) + 1e8, got(FC.forecast_var(df, "ts", ["far", "far_other"], 4).where("variable = 'far'")), atol=1e-2)
+
+
+@pytest.mark.parametrize("n,breaks", [(9_990, [3015, 6035]), (12_000, [3015, 8035]), (31_000, [10_005, 20_015])])
+def test_change_points_lie_on_one_grid_at_any_length(spark, n, breaks):
+    rng = np.random.default_rng(n)
+    y = rng.normal(0, 0.3, n)
+    for b in breaks:
+        y[b:] += 4
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "ts long, value double")
+    found = {}
+    for r in D.change_points(df, "ts", "value", ("binseg", "bottomup"), breaks=2).collect():
+        found.setdefault(r["method"], []).append(r["position"])
+    assert sorted(found["binseg"]) == breaks
+    # bottom-up starts from pieces of two blocks, which only the wider blocks' second pass takes apart
+    assert all(abs(p - b) <= (10 if n < 10_000 else 0) for p, b in zip(sorted(found["bottomup"]), breaks))
+
+
+def test_adf_lags_follow_from_the_length(spark):
+    rng = np.random.default_rng(2)
+    n = 3000
+    e = rng.normal(size=n)
+    y = np.zeros(n)
+    for i in range(n):
+        y[i] = 0.3 * y[i - 1] + (0.6 * y[i - 26] if i >= 26 else 0) + e[i] if i else e[i]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "ts long, value double")
+    row = T.adf_test(df, "ts", "value").first()
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3)
+    d = np.diff(y)
+
+    def fit(lag, start):
+        rows = range(start, n - 1)
+        x = np.array([[1.0, y[i], *d[i - lag : i][::-1]] for i in rows])
+        beta, *_ = np.linalg.lstsq(x, d[start:], rcond=None)
+        rss = float(((d[start:] - x @ beta) ** 2).sum())
+        cov = np.linalg.inv(x.T @ x) * rss / (len(x) - x.shape[1])
+        return len(x) * np.log(rss / len(x)) + 2 * x.shape[1], beta[1] / np.sqrt(cov[1, 1])
+
+    lag = min(range(most + 1), key=lambda k: fit(k, most)[0])
+    assert most > 24 and row["lag"] == lag and row["statistic"] == pytest.approx(fit(lag, lag)[1], rel=1e-6)
