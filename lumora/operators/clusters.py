@@ -14,7 +14,7 @@ from lumora.operators.linear import _vector
 from lumora.operators.schema import scale
 from lumora.plans.order import ordered_index
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, spread_out
 
 # ---------------------------------------------------------------- k-means
 
@@ -110,7 +110,7 @@ def _scaled(df: DataFrame, cols: Sequence[str], scaled: bool) -> DataFrame:
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42, out: str = "cluster", scaled: bool = True) -> DataFrame:
     """Complete rows with a cluster label. Distances are between standardised columns; labels are in order of the centres."""
     base = _scaled(df, cols, scaled)
-    centres, _, _ = kmeans_centres(base.select(_vector(cols).alias("x")), len(cols), k, starts, seed=seed)
+    centres, _, _ = kmeans_centres(cut_lineage(spread_out(base.select(_vector(cols).alias("x")))), len(cols), k, starts, seed=seed)
     if not scaled:
         return base.withColumn(out, _nearest(centres)(_vector(cols)))
     # rows keep their own values; labels come from the scaled copies
@@ -121,7 +121,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, see
 
 def kmeans_summary(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42, scaled: bool = True) -> DataFrame:
     """(cluster, size, inertia of the model)."""
-    x = cut_lineage(_scaled(df, cols, scaled).select(_vector(cols).alias("x")))
+    x = cut_lineage(spread_out(_scaled(df, cols, scaled).select(_vector(cols).alias("x"))))
     _, sizes, inertia = kmeans_centres(x, len(cols), k, starts, seed=seed)
     return df.sparkSession.createDataFrame([(i, int(n), inertia) for i, n in enumerate(sizes)], "cluster int, size long, inertia double")
 
@@ -370,12 +370,12 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], tre
             total += depth[at]
         return pd.Series(np.power(2.0, -total / len(forest) / norm))
 
-    return df.dropna(subset=cols).withColumn("score", score(_vector(cols)))
+    return spread_out(df.dropna(subset=cols)).withColumn("score", score(_vector(cols)))
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], contamination: float = 0.1, seed: int = 42, trees: int = 100) -> DataFrame:
     """Rows with score and an outlier flag above the contamination quantile."""
-    scored = isolation_scores(df, cols, key, trees, seed=seed)
+    scored = isolation_scores(df, cols, key, trees, seed=seed)  # rows may move to other cores; scores don't depend on it
     scores = cut_lineage(scored.select("score"))  # one column; the rows themselves are not written
     (cut,) = quantile_values(scores, "score", [1 - contamination])
     return scored.withColumn("outlier", F.col("score") > F.lit(cut))
