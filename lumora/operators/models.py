@@ -295,7 +295,8 @@ def _folds_of_predictions(folded: DataFrame, features: Sequence[str], target: st
     return round(float(np.mean(scores)), 4), round(float(np.std(scores)), 4)
 
 
-def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
+def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42, depth: int = 5) -> DataFrame:
+    """Importances of the `top` features in a forest of shallow trees, whose upper levels decide them."""
     x = _assembled(df.dropna(subset=[target]), features)
     found = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(x).featureImportances
     rows = [(f, float(found[i])) for i, f in enumerate(features)]
