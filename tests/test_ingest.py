@@ -139,3 +139,26 @@ def test_log_levels_take_the_first_match(spark):
     rows = L.classify_log(df).collect()
     assert [r["level"] for r in rows] == ["error", "warning", "debug", None]
     assert rows[0]["is_exception"] and rows[0]["is_performance"] and rows[2]["is_user_action"]
+
+
+def test_workbooks_and_pages_are_read_with_the_folder(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    for k in range(3):
+        with open(f"{folder}/book{k}.xlsx", "wb") as f:
+            f.write(workbook_bytes(["Id", "Amount"], [k, "1,5"], [k + 10, None]))
+    with open(f"{folder}/broken.xlsx", "wb") as f:
+        f.write(b"PK no workbook")
+    with open(f"{folder}/page.html", "w") as f:
+        f.write("<table><tr><th>Id</th><th>Place</th></tr><tr><td>20</td><td>north</td></tr></table>")
+    with open(f"{folder}/long.csv", "w", encoding="latin-1") as f:
+        f.write("Id,Place\n" + "".join(f"{100 + k},señor {k}\n" for k in range(3000)))  # longer than a head
+    heads = S.sniff_files(spark, folder).collect()
+    assert {r["path"].rsplit("/", 1)[-1]: r["encoding"] for r in heads if r["format"] == "csv"} == {"long.csv": "latin-1"} and len(heads) == 6
+    tables, log = S.read_many(spark, folder)
+    outcome = {r["path"].rsplit("/", 1)[-1]: r["success"] for r in log.collect()}
+    assert outcome == {"book0.xlsx": True, "book1.xlsx": True, "book2.xlsx": True, "broken.xlsx": False, "page.html": True, "long.csv": True}
+    sizes = sorted((t.columns, t.count()) for t in tables.values())
+    assert sizes == [(["Id", "Amount"], 6), (["Id", "Place"], 1), (["Id", "Place"], 3000)]
+    unified = S.ingest_directory(spark, folder)["unified"]
+    assert unified.count() == 3007 and {"_type_id", "_type_amount", "_type_place"} <= set(unified.columns)
+    assert unified.where("place like 'señor%'").count() == 3000 and unified.where("amount = 1.5").count() == 3
