@@ -191,3 +191,37 @@ def test_manifest_of_no_and_of_one_row(spark):
     assert row["proof_sha256"] == hashlib.sha256(b"").hexdigest()
     changed = manifest.manifest(df.withColumn("text", F.lit("u"))).first()
     assert changed["root"] != row["root"]
+
+
+# ---------------------------------------------------------------- 10
+
+def plain_private(text):
+    import re
+
+    def luhn(digits):
+        total = 0
+        for k, d in enumerate(reversed(digits)):
+            v = int(d) * (2 if k % 2 else 1)
+            total += v - 9 if v > 9 else v
+        return total % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [f"{kind}:{m.start()}:{m.end()}" for kind, pattern, keep in kinds for m in re.finditer(pattern, text) if keep(m.group())]
+
+
+def test_base_spans_of_random_texts_are_those_of_the_plain_patterns(spark):
+    from lumora.llm import pii
+
+    rng = random.Random(10)
+    pieces = ["a@b.co", "x.y-z@", "@c.d", "1.2.3.4", "255.256.1.0", "010.000.1.2", "4111 1111 1111 1111", "4111-1111", "+49 (30) 123-4567", "+1", "5" * 17, ".", " ", "-", "ü", "+", "12", "a", "(", ")", "\n", "4242424242424242"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.Model(-50.0, dict.fromkeys(pii.features(F.col("c")), 0.0), {})  # adds nothing
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_private(df, model)).collect()}
+    assert all(got[i] == ",".join(plain_private(t)) for i, t in enumerate(texts))
