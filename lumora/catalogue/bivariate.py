@@ -49,6 +49,32 @@ def b4(spark, sf):
     return rounded(B.corr_matrix(lines(spark, sf), ALL))
 
 
+def _rank_sql(c):
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+
+
+@query("b4_spearman_matrix", f"""WITH k AS (SELECT {", ".join(_rank_sql(c) for c in ALL)} FROM lineitem) SELECT var1, var2, round(r, 6) AS r, n FROM (
+  {" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r, count(*) AS n FROM k" for i, a in enumerate(ALL) for b in ALL[:i])})""")
+def b4_spearman(spark, sf):
+    return rounded(B.rank_corr_matrix(lines(spark, sf), ALL, "spearman"))
+
+
+FEW = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+def _kendall_sql(a, b):
+    return f"""SELECT '{a}' AS var1, '{b}' AS var2, 2 * s / sqrt((n * (n - 1) - t) * (n * (n - 1) - u)) AS r, CAST(n AS BIGINT) AS n FROM (WITH p AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS c FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)
+  SELECT (SELECT sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 FROM p a, p b) AS s, (SELECT sum(c) FROM p) AS n,
+  (SELECT sum(t * (t - 1)) FROM (SELECT sum(c) AS t FROM p GROUP BY x)) AS t, (SELECT sum(t * (t - 1)) FROM (SELECT sum(c) AS t FROM p GROUP BY y)) AS u)"""
+
+
+@query("b4_kendall_matrix", f"""WITH g AS (SELECT l_linenumber, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS l_quantity, l_discount, l_tax FROM lineitem)
+  SELECT var1, var2, round(r, 8) AS r, n FROM ({" UNION ALL ".join(_kendall_sql(a, b) for i, a in enumerate(FEW) for b in FEW[:i])})""")
+def b4_kendall(spark, sf):
+    gappy = lines(spark, sf).withColumn("l_quantity", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")))
+    return rounded(B.rank_corr_matrix(gappy, FEW, "kendall"), 8)
+
+
 @query("v6_check_corr_matrix", f"SELECT count(*) = count(DISTINCT var1) * count(DISTINCT var2) AS square, min(r) >= -1.01 AND max(r) <= 1.01 AS in_range FROM ({_corr_sql(ALL, 'lineitem')})")
 def v6(spark, sf):
     return Q.check_corr_matrix(B.corr_matrix(lines(spark, sf), ALL))

@@ -66,40 +66,46 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """τ-b without comparing pairs.
+    """τ-b without comparing pairs."""
+    return kendall_pairs(df, [(x, y)]).select("method", "n", "statistic", "p_value")
+
+
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, method, n, statistic, p_value): τ-b of any number of column pairs in one plan; `pair` is the place in the list.
 
     Two y ranks first differ at one bit. Within each (bit, higher bits) group, ordered by x, the pairs with
     the set bit before the clear bit are the discordant ones, so one running sum counts them all:
-    rows × log2(distinct y), however the values are spread.
+    rows × log2(distinct y), however the values are spread. Rows without one of the two values don't count for a pair.
     """
-    pairs = cut_lineage(_pair(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("c")))
-    ranks = ordered_index(pairs.select("y").distinct(), ["y"], out="yr")
-    size = ranks.count()
-    ranks = broadcast_if_small(ranks.withColumnRenamed("y", "_y"))
-    coded = pairs.join(ranks, F.col("y") == F.col("_y")).select("x", "y", "yr", "c")
+    sides = F.array(*[F.struct(F.lit(i).alias("pair"), _x(x).alias("x"), _x(y).alias("y")) for i, (x, y) in enumerate(pairs)])
+    long = df.select(F.inline(sides)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    counted = cut_lineage(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c")))
+    ranks = cut_lineage(ordered_index(counted.select("pair", "y").distinct(), ["y"], ["pair"], out="yr"))
+    size = (ranks.agg(F.max("yr")).first()[0] or 0) + 1
+    ranks = broadcast_if_small(ranks.select(F.col("pair").alias("_pair"), F.col("y").alias("_y"), "yr"))
+    coded = counted.join(ranks, (F.col("pair") == F.col("_pair")) & (F.col("y") == F.col("_y"))).select("pair", "x", "y", "yr", "c")
     bits = max(1, math.ceil(math.log2(max(size, 2))))
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit")
-    spread = coded.select("x", "yr", "c", level).select(
-        "x", "c", "bit", F.expr("shiftright(yr, bit + 1)").alias("prefix"), F.expr("shiftright(yr, bit) & 1").alias("set"))
-    merged = spread.groupBy("bit", "prefix", "x", "set").agg(F.sum("c").alias("c"))
-    cum = running_sums(merged, {"before": F.col("c") * F.col("set")}, ["x", "set"], ["bit", "prefix"])
-    discordant = cum.agg(F.coalesce(F.sum(F.when(F.col("set") == 0, F.col("c") * F.col("before"))), F.lit(0.0)).alias("d"))
+    spread = coded.select("pair", "x", "yr", "c", level).select(
+        "pair", "x", "c", "bit", F.expr("shiftright(yr, bit + 1)").alias("prefix"), F.expr("shiftright(yr, bit) & 1").alias("set"))
+    merged = spread.groupBy("pair", "bit", "prefix", "x", "set").agg(F.sum("c").alias("c"))
+    cum = running_sums(merged, {"before": F.col("c") * F.col("set")}, ["x", "set"], ["pair", "bit", "prefix"])
+    discordant = cum.groupBy("pair").agg(F.coalesce(F.sum(F.when(F.col("set") == 0, F.col("c") * F.col("before"))), F.lit(0.0)).alias("d"))
 
     def ties(col: str) -> DataFrame:
         t = F.col("t")
-        g = pairs.groupBy(col).agg(F.sum("c").alias("t"))
-        return g.agg(F.sum(t * (t - 1)).alias(f"{col}1"), F.sum(t * (t - 1) * (t - 2)).alias(f"{col}2"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{col}3"))
+        g = counted.groupBy("pair", col).agg(F.sum("c").alias("t"))
+        return g.groupBy("pair").agg(F.sum(t * (t - 1)).alias(f"{col}1"), F.sum(t * (t - 1) * (t - 2)).alias(f"{col}2"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{col}3"))
 
-    joint = pairs.agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("xy1"))
-    one = [part.withColumn("_j", F.lit(1)) for part in (joint, ties("x"), ties("y"), discordant)]
-    row = reduce(lambda a, b: a.join(F.broadcast(b), "_j"), one)
+    joint = counted.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("xy1"))
+    row = reduce(lambda a, b: a.join(F.broadcast(b), "pair"), (joint, ties("x"), ties("y"), discordant))  # a row per column pair
     n, d = F.col("n"), F.col("d")
     m = n * (n - 1)
     score = (m - F.col("x1") - F.col("y1") + F.col("xy1")) / 2 - 2 * d
     tau = F.try_divide(2 * score, F.sqrt((m - F.col("x1")) * (m - F.col("y1"))))
     var = (m * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + F.col("x1") * F.col("y1") / (2 * m) + F.col("x2") * F.col("y2") / (9 * m * (n - 2))
     return row.where("n > 2").select(
-        F.lit("kendall").alias("method"), n.cast("long").alias("n"), tau.alias("statistic"), normal_p(score / F.sqrt(var)).alias("p_value"))
+        "pair", F.lit("kendall").alias("method"), n.cast("long").alias("n"), tau.alias("statistic"), normal_p(score / F.sqrt(var)).alias("p_value"))
 
 
 # ---------------------------------------------------------------- correlation tables
@@ -146,14 +152,47 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, lower_only: bo
     return base.select(F.explode(pairs).alias("_p"), "r", "n").select("_p.var1", "_p.var2", "r", "n")
 
 
+def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """Average ranks of all columns, side by side, from one long pass, and the rank column of a variable beside another.
+
+    Ranks count only rows where both variables of a pair are present. A variable has one rank column beside all partners without
+    gaps, and one more per partner that has gaps.
+    """
+    present = df.agg(F.count(F.lit(1)), *[F.count(_x(c)) for c in cols]).first()
+    whole = {c for c, n in zip(cols, present[1:]) if n == present[0]}
+    place: dict[tuple[str, str | None], int] = {}
+    beside = {}
+    for a in cols:
+        for b in cols:
+            if a != b:
+                beside[a, b] = "r{}".format(place.setdefault((a, None if b in whole else b), len(place)))
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), (_x(a) if b is None else F.when(_x(b).isNotNull(), _x(a))).alias("v")) for (a, b), i in place.items()])
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), slots.alias("_s")))  # numbers must outlive a lost executor
+    long = rows.select("_row", F.inline("_s")).where("v is not null")
+    counts = cut_lineage(long.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("c")))
+    totals = {r["slot"]: r["n"] for r in counts.groupBy("slot").agg(F.sum("c").alias("n")).collect()}  # one number per rank column
+    cum = running_sums(counts, {"_cum": F.col("c")}, ["v"], ["slot"])
+    ranks = broadcast_if_small(cum.select(F.col("slot").alias("_slot"), F.col("v").alias("_v"), (F.col("_cum") - (F.col("c") - 1) / 2.0).alias("rank")))
+    ranked = long.join(ranks, (F.col("slot") == F.col("_slot")) & (F.col("v") == F.col("_v")))
+    side = [F.max(F.when(F.col("slot") == i, F.col("rank") - (totals.get(i, 0) + 1) / 2.0)).alias(f"r{i}") for i in place.values()]
+    return ranked.groupBy("_row").agg(*side), beside
+
+
 def rank_corr_matrix(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
-    """The same table for spearman or kendall; one small plan per pair."""
-    test = {"spearman": spearman, "kendall": kendall}[method]
-    parts = [
-        test(df, a, b).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col("statistic").alias("r"), "n")
-        for i, a in enumerate(cols) for b in cols[:i]
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(var1, var2, r, n) below the diagonal for spearman or kendall: one plan for all pairs, whatever the width."""
+    cols = list(cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double, n long")
+    if method == "kendall":
+        names = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2")) for a, b in pairs])
+        return kendall_pairs(df, pairs).select(names[F.col("pair")].alias("_p"), F.col("statistic").alias("r"), "n").select("_p.*", "r", "n")
+    if method != "spearman":
+        raise ValueError(f"no rank correlation {method}")
+    ranks, beside = _rank_columns(df, cols)
+    table = corr_matrix(ranks, [c for c in ranks.columns if c != "_row"])
+    wanted = F.create_map(*[v for a, b in pairs for v in (F.lit(f"{beside[a, b]} {beside[b, a]}"), F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2")))])
+    return table.select(wanted[F.concat_ws(" ", "var1", "var2")].alias("_p"), "r", "n").where("_p is not null").select("_p.*", "r", "n")
 
 
 def _upper(corr: DataFrame, cols: Sequence[str]) -> DataFrame:

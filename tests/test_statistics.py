@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -117,6 +118,26 @@ def test_rank_correlation_tables(spark, mixed):
         assert len(got) == 3 and got["y", "x"] == pytest.approx(single(mixed[1], "y", "x").first()["statistic"])
 
 
+def _tau_b(x, y):
+    dx, dy = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+    return (dx * dy).sum() / math.sqrt((dx != 0).sum() * (dy != 0).sum())
+
+
+def test_rank_tables_rank_anew_where_a_partner_has_gaps(spark, plan):
+    rng = random.Random(11)
+    rows = [(rng.randint(0, 9), rng.choice([None, 1.5, 2.5, 9.0]), rng.gauss(0, 1) if rng.random() < 0.7 else None, float(k % 4)) for k in range(90)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d double")
+    rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+    brute = {"spearman": lambda x, y: np.corrcoef(rank(x), rank(y))[0, 1], "kendall": _tau_b}
+    for method, plain in brute.items():
+        got = {(r["var1"], r["var2"]): (r["r"], r["n"]) for r in B.rank_corr_matrix(df, list("abcd"), method).collect()}
+        assert len(got) == 6
+        for (u, v), (r, n) in got.items():
+            i, j = "abcd".index(u), "abcd".index(v)
+            both = np.array([(row[i], row[j]) for row in rows if row[i] is not None and row[j] is not None], dtype=float)
+            assert n == len(both) and r == pytest.approx(plain(both[:, 0], both[:, 1]))
+
+
 def test_correlation_is_two_by_two(spark, mixed):
     corr = B.corr_matrix(mixed[1], ["x", "y"])
     assert corr.count() == 4 and Q.check_corr_matrix(corr).first()["square"]
