@@ -75,7 +75,7 @@ def test_holt_winters_equals_recursion(spark, monkeypatch):
     monkeypatch.setattr(FC, "HW_BLOCK", 10)
     rng = np.random.default_rng(7)
     y = 50 + 0.3 * np.arange(60) + np.tile([4, -1, -3, 0], 15) + rng.normal(0, 0.5, 60)
-    row = FC.forecast_holt_winters(frame(spark, y), "ts", "value", 4, 4, ["key"]).orderBy("step").collect()
+    row = FC.forecast_holt_winters(frame(spark, y), "ts", "value", 4, 4, ["key"], rounds=0).orderBy("step").collect()
 
     def run(a, b, g):
         level, slope = y[:4].mean(), (y[4:8].mean() - y[:4].mean()) / 4
@@ -91,6 +91,40 @@ def test_holt_winters_equals_recursion(spark, monkeypatch):
     assert [r["forecast"] for r in row] == pytest.approx(results[best][1])
 
 
+def test_holt_winters_search_lowers_the_error_alike_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    y = 1e7 + 50 + 0.3 * np.arange(95) + np.resize([4, -1, -3, 0], 95) + rng.normal(0, 1.5, 95).cumsum()
+    df = frame(spark, y, key="walk").unionByName(frame(spark, y[:70] * 2, key="short")).unionByName(frame(spark, y[:7], key="too short"))
+
+    def rows(**more):
+        out = FC.forecast_holt_winters(df, "ts", "value", 5, 4, ["key"], **more).orderBy("key", "step").collect()
+        return {k: [r for r in out if r["key"] == k] for k in ("walk", "short", "too short")}
+
+    grid, one = rows(rounds=0), rows()
+    assert one["too short"] == [] and len(one["walk"]) == len(one["short"]) == 5
+    for k in ("walk", "short"):
+        assert one[k][0]["sse"] < grid[k][0]["sse"]
+    monkeypatch.setattr(FC, "HW_BLOCK", 10)
+    monkeypatch.setattr(FC, "HW_FAN", 3)
+    many = rows(rounds=3)
+    monkeypatch.undo()
+    one = rows(rounds=3)
+    for k in ("walk", "short"):
+        for a, b in zip(many[k], one[k]):
+            assert [a[c] for c in ("forecast", "alpha", "beta", "gamma", "sse")] == pytest.approx([b[c] for c in ("forecast", "alpha", "beta", "gamma", "sse")], rel=1e-6)
+
+    def plain(a, b, g):
+        z = y - y.mean()
+        level, slope, s, sse = z[:4].mean(), (z[4:8].mean() - z[:4].mean()) / 4, list(z[:4] - z[:4].mean()), 0.0
+        for t, v in enumerate(z):
+            e = v - (level + slope + s[t % 4])
+            level, slope, s[t % 4], sse = level + slope + a * e, slope + a * b * e, s[t % 4] + g * (1 - a) * e, sse + e * e
+        return sse
+
+    r = one["walk"][0]
+    assert r["sse"] == pytest.approx(plain(r["alpha"], r["beta"], r["gamma"]), rel=1e-6)
+
+
 def test_arima_follows_an_autoregression(spark, plan):
     rng = np.random.default_rng(11)
     y = [0.0]
@@ -103,6 +137,39 @@ def test_arima_follows_an_autoregression(spark, plan):
     assert 0 <= auto["p"] <= 3 and 0 <= auto["d"] <= 2 and 0 <= auto["q"] <= 3
 
 
+def _css(w, beta, ar, ma, reach):
+    e = np.zeros(len(w))
+    for t in range(reach, len(w)):
+        e[t] = w[t] - beta[0] - sum(b * w[t - a] for a, b in zip(ar, beta[1:])) - sum(b * e[t - a] for a, b in zip(ma, beta[1 + len(ar):]))
+    return e
+
+
+@pytest.mark.parametrize("block", [8192, 500])
+def test_css_recovers_weights_whole_or_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(FC, "CSS_BLOCK", block)
+    monkeypatch.setattr(FC, "CSS_FAN", 3)
+    rng = np.random.default_rng(5)
+    noise, w = rng.normal(size=6000), [0.0]
+    for t in range(1, 6000):
+        w.append(1.0 + 0.6 * w[-1] + noise[t] + 0.5 * noise[t - 1])
+    w = np.array(w[100:])
+    series = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(w)] + [("b", i, float(v)) for i, v in enumerate(w[:333])], "key string, _pos long, _w double")
+    begin = [0.5, 0.4, 0.1]
+    start = spark.createDataFrame([(k, begin, [1], [1], 1.0) for k in "ab"], "key string, _beta array<double>, _ar array<int>, _ma array<int>, _scale double")
+    got = {r["key"]: r for r in FC.css_fit(series, start, ["key"], 3, 3).collect()}
+    for key, part in (("a", w), ("b", w[:333])):
+        r = got[key]
+        e = _css(part, r["_beta"], [1], [1], 3)
+        assert r["_n"] == len(part) - 3 and r["_sse"] == pytest.approx((e * e).sum(), rel=1e-8)
+        assert list(r["_ends"]) == pytest.approx(e[-3:], abs=1e-6)
+        assert r["_sse"] < (_css(part, begin, [1], [1], 3) ** 2).sum()
+        for i in range(3):  # a minimum: no small move is better
+            for move in (-0.01, 0.01):
+                other = np.array(r["_beta"]) + move * np.eye(3)[i]
+                assert (_css(part, other, [1], [1], 3) ** 2).sum() > r["_sse"]
+    assert list(got["a"]["_beta"][1:]) == pytest.approx([0.6, 0.5], abs=0.06)
+
+
 def test_sarima_continues_the_season(spark, plan):
     rng = np.random.default_rng(3)
     season = np.tile([10, 4, -2, -8, -6, 2], 20)
