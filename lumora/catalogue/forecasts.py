@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.catalogue.registry import DAILY, MONTHLY, daily, daily_by_priority, monthly, query, rounded
+from lumora.catalogue.registry import DAILY, DAILY_BY_PRIORITY, MONTHLY, daily, daily_by_priority, monthly, query, rounded
 from lumora.catalogue.timeseries import SHIFT, shifted
 from lumora.operators import decomposition as D
 from lumora.operators import forecasting as FC
@@ -53,6 +53,49 @@ def t27(spark, sf):
     return rounded(FC.forecast_holt_winters(daily_by_priority(spark, sf), "ts", "value", 14, 7, K), 2)
 
 
+# Series whose continuation is known: a straight line, with a fixed pattern where the model has a season, over the days or months of the orders.
+WEEK, YEAR = [0, 3, -2, 5, -4, 1, -3], [10, 7, 1, -4, -8, -11, -9, -3, 0, 3, 6, 8]
+
+
+def straight(series, keys, pattern=(0,)):
+    from lumora.plans.order import ordered_index
+
+    placed = ordered_index(series, ["ts"], keys)
+    wave = F.array(*[F.lit(float(v)) for v in pattern])[(F.col("_pos") % len(pattern)).cast("int")]
+    return placed.select(*keys, "ts", (1000 + 2.5 * F.col("_pos") + wave).alias("value"))
+
+
+def _straight_sql(horizon, pattern=(0,)):
+    wave = f"CAST(([{', '.join(map(str, pattern))}])[(n - 1 + s) % {len(pattern)} + 1] AS DOUBLE)"
+    return f"SELECT key, CAST(s AS INTEGER) AS step, 1000 + 2.5 * (n - 1 + s) + {wave} AS forecast FROM (SELECT key, count(*) AS n FROM daily_by_priority GROUP BY 1), (SELECT unnest(range(1, {horizon + 1})) AS s)"
+
+
+@query("t25_arima_on_lines", f"WITH {DAILY_BY_PRIORITY} {_straight_sql(12)}")
+def t25_lines(spark, sf):
+    return rounded(FC.forecast_arima(straight(daily_by_priority(spark, sf), K), "ts", "value", 12, K).select("key", "step", "forecast"), 2)
+
+
+@query("t26_sarima_on_seasons", f"WITH {MONTHLY}, daily_by_priority AS (SELECT 'all' AS key, ts FROM monthly) {_straight_sql(12, YEAR)}")
+def t26_seasons(spark, sf):
+    found = FC.forecast_sarima(straight(monthly(spark, sf), [], YEAR), "ts", "value", 12)
+    return rounded(found.select(F.lit("all").alias("key"), "step", "forecast"), 2)
+
+
+@query("t27_holt_winters_on_seasons", f"WITH {DAILY_BY_PRIORITY} SELECT key, step, 2 * forecast AS forecast FROM ({_straight_sql(14, WEEK)})")
+def t27_seasons(spark, sf):
+    s = straight(daily_by_priority(spark, sf), K, WEEK).withColumn("value", F.col("value") * 2)
+    # whole numbers: start values taken from the first two seasons fade, but never quite
+    return rounded(FC.forecast_holt_winters(s, "ts", "value", 14, 7, K).select("key", "step", "forecast"), 0)
+
+
+@query("t29_seasonal_regression_on_lines", f"WITH {DAILY_BY_PRIORITY} SELECT key, CAST(s AS INTEGER) AS step, 1000.0::DOUBLE AS height FROM (SELECT DISTINCT key FROM daily_by_priority), (SELECT unnest(range(1, 31)) AS s)")
+def t29_lines(spark, sf):
+    risen = F.datediff("ts", F.lit("1992-01-01").cast("date")) * 0.5
+    s = daily_by_priority(spark, sf).select("key", "ts", (1000 + risen).alias("value"))
+    found = FC.forecast_seasonal_regression(s, "ts", "value", 30, keys=K)
+    return rounded(found.select("key", "step", (F.col("forecast") - risen).alias("height")), 2)
+
+
 @query("t28_forecast_var")
 def t28(spark, sf):
     return rounded(FC.forecast_var(daily(spark, sf), "ts", ["value", "orders"], 10), 2)

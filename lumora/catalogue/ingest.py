@@ -148,6 +148,14 @@ def s10(spark, sf):
     return found.withColumn("cells", F.array_join("cells", "|"))
 
 
+@query("s10_html_tables_sql", """SELECT url, CAST(n AS INTEGER) AS table_index, CAST(r AS INTEGER) AS row, CASE WHEN n = 1 THEN 'second' WHEN r = 0 THEN 'page' ELSE CAST(page_id AS VARCHAR) END AS cells
+  FROM pages, (SELECT unnest([0, 0, 1]) AS n, unnest([0, 1, 0]) AS r)""")
+def s10_sql(spark, sf):
+    W.register_html_tables(spark, "page_tables")
+    text = "concat('<table><tr><th>page</th></tr><tr><td>', page_id, '</td></tr></table><p>-</p><table><tr><td>second</td></tr></table>', html)"
+    return spark.sql(f"SELECT url, table_index, row, array_join(cells, '|') AS cells FROM {{pages}} p, LATERAL page_tables({text}, true)", pages=table(spark, sf, "pages"))
+
+
 def workbook_bytes(*rows):
     """A minimal workbook with one sheet."""
     cells = [
@@ -274,6 +282,18 @@ def n6(spark, sf):
     return N.infer_types_by_cast(gaps(spark, sf), "simple").withColumnRenamed("column", "column_name")
 
 
+def _strict(c, numeric=False, moment=False):
+    number = "count(*) > 0" if numeric else "false" if moment else f"count(TRY_CAST({c} AS DOUBLE)) = count({c})"
+    date = "count(*) > 0" if moment else "false" if numeric else f"count(TRY_CAST({c} AS TIMESTAMP)) = count({c})"
+    return f"SELECT '{c}' AS column_name, CASE WHEN {number} THEN 'numeric' WHEN {date} THEN 'timestamp' ELSE 'qualitative' END AS dtype, CAST(1.0 AS DOUBLE) AS confidence FROM gaps"
+
+
+@query("n6_infer_types_strict", f"WITH {GAPS} " + " UNION ALL ".join([
+    _strict("o_orderkey", True), _strict("o_custkey", True), _strict("o_orderstatus"), _strict("o_totalprice", True), _strict("o_orderdate", moment=True), _strict("o_orderpriority")]))
+def n6_strict(spark, sf):
+    return N.infer_types_by_cast(gaps(spark, sf), "strict").withColumnRenamed("column", "column_name")
+
+
 @query("n7_to_number_locale", f"WITH {MESSY} SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN round(l_extendedprice, 2) WHEN 1 THEN round(l_extendedprice, 2) WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS DOUBLE) END AS price_text FROM lineitem")
 def n7(spark, sf):
     return N.to_number_locale(messy(spark, sf), "price_text")
@@ -382,6 +402,12 @@ def n20(spark, sf):
     return rounded(N.coverage(gaps(spark, sf), ["o_totalprice", "o_orderpriority", "o_custkey"]))
 
 
+@query("n20_filter_by_coverage", f"WITH {GAPS} SELECT o_orderkey, o_orderpriority, o_custkey FROM gaps")
+def n20_filter(spark, sf):
+    g = gaps(spark, sf)
+    return g.select("o_orderkey", *N.filter_by_coverage(g, ["o_totalprice", "o_orderpriority", "o_custkey"], 0.9))
+
+
 @query("n21_impute", f"WITH {GAPS} SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM gaps)), 6) AS o_totalprice FROM gaps")
 def n21(spark, sf):
     return rounded(N.impute(gaps(spark, sf).select("o_orderkey", "o_totalprice"), ["o_totalprice"], "median"))

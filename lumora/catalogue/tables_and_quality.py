@@ -83,6 +83,11 @@ def p12(spark, sf):
     return P.size_ok(table(spark, sf, "lineitem"))
 
 
+@query("p12_cap_rows_first", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000000")
+def p12_first(spark, sf):
+    return P.cap_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"])
+
+
 @query("p13_split_chronological", """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
   SELECT o_orderkey, CASE WHEN k < floor(n * (1 - 0.2)) THEN 'train' ELSE 'test' END AS split FROM o""")
 def p13(spark, sf):

@@ -63,23 +63,30 @@ def page_tables(text: str) -> list[list[list[str]]]:
     parser = _Tables()
     parser.feed(text)
     parser.close()
+    parser._close_cell()  # a page may break off inside a cell
     return [[r for r in t if r] for t in parser.tables]
 
 
-def html_tables(pages: DataFrame, url: str = "url", html: str = "html", all_tables: bool = False) -> DataFrame:
-    """(url, table_count, table_index, row, cells): the first (or every) table of each page; tasks hold one batch of pages."""
+@F.udtf(returnType="table_count int, table_index int, row int, cells array<string>")
+class HtmlTables:
+    """Table function over one page: a row per row of its first table, or of every table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for u, text in zip(batch["url"], batch["html"]):
-                found = page_tables(text or "")
-                for i, table in enumerate(found if all_tables else found[:1]):
-                    rows += [(u, len(found), i, k, cells) for k, cells in enumerate(table)]
-            yield pd.DataFrame(rows, columns=["url", "table_count", "table_index", "row", "cells"])
-
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(
-        run, "url string, table_count int, table_index int, row int, cells array<string>")
+    def eval(self, text: str, all_tables: bool):
+        found = page_tables(text or "")
+        for i, table in enumerate(found if all_tables else found[:1]):
+            for k, cells in enumerate(table):
+                yield len(found), i, k, cells
+
+
+def register_html_tables(spark: SparkSession, name: str = "html_tables") -> None:
+    """Make the table function known to SQL: `SELECT … FROM pages, LATERAL html_tables(html, true)`."""
+    spark.udtf.register(name, HtmlTables)
+
+
+def html_tables(pages: DataFrame, url: str = "url", html: str = "html", all_tables: bool = False) -> DataFrame:
+    """(url, table_count, table_index, row, cells): the first (or every) table of each page, by a lateral join with a table function."""
+    found = pages.select(F.col(url).alias("url"), F.col(html).alias("_html"))
+    return found.lateralJoin(HtmlTables(F.col("_html").outer(), F.lit(all_tables))).select("url", "table_count", "table_index", "row", "cells")
 
 
 def _column_number(ref: str) -> int:

@@ -104,6 +104,10 @@ def test_html_and_workbooks(spark):
     pages = spark.createDataFrame([("u", page), ("v", "none"), ("w", None)], "url string, html string")
     assert [(r["url"], r["table_count"], r["row"], r["cells"]) for r in W.html_tables(pages).orderBy("row").collect()] == [("u", 2, 0, ["a", "b"]), ("u", 2, 1, ["1 & 2", "z"])]
     assert W.html_tables(pages, all_tables=True).count() == 3
+    odd = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", "<p>none</p>", 3), ("d", "<table><tr><td>x", 4), ("d", "<table><tr><td>x", 4)], "url string, html string, row int")
+    assert [(r["url"], r["table_count"], r["row"], r["cells"]) for r in W.html_tables(odd).collect()] == [("d", 1, 0, ["x"])] * 2
+    W.register_html_tables(spark, "tables_of")
+    assert spark.sql("SELECT t.* FROM VALUES ('<table><tr><td>1</td></tr></table>') AS p(h), LATERAL tables_of(h, true) t").first()["cells"] == ["1"]
     books = spark.createDataFrame([("good", bytearray(workbook_bytes(["a", "b"], [1, "x"]))), ("bad", bytearray(b"no zip"))], "path string, content binary")
     rows = W.workbook_rows(books).orderBy("path", "row").collect()
     assert rows[0]["path"] == "bad" and rows[0]["error"] and [r["cells"] for r in rows[1:]] == [["a", "b"], ["1", "x"]]
