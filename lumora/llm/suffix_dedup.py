@@ -284,12 +284,17 @@ _FOUND = "shard long, places boolean, count int, blob binary"
 def _classes_of(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The least id of every window of distinct pieces, which are sorted by anchor, by suffix arrays of bounded size.
 
-    Arrays are cut between anchors. An anchor with more text than an array holds is cut between single windows instead,
+    Windows of unlike anchors are unlike: a piece alone with its anchor keeps its own id and is not sorted. Arrays are
+    cut between anchors. An anchor with more text than an array holds is cut between single windows instead,
     ordered by their own hash: equal windows stay together.
     """
     counts = sizes - WINDOW + 1
     offset = np.cumsum(counts) - counts
-    found = np.empty(int(counts.sum()), np.int64)
+    found = np.repeat(least, counts)
+    edges = _groups(anchor)
+    fellows = np.diff(edges, append=len(anchor))
+    several = np.repeat(fellows > 1, fellows)
+    begins, sizes, anchor, least, counts, offset = (x[several] for x in (begins, sizes, anchor, least, counts, offset))
 
     def sort(begin: np.ndarray, size: np.ndarray, own: np.ndarray, to: np.ndarray) -> None:
         starts = np.cumsum(size + 1) - (size + 1)

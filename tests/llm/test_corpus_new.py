@@ -67,6 +67,24 @@ def test_dedup_of_mixed_passages(spark, monkeypatch, shard, array):
     assert sorted(map(tuple, suffix_dedup.digests(suffix_dedup.repeated_bytes(df)).collect()), key=repr) == plain_dedup(rows)
 
 
+def test_pieces_alone_with_their_anchor_are_not_sorted(monkeypatch):
+    sorted_bytes, classes = [], suffix_dedup.window_classes
+
+    def counted(text, *more):
+        sorted_bytes.append(len(text))
+        return classes(text, *more)
+
+    monkeypatch.setattr(suffix_dedup, "window_classes", counted)
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 123, 60, np.uint8)
+    texts = [rng.integers(97, 123, 60, np.uint8), np.concatenate([passage, passage[:1]]), passage, np.full(84, 97, np.uint8)]
+    sizes = np.array([len(t) for t in texts])
+    raw, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
+    found = suffix_dedup._classes_of(raw, begins, sizes, np.array([1, 2, 2, 3], np.uint64), np.array([9, 4, 3, 8]))
+    assert found.tolist() == [9] * 11 + [3] * 11 + [4] + [3] * 11 + [8] * 35
+    assert sorted_bytes == [61 + 60 + 2]
+
+
 def test_dedup_of_the_given_documents_and_of_none(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sorted(map(tuple, QUERIES["op11_suffix_dedup"](spark, SF).collect()), key=repr)
