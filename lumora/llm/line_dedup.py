@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.llm.shared import fingerprint, fresh, id_and_text, let
@@ -9,6 +11,7 @@ from lumora.llm.shared import fingerprint, fresh, id_and_text, let
 #: Lines per window.
 WIDTH = 3
 NOT_BLANK = r"[^\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _lines(text: Column) -> Column:
@@ -16,16 +19,27 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(text: Column, width: int) -> Column:
-    """Position and 128-bit hash of every window of `width` lines of which one or more isn't blank."""
+    """Position and 128-bit hash of every window of `width` lines of which one or more isn't blank, and the text's print.
+
+    Each line is hashed and looked at once; windows are made from the hashes of their lines. The print stands in the array,
+    as a column beside it would be computed anew for each window, from a text that is copied as often.
+    """
+
+    def of_line(line: Column) -> Column:
+        return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(width), line).alias("b"), (F.ltrim(line, F.lit(BLANKS)) != "").alias("filled"))
+
+    def of_lines(found: Column) -> Column:
+        lines = found["lines"]
 
-    def of_lines(lines: Column) -> Column:
         def at(i: Column) -> Column:
             part = [lines[i + k] for k in range(width)]
-            return F.struct(i.alias("pos"), F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit(width), *reversed(part)).alias("h2"), F.concat(*part).rlike(NOT_BLANK).alias("filled"))
+            filled = reduce(Column.__or__, [p["filled"] for p in part])
+            hashes = [F.xxhash64(*[p["a"] for p in part]).alias("h1"), F.xxhash64(*[p["b"] for p in reversed(part)]).alias("h2")]
+            return F.struct(found["print"].alias("print"), i.alias("pos"), *hashes, filled.alias("filled"))
 
         return F.when(F.size(lines) >= width, F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - width), at), lambda w: w["filled"]))
 
-    return let(_lines(text), of_lines)
+    return let(F.struct(F.transform(_lines(text), of_line).alias("lines"), fingerprint(text).alias("print")), of_lines)
 
 
 def repeated_positions(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -35,8 +49,8 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sums, so a window that a third of all documents share is one row per task; the join that finds its occurrences
     is an inner join of two shuffled sides, which adaptive execution splits where a window is that frequent.
     """
-    windows = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), F.explode_outer(_windows(F.col("text"), width)).alias("w")).where("w IS NOT NULL").select(
-        "doc_id", "print", "w.pos", "w.h1", "w.h2"
+    windows = docs.select("doc_id", F.explode_outer(_windows(F.col("text"), width)).alias("w")).where("w IS NOT NULL").select(
+        "doc_id", "w.print", "w.pos", "w.h1", "w.h2"
     )
     place = F.struct("doc_id", "print", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -73,6 +74,15 @@ def test_line_dedup(messy, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.drop_repeated_lines(empty).columns == empty.columns
 
 
+def test_line_windows_carry_no_text(spark):
+    docs = spark.createDataFrame(rows_of([(1, "a\n \n\t\nb\nc"), (2, " \n\t\n\v\n\f\n\r"), (3, " \n\t\n\v\n\u00a0"), (4, " \n\t\n\v\n\u00a0"), (5, None), (6, "x\ny\na\n \n\t\nb")]), SCHEMA).select("doc_id", "text")
+    found = line_dedup.repeated_positions(docs)
+    assert sorted((r["doc_id"], r["at"]) for r in found.collect()) == [(4, [1]), (6, [2, 3])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r", \[([^\[\]]*)\], (?:true|false), \[w#", plan)
+    assert carried and not any("text" in c for c in carried)  # only ids go along with each window
+
+
 def test_whole_copies_leave_in_the_pipeline(spark):
     docs = spark.createDataFrame(rows_of([(1, "a b\nc d\ne f"), (2, "a b\nc d\ne f"), (3, "a b\nc d\ne f\ng h")]), SCHEMA)
     assert [(r["doc_id"], r["text"], r["n_chars"]) for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [(1, "a b\nc d\ne f", 11), (3, "g h", 3)]
