@@ -212,6 +212,27 @@ def test_knn_meets_few_cells_and_counts_copies(spark):
     assert NB.nearest(train.where("false"), test, cols, "y", "i").count() == 0
 
 
+def test_knn_moves_a_row_once_to_many_cells(spark):
+    """In many columns nearly all cells are visited; rows go to regions of cells, and lists of cells stay short in memory."""
+    from lumora.operators import neighbours as NB
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(1500, 16)), rng.integers(0, 3, 1500)
+    cols = [f"c{i}" for i in range(16)]
+    df = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y))], ["i", *cols, "y"])
+    train, test = df.where("i % 5 > 0"), df.where("i % 5 = 0")
+    found = NB.cells(train, cols, "y", 5)
+    region = NB._regions(found, 300)
+    assert np.bincount(region, weights=found.sizes).max() <= 300
+    moved = NB._asked(test, cols, "i", found, 5, region).selectExpr("sum(size(regions))", "sum(size(flatten(cells)))").first()
+    assert moved[1] == NB.visits(test, cols, "i", found, 5).count() and moved[0] < moved[1] / 4
+    inside = np.array([i for i in range(1500) if i % 5])
+    got = {r["i"]: r["prediction"] for r in NB.knn_classify(train, test, cols, "y", "i", block_rows=300).collect()}
+    for i in range(0, 1500, 5):
+        near = y[inside][np.lexsort((y[inside], np.sqrt(((x[inside] - x[i]) ** 2).sum(axis=1))))[:5]]
+        assert got[str(i)] == str(int(np.bincount(near, minlength=3).argmax()))
+
+
 def test_dbscan_in_five_columns(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.15, size=(60, 5)) for c in (0, 2, 4)] + [rng.uniform(-3, 7, size=(20, 5))])
