@@ -152,11 +152,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, lower_only: bo
     return base.select(F.explode(pairs).alias("_p"), "r", "n").select("_p.var1", "_p.var2", "r", "n")
 
 
+#: Ranks of columns with no more values than this are looked up where the rows are, for so many columns at most.
+LOOKUP_VALUES, MOST_LOOKUPS = 100_000, 24
+
+
 def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """Average ranks of all columns, side by side, from one long pass, and the rank column of a variable beside another.
 
     Ranks count only rows where both variables of a pair are present. A variable has one rank column beside all partners without
-    gaps, and one more per partner that has gaps.
+    gaps, and one more per partner that has gaps. Only columns of many values are shuffled for their ranks.
     """
     present = df.agg(F.count(F.lit(1)), *[F.count(_x(c)) for c in cols]).first()
     whole = {c for c, n in zip(cols, present[1:]) if n == present[0]}
@@ -170,12 +174,25 @@ def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[tuple
     rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), slots.alias("_s")))  # numbers must outlive a lost executor
     long = rows.select("_row", F.inline("_s")).where("v is not null")
     counts = cut_lineage(long.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("c")))
-    totals = {r["slot"]: r["n"] for r in counts.groupBy("slot").agg(F.sum("c").alias("n")).collect()}  # one number per rank column
+    sizes = counts.groupBy("slot").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values")).orderBy("values", "slot").collect()  # a row per rank column
+    totals = {r["slot"]: r["n"] for r in sizes}
     cum = running_sums(counts, {"_cum": F.col("c")}, ["v"], ["slot"])
-    ranks = broadcast_if_small(cum.select(F.col("slot").alias("_slot"), F.col("v").alias("_v"), (F.col("_cum") - (F.col("c") - 1) / 2.0).alias("rank")))
-    ranked = long.join(ranks, (F.col("slot") == F.col("_slot")) & (F.col("v") == F.col("_v")))
-    side = [F.max(F.when(F.col("slot") == i, F.col("rank") - (totals.get(i, 0) + 1) / 2.0)).alias(f"r{i}") for i in place.values()]
-    return ranked.groupBy("_row").agg(*side), beside
+    ranks = cut_lineage(cum.select(F.col("slot").alias("_slot"), F.col("v").alias("_v"), (F.col("_cum") - (F.col("c") - 1) / 2.0).alias("rank")))
+    few = [r["slot"] for r in sizes[:MOST_LOOKUPS] if r["values"] <= LOOKUP_VALUES]
+    for i in few:
+        known = F.broadcast(ranks.where(F.col("_slot") == i).select("_v", F.col("rank").alias(f"_r{i}")))
+        rows = rows.join(known, F.col("_s")[i]["v"] == F.col("_v"), "left").drop("_v")
+    centred = {i: -(totals.get(i, 0) + 1) / 2.0 for i in place.values()}
+    if len(few) == len(place):
+        return rows.select("_row", *[(F.col(f"_r{i}") + centred[i]).alias(f"r{i}") for i in place.values()]), beside
+    many = long.where(~F.col("slot").isin(few)) if few else long
+    ranked = many.join(broadcast_if_small(ranks.where(~F.col("_slot").isin(few)) if few else ranks), (F.col("slot") == F.col("_slot")) & (F.col("v") == F.col("_v")))
+    ranked = ranked.select("_row", "slot", "rank", F.lit(None).cast("array<double>").alias("few"))
+    if few:
+        ranked = ranked.unionByName(rows.select("_row", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("double").alias("rank"), F.array(*[F.col(f"_r{i}") for i in few]).alias("few")))
+    met = ranked.repartition("_row")  # narrow rows move; partial sums would move a whole row of ranks for each
+    side = [F.max(F.get("few", F.lit(few.index(i))) if i in few else F.when(F.col("slot") == i, F.col("rank"))) for i in place.values()]
+    return met.groupBy("_row").agg(*[(c + centred[i]).alias(f"r{i}") for i, c in zip(place.values(), side)]), beside
 
 
 def rank_corr_matrix(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,22 @@ def test_missing_counts(spark):
 def test_multi_column_test_reports_errors(spark, mixed):
     got = {r["variable"]: r["error"] for r in B.multi_column_test(mixed[1], ["x", "g", "absent"], "jarque_bera").collect()}
     assert got == {"x": None, "g": "not numeric", "absent": "absent"}
+
+
+def test_rank_tables_shuffle_only_columns_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = pd.DataFrame({"a": rng.normal(size=400), "b": rng.integers(0, 4, 400).astype(float), "c": rng.integers(0, 9, 400).astype(float), "d": rng.integers(0, 300, 400).astype(float)})
+    x.loc[::7, "b"] = None
+    x.loc[3::11, "a"] = None
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in x.itertuples(index=False)], "a double, b double, c double, d double")
+    expected = x.corr("spearman")
+    for values, most in ((100_000, 24), (20, 24), (20, 1), (0, 24)):
+        monkeypatch.setattr(B, "LOOKUP_VALUES", values)
+        monkeypatch.setattr(B, "MOST_LOOKUPS", most)
+        got = {(r["var1"], r["var2"]): (r["r"], r["n"]) for r in B.rank_corr_matrix(df, list(x.columns), "spearman").collect()}
+        assert len(got) == 6
+        for (v, w), (r, n) in got.items():
+            assert abs(r - expected.loc[v, w]) < 1e-9 and n == x[[v, w]].dropna().shape[0]
+    monkeypatch.undo()
+    ranks, _ = B._rank_columns(df, ["b", "c"])
+    assert "Exchange hashpartitioning(_row" not in ranks._jdf.queryExecution().executedPlan().toString()
