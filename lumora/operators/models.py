@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumora.operators import linear as L
 from lumora.operators.bivariate import corr_matrix
 from lumora.operators.clusters import dbscan, isolation_forest, isolation_scores, kmeans, kmeans_summary  # noqa: F401
+from lumora.operators.forests import forest_importances
 from lumora.operators.neighbours import knn_classify  # noqa: F401  (one of the classifiers)
 from lumora.operators.quality import quality_level
 from lumora.operators.relational import key_mark, numeric_names, sample_n, split_random, text_names
@@ -297,8 +298,7 @@ def _folds_of_predictions(folded: DataFrame, features: Sequence[str], target: st
 
 def feature_importance(df: DataFrame, features: Sequence[str], target: str, top: int = 5, trees: int = 100, seed: int = 42, depth: int = 5) -> DataFrame:
     """Importances of the `top` features in a forest of shallow trees, whose upper levels decide them."""
-    x = _assembled(df.dropna(subset=[target]), features)
-    found = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(x).featureImportances
+    found = forest_importances(df, features, target, trees, depth, seed)
     rows = [(f, float(found[i])) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
