@@ -20,12 +20,24 @@ from lumora.plans.sizing import broadcast_if_small, cut_lineage, spread_out
 
 #: Rows, of the least hashes, that starting centres are chosen from.
 SEED_ROWS = 2_000
+#: Rows whose distances to all centres are found at once.
+PIECE_ROWS = 4_096
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _packed(size: int):
+    """Rows of arrays as matrices in binary form, one for each batch: a round then reads no single rows."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch({"x": pa.array([_matrix(batch.column(0), size).astype(float).tobytes()], pa.binary())})
+
+    return pack
+
+
 def _spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ over a sample."""
     picked = [int(rng.integers(len(x)))]
@@ -50,26 +62,35 @@ def kmeans_centres(x: DataFrame, size: int, k: int, starts: int = 10, rounds: in
     centres = np.stack([_spread_seeds(sample, k, rng) for _ in range(starts)])
     variance = float(sample.var(axis=0).mean())
 
+    blocks = cut_lineage(x.select("x").mapInArrow(_packed(size), "x binary"))
+
     def step(now: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, seen = np.zeros((len(live), k, size + 2)), False
-            for batch in batches:
-                rows = _matrix(batch.column(0), size)
-                norms = (rows * rows).sum(axis=1)
-                for i, s in enumerate(live):
-                    c = now[s]
-                    d = np.maximum(norms[:, None] - 2 * rows @ c.T + (c * c).sum(axis=1), 0)
-                    near = d.argmin(axis=1)
-                    sums[i, :, 0] += np.bincount(near, minlength=k)
-                    sums[i, :, 1] += np.bincount(near, d[np.arange(len(rows)), near], minlength=k)
-                    for j in range(size):
-                        sums[i, :, 2 + j] += np.bincount(near, rows[:, j], minlength=k)
+            flat = now[live].reshape(-1, size)
+            double, own = -2 * flat, (flat * flat).sum(axis=1)[:, None]
+            for block in (b for batch in batches for b in batch.column(0)):
+                rows = np.frombuffer(block.as_buffer()).reshape(-1, size)
+                for a in range(0, len(rows), PIECE_ROWS):
+                    part = rows[a: a + PIECE_ROWS]
+                    gaps = double @ part.T
+                    gaps += own + (part * part).sum(axis=1)
+                    gaps = np.maximum(gaps, 0, out=gaps).reshape(len(live), k, -1)
+                    least = gaps.min(axis=1)
+                    hot, taken = np.empty(gaps.shape), np.zeros(least.shape, bool)
+                    for j in range(k):  # of equal distances the first counts
+                        own_rows = ~((gaps[:, j] > least) | taken)
+                        taken |= own_rows
+                        hot[:, j] = own_rows
+                    sums[:, :, 0] += hot.sum(axis=2)
+                    sums[:, :, 1] += np.matmul(hot, least[:, :, None])[:, :, 0]
+                    sums[:, :, 2:] += (hot.reshape(-1, len(part)) @ part).reshape(len(live), k, size)
                 seen = seen or len(rows) > 0
             if seen:
                 yield pa.record_batch({"at": pa.array(np.arange(sums.size, dtype=np.int32)), "v": pa.array(sums.ravel())})
 
         out = np.zeros(len(live) * k * (size + 2))
-        for r in x.select("x").mapInArrow(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        for r in blocks.mapInArrow(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
             out[r["at"]] = r["v"]
         out = out.reshape(len(live), k, size + 2)
         return out[:, :, 0], out[:, :, 1], out[:, :, 2:]
@@ -110,7 +131,7 @@ def _scaled(df: DataFrame, cols: Sequence[str], scaled: bool) -> DataFrame:
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42, out: str = "cluster", scaled: bool = True) -> DataFrame:
     """Complete rows with a cluster label. Distances are between standardised columns; labels are in order of the centres."""
     base = _scaled(df, cols, scaled)
-    centres, _, _ = kmeans_centres(cut_lineage(spread_out(base.select(_vector(cols).alias("x")))), len(cols), k, starts, seed=seed)
+    centres, _, _ = kmeans_centres(spread_out(base.select(_vector(cols).alias("x"))), len(cols), k, starts, seed=seed)
     if not scaled:
         return base.withColumn(out, _nearest(centres)(_vector(cols)))
     # rows keep their own values; labels come from the scaled copies
@@ -121,7 +142,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, see
 
 def kmeans_summary(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42, scaled: bool = True) -> DataFrame:
     """(cluster, size, inertia of the model)."""
-    x = cut_lineage(spread_out(_scaled(df, cols, scaled).select(_vector(cols).alias("x"))))
+    x = spread_out(_scaled(df, cols, scaled).select(_vector(cols).alias("x")))
     _, sizes, inertia = kmeans_centres(x, len(cols), k, starts, seed=seed)
     return df.sparkSession.createDataFrame([(i, int(n), inertia) for i, n in enumerate(sizes)], "cluster int, size long, inertia double")
 
