@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumora.plans.gram import unpack, vector_products
+from lumora.plans.gram import EXPRESSION_SUMS, column_products, unpack, vector_products
 
 
 def _vector(cols: Sequence[str]) -> Column:
@@ -23,8 +23,13 @@ def design(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> tupl
     used = df.select(*keys, _vector(cols).alias("_x")).where(~F.exists("_x", lambda v: v.isNull()))
     means = used.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(cols))]).first()
     centre = np.array([m or 0.0 for m in means])
-    centred = used.select(*keys, F.array(*[F.col("_x")[i] - F.lit(float(c)) for i, c in enumerate(centre)]).alias("_x"))
-    rows = vector_products(centred, "_x", len(cols), keys).collect()
+    gaps = [F.col("_x")[i] - F.lit(float(c)) for i, c in enumerate(centre)]
+    if (len(cols) + 1) * (len(cols) + 2) // 2 <= EXPRESSION_SUMS:
+        rows = column_products(used.select(*keys, *[g.alias(f"_c{i}") for i, g in enumerate(gaps)]), [f"_c{i}" for i in range(len(cols))], keys).collect()
+    else:
+        rows = vector_products(used.select(*keys, F.array(*gaps).alias("_x")), "_x", len(cols), keys).collect()
+    if not keys and not rows[0]["n"]:
+        raise ValueError("no complete rows")
     return centre, [(tuple(r[k] for k in keys), r["n"], unpack(r["gram"], len(cols))) for r in rows]
 
 

@@ -23,13 +23,19 @@ def cross_products(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     if width * (width + 1) // 2 > EXPRESSION_SUMS:
         packed = complete.select(*keys, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_x"))
         return vector_products(packed, "_x", len(cols), keys)
+    return column_products(complete, cols, keys)
+
+
+def column_products(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The same for a few columns without nulls, as plain aggregate expressions."""
+    width = len(cols) + 1
     terms = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in cols]]
     names, sums = [], []
     for i in range(width):
         for j in range(i, width):
             names.append(f"_s{i}_{j}")
             sums.append(F.sum(terms[i] * terms[j]).alias(names[-1]))
-    wide = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
     return wide.select(*keys, "n", F.array(*names).alias("gram"))
 
 
