@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumora.catalogue.registry import GAPS, MESSY, gaps, messy, query, rounded, table
@@ -16,6 +15,7 @@ from lumora.sources import files as S
 from lumora.sources.folders import opened
 from lumora.sources import sinks as K
 from lumora.sources import tables as W
+from lumora.sources.sinks import workbook_bytes
 
 ORDER_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
@@ -35,18 +35,17 @@ def _typed_orders(df):
 def _write_books(orders, folder, rows=500):
     """Workbooks of at most `rows` rows each, written by the tasks that hold them."""
 
-    def write(part: pd.DataFrame) -> pd.DataFrame:
+    def write(part: pa.Table) -> pa.Table:
         store, root, _ = opened(folder)
-        number = int(part["book"].iloc[0])
+        number, cells = part["book"][0].as_py(), part.drop_columns(["book"])
         store.create_dir(root, recursive=True)
-        cells = [[None if pd.isna(v) else str(v) for v in r] for r in part.drop(columns="book").itertuples(index=False)]
         with store.open_output_stream(f"{root}/book_{number}.xlsx") as f:
-            f.write(workbook_bytes(list(part.columns[:-1]), *cells))
-        return pd.DataFrame({"book": [number]})
+            f.write(workbook_bytes(cells.column_names, *zip(*(c.to_pylist() for c in cells.columns))))
+        return pa.table({"book": [number]})
 
     books = max(1, orders.count() // rows)
     text = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns], F.pmod(F.xxhash64("o_orderkey"), F.lit(books)).alias("book"))
-    text.groupBy("book").applyInPandas(write, "book long").count()
+    text.groupBy("book").applyInArrow(write, "book long").count()
 
 
 def order_files(spark, sf, books=False):
@@ -156,21 +155,6 @@ def s10_sql(spark, sf):
     return spark.sql(f"SELECT url, table_index, row, array_join(cells, '|') AS cells FROM {{pages}} p, LATERAL page_tables({text}, true)", pages=table(spark, sf, "pages"))
 
 
-def workbook_bytes(*rows):
-    """A minimal workbook with one sheet."""
-    cells = [
-        "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else "<c/>" if v is None else f"<c><v>{v}</v></c>" for v in r) for r in rows
-    ]
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f"<row>{c}</row>" for c in cells) + "</sheetData></worksheet>")
-    return out.getvalue()
-
-
 @query("s11_read_workbooks", "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(1 AS INTEGER) AS row, CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def s11(spark, sf):
     @F.pandas_udf("binary")

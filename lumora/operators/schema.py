@@ -118,7 +118,7 @@ def _head_arrays(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> Da
     lists = keyed.mapInArrow(least, f"{kinds}, v string, at int")
     ranked = lists.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(*keys))).where(F.col("r") <= HEAD_VALUES)
     heads = ranked.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("s"))
-    named = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, column string")
+    named = df.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(cols)), pa.int32()), "column": pa.array(cols, pa.string())}))
     return named.join(heads, "at", "left").select("column", F.coalesce(F.transform("s", lambda s: s["v"]), F.array().cast("array<string>")).alias("v"))
 
 
@@ -135,8 +135,10 @@ def infer_types(df: DataFrame, order: Sequence[str], cols: Sequence[str] | None
         year = 0.4 * any(w in name for w in YEAR_WORDS) + 0.3 * any(re.search(p, name) for p in YEAR_NAME_PATTERNS)
         date = 0.4 * any(w in name for w in TIME_WORDS)
         quantity = 0.4 * any(w in name for w in QUANTITY_WORDS) + 0.2 * (c in numeric)
-        rules.append((c, year, date, quantity, any(w in name for w in NOT_QUANTITY_WORDS)))
-    scores = spark.createDataFrame(rules, "column string, year double, date double, quantity double, veto boolean")
+        rules.append({"column": c, "year": float(year), "date": float(date), "quantity": float(quantity), "veto": any(w in name for w in NOT_QUANTITY_WORDS)})
+    # an Arrow table is a local relation; a list of rows would start Python workers in every task of its scan
+    kinds = pa.schema([("column", pa.string()), ("year", pa.float64()), ("date", pa.float64()), ("quantity", pa.float64()), ("veto", pa.bool_())])
+    scores = spark.createDataFrame(pa.Table.from_pylist(rules, kinds))
 
     def number(t: Column, symbols: str) -> Column:
         return F.translate(F.regexp_replace(t, ",", "."), symbols, "").try_cast("double")

@@ -3,26 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumora.functions.columns import null_tokens
 from lumora.operators.schema import apply_types, clean_names, infer_types, tag_types, union_tables
-from lumora.sources.folders import HEAD_BYTES, file_heads, read_folder
+from lumora.sources.folders import file_heads, read_folder, readable
+from lumora.sources.sniff import FORMATS, SEPARATORS, SNIFF_SCHEMA, detect_encoding, detect_separator, sniff_head  # noqa: F401
 from lumora.sources.tables import cells_to_columns
 from lumora.plans.sizing import cut_lineage, join_on
 
-# Known extensions, trial encodings and separators.
-FORMATS = {
-    "csv": "csv", "tsv": "tsv", "txt": "csv", "json": "json", "parquet": "parquet", "xml": "xml", "html": "html", "xlsx": "xlsx",
-}
-ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
-SEPARATORS = [",", ";", "\t", "|"]
-
-
 def list_files(spark: SparkSession, folder: str, exts: Sequence[str] | None = None) -> DataFrame:
     """One row per file below `folder`. Only the listing is read; the content column is pruned."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -35,54 +27,15 @@ def list_files(spark: SparkSession, folder: str, exts: Sequence[str] | None = No
     return rows.where(F.col("ext").isin([e.lower() for e in exts])) if exts else rows
 
 
-def detect_encoding(head: bytes) -> str:
-    """First trial encoding that decodes the head; a character cut at its end does not count as a failure."""
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-            return name
-        except UnicodeDecodeError as e:
-            if e.start >= len(head) - 3 and len(head) >= HEAD_BYTES:
-                return name
-    return "utf-8"
-
-
-def detect_separator(line: str) -> str:
-    """Most frequent trial separator of the first line; comma when none occurs."""
-    counts = [(line.count(s), -i, s) for i, s in enumerate(SEPARATORS)]
-    best = max(counts)
-    return best[2] if best[0] else ","
-
-
-def sniff_head(path: str, head: bytes) -> dict:
-    ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    encoding = detect_encoding(head)
-    line = (head.decode(encoding, errors="replace").splitlines() or [""])[0]
-    fmt, error = FORMATS.get(ext), None
-    if fmt is None or ext == "txt":
-        if line.count(",") > 1 or fmt is not None and any(s in line for s in SEPARATORS):
-            fmt = "csv"
-        else:
-            fmt, error = None, f"unknown format: .{ext}"
-    sep = "\t" if fmt == "tsv" else detect_separator(line) if fmt == "csv" else None
-    header = line if fmt in ("csv", "tsv") else None
-    if fmt in ("csv", "tsv", "json", "xml") and not head.strip():
-        error = "empty file"
-    return {"path": path, "format": fmt, "encoding": encoding, "separator": sep, "header": header, "error": error}
-
-
-SNIFF_SCHEMA = "path string, format string, encoding string, separator string, header string, error string"
-
-
 def sniff_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, format, encoding, separator, header, error) for all files in one job, from their first bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([sniff_head(p, bytes(h)) for p, h in zip(b["path"], b["head"])],
-                               columns=["path", "format", "encoding", "separator", "header", "error"])
+    """(path, format, encoding, separator, header, error) for all files in one job, from their first bytes.
 
-    return file_heads(spark, folder).select("path", "head").mapInPandas(run, SNIFF_SCHEMA)
+    Heads stay in the task that opens the files. Of a store that only Spark can open they come a hundred at a time.
+    """
+    if readable(folder):
+        return read_folder(spark, "file_kinds", folder)
+    found = F.udf(lambda path, head: tuple(sniff_head(path, bytes(head)).values()), SNIFF_SCHEMA, useArrow=False)
+    return file_heads(spark, folder).select(found("path", "head").alias("found")).select("found.*")
 
 
 def file_encodings(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,12 +99,16 @@ _ALIKE = ["format", "encoding", "separator", "header"]
 
 
 def _sheet_groups(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """Rows of sheets or tables below their header row, with the header; empty rows don't count."""
+    """Rows of sheets or tables below their header row, with the header; empty rows don't count.
+
+    Files are parsed once; the rows of a file, which one task has parsed, meet in a window.
+    """
     rows = read_folder(spark, source, folder)
     rows = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
     filled = rows.where(F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "") | F.col("error").isNotNull())
-    first = filled.groupBy("path").agg(F.min("row").alias("_top"), F.min_by("cells", "row").alias("_head"), F.max("error").alias("_error"))
-    return filled.select("path", "row", "cells").join(first, "path")
+    file = Window.partitionBy("path")
+    top, head, error = F.min("row").over(file), F.min_by("cells", "row").over(file), F.max("error").over(file)
+    return filled.select("path", "row", "cells", top.alias("_top"), head.alias("_head"), error.alias("_error"))
 
 
 def _scan(spark: SparkSession, fmt: str, encoding: str, sep: str, paths: Sequence[str]) -> DataFrame:

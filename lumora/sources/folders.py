@@ -7,20 +7,23 @@ its share only, so the driver sees neither files nor paths, and one job serves a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lumora.sources.sniff import HEAD_BYTES, SNIFF_SCHEMA, sniff_head
 from lumora.sources.tables import WORKBOOK_SCHEMA, page_tables, workbook_sheet
 
-#: Bytes of a file that tell its format, encoding and separator, at any size.
-HEAD_BYTES = 10_000
 HEAD_SCHEMA = "path string, name string, ext string, size long, head binary"
 HTML_SCHEMA = "path string, table_count int, table_index int, row int, cells array<string>"
 #: Tasks that share the files, at most.
 MOST_SHARES = 256
+#: Rows and bytes of text that a task holds before it hands them on.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 20
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
 class Share(InputPartition):
@@ -36,9 +39,38 @@ def opened(folder: str) -> tuple[fs.FileSystem, str, str]:
     return store, root, "file:" if isinstance(store, fs.LocalFileSystem) else folder[: folder.index("://") + 3] + folder.split("://", 1)[1].split(root, 1)[0]
 
 
+def readable(folder: str) -> bool:
+    """Whether there is a library for the folder's store."""
+    try:
+        opened(folder)
+    except Exception:  # noqa: BLE001  (only Spark opens it)
+        return False
+    return True
+
+
+def batches(rows: Iterable[tuple], columns: str) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size, so that memory doesn't grow with the number of files of a share."""
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split(" ") for c in columns.split(", "))])
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), schema.types)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) if isinstance(v, (str, bytes)) else sum(len(x) for x in v if x) for v in row if isinstance(v, (str, bytes, list)))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 class FolderReader(DataSourceReader):
     """Files of a share, in order of their path. Names that begin with `_` or `.` are bookkeeping and skipped."""
 
+    columns: str
     exts: tuple[str, ...] = ()
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -47,13 +79,20 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[Share]:
         return [Share(i, self.count) for i in range(self.count)]
 
-    def read(self, share: Share) -> Iterator[tuple]:
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        return batches(self.share_rows(share), self.columns)
+
+    def share_rows(self, share: Share) -> Iterator[tuple]:
         store, root, prefix = opened(self.folder)
-        for info in sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path):
+
+        def own(info: fs.FileInfo) -> bool:
             inner = info.path[len(root):].lstrip("/")
             hidden = any(part[:1] in "_." for part in inner.split("/"))
+            return info.type == fs.FileType.File and not hidden and zlib.crc32(inner.encode()) % share.count == share.number
+
+        for info in sorted(filter(own, store.get_file_info(fs.FileSelector(root, recursive=True))), key=lambda f: f.path):
             ext = info.base_name.rsplit(".", 1)[-1].lower() if "." in info.base_name else ""
-            if info.type == fs.FileType.File and not hidden and zlib.crc32(inner.encode()) % share.count == share.number and (not self.exts or ext in self.exts):
+            if not self.exts or ext in self.exts:
                 yield from self.rows(store, info, f"{prefix}{info.path}", ext)
 
     def rows(self, store: fs.FileSystem, info: fs.FileInfo, path: str, ext: str) -> Iterator[tuple]:
@@ -61,12 +100,23 @@ class FolderReader(DataSourceReader):
 
 
 class _Heads(FolderReader):
+    columns = HEAD_SCHEMA
+
     def rows(self, store, info, path, ext):
         with store.open_input_file(info.path) as f:
             yield path, info.base_name, ext, info.size, f.read(HEAD_BYTES)
 
 
+class _Kinds(FolderReader):
+    columns = SNIFF_SCHEMA
+
+    def rows(self, store, info, path, ext):
+        with store.open_input_file(info.path) as f:
+            yield tuple(sniff_head(path, f.read(HEAD_BYTES)).values())
+
+
 class _Workbooks(FolderReader):
+    columns = WORKBOOK_SCHEMA
     exts = ("xlsx",)
 
     def rows(self, store, info, path, ext):
@@ -84,6 +134,7 @@ class _Workbooks(FolderReader):
 
 
 class _Pages(FolderReader):
+    columns = HTML_SCHEMA
     exts = ("html", "htm")
 
     def rows(self, store, info, path, ext):
@@ -95,14 +146,14 @@ class _Pages(FolderReader):
                 yield path, len(found), i, k, cells
 
 
-def _source(source_name: str, source_schema: str, source_reader: type[FolderReader]) -> type[DataSource]:
+def _source(source_name: str, source_reader: type[FolderReader]) -> type[DataSource]:
     class Folder(DataSource):
         @classmethod
         def name(cls) -> str:
             return source_name
 
         def schema(self) -> str:
-            return source_schema
+            return source_reader.columns
 
         def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
             return source_reader(self.options)
@@ -111,8 +162,8 @@ def _source(source_name: str, source_schema: str, source_reader: type[FolderRead
 
 
 SOURCES = {
-    "file_heads": _source("file_heads", HEAD_SCHEMA, _Heads), "workbook_sheets": _source("workbook_sheets", WORKBOOK_SCHEMA, _Workbooks),
-    "html_files": _source("html_files", HTML_SCHEMA, _Pages),
+    "file_heads": _source("file_heads", _Heads), "file_kinds": _source("file_kinds", _Kinds),
+    "workbook_sheets": _source("workbook_sheets", _Workbooks), "html_files": _source("html_files", _Pages),
 }
 
 
@@ -125,9 +176,7 @@ def read_folder(spark: SparkSession, source: str, folder: str, **options: str) -
 
 def file_heads(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, ext, size, head) of every file; of a store that only Spark can open, contents are read to their end."""
-    try:
-        opened(folder)
-    except Exception:  # noqa: BLE001  (no library for this store)
+    if not readable(folder):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         name = F.element_at(F.split("path", "/"), -1)
         ext = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")

@@ -11,6 +11,7 @@ from lumora.operators import logs as L
 from lumora.operators import report as R
 from lumora.operators import schema as N
 from lumora.sources import files as S
+from lumora.sources import folders as D
 from lumora.sources import sinks as K
 from lumora.sources import tables as W
 from lumora.streaming import logs as SL
@@ -166,3 +167,43 @@ def test_workbooks_and_pages_are_read_with_the_folder(spark):
     unified = S.ingest_directory(spark, folder)["unified"]
     assert unified.count() == 3007 and {"_type_id", "_type_amount", "_type_place"} <= set(unified.columns)
     assert unified.where("place like 'señor%'").count() == 3000 and unified.where("amount = 1.5").count() == 3
+
+
+def test_shares_are_handed_on_in_bounded_batches(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    for k in range(300):
+        with open(f"{folder}/file{k}.csv", "wb") as f:
+            f.write(b"a,b\n" + b"x" * 20_000)
+    got = list(D.SOURCES["file_heads"]({"path": folder}).reader(None).read(D.Share(0, 1)))
+    assert sum(b.num_rows for b in got) == 300 and len(got) > 1
+    assert max(b.nbytes for b in got) < D.BATCH_BYTES + 2 * D.HEAD_BYTES
+    rows = [("p", ["s"], "s", k, [str(k), None], None) for k in range(2 * D.BATCH_ROWS + 1)]
+    books = list(D.batches(iter(rows), W.WORKBOOK_SCHEMA))
+    assert [b.num_rows for b in books] == [D.BATCH_ROWS, D.BATCH_ROWS, 1] and list(D.batches(iter([]), W.WORKBOOK_SCHEMA)) == []
+    assert [tuple(r.values()) for b in books for r in b.to_pylist()] == rows
+
+
+def test_files_are_opened_by_one_python_step_and_parsed_once(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="run-")
+    for name, rows in (("full", [[None, " "], ["Id", "Amount"], [1, "1,5"], [None, None], [2, None]]), ("empty", [])):
+        with open(f"{folder}/{name}.xlsx", "wb") as f:
+            f.write(workbook_bytes(*rows))
+    with open(f"{folder}/broken.xlsx", "wb") as f:
+        f.write(b"PK no workbook")
+    with open(f"{folder}/plain.csv", "w") as f:
+        f.write("Id;Amount\n3;2\n")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    sniffed, sheets = S.sniff_files(spark, folder), S._sheet_groups(spark, folder, "workbook_sheets")
+    types = N.infer_types(spark.createDataFrame([(1, "1,5")], "i int, amount string").localCheckpoint(), ["i"])
+    assert "MapInPandas" not in plan(sniffed) and plan(sheets).count("BatchScan") == 1
+    assert plan(types).count("ExistingRDD") == 1  # the checkpoint; the short tables start no Python workers
+    got = {(r["path"].rsplit("/", 1)[-1], r["row"], r["_top"], *(r["cells"] or []), *(r["_head"] or [])) for r in sheets.collect()}
+    assert got == {("full.xlsx", 1, 1, "Id", "Amount", "Id", "Amount"), ("full.xlsx", 2, 1, "1", "1,5", "Id", "Amount"), ("full.xlsx", 4, 1, "2", None, "Id", "Amount"),
+                   ("empty.xlsx", None, None), ("broken.xlsx", None, None)}
+    first = {tuple(r) for r in sniffed.collect()}
+    monkeypatch.setattr(S, "readable", lambda folder: False)  # as a store that only Spark opens
+    monkeypatch.setattr(D, "readable", lambda folder: False)
+    assert {tuple(r) for r in S.sniff_files(spark, folder).collect()} == first and len(first) == 4
