@@ -29,6 +29,8 @@ RUN = WINDOW - PART + 1
 PIECE = WINDOW + RUN - 1
 #: Bytes of text in a shard, of pieces in one suffix array, of shards in a bucket, and anchors told apart in one task.
 SHARD_BYTES, ARRAY_BYTES, BUCKET_BYTES, ANCHORS = 4 << 20, 8 << 20, 24 << 20, 1 << 20
+#: Windows whose anchors are found at once: few enough for a core's own cache.
+BLOCK = 1 << 15
 #: Stands for a null id, which comes before all others.
 NO_ID = -(1 << 63)
 #: Between pieces; no byte of UTF-8.
@@ -61,19 +63,21 @@ def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = len(text) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    words = _words(padded, len(text) - 7)
-    h = words[: len(text) - PART + 1] * _U(0x9E3779B97F4A7C15)
-    h ^= h >> _U(32)
-    h += words[8 : 8 + len(h)]
-    h *= _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
-    anchor = _least(h, RUN)[:n]
+    words = _words(np.concatenate([text, np.zeros(16, np.uint8)]), len(text) - 7)
+    anchor = np.empty(n, _U)
+    for low in range(0, n, BLOCK):
+        parts = min(BLOCK, n - low) + RUN - 1
+        near = words[low : low + parts + 8].copy()
+        h = near[:parts] * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(32)
+        h += near[8:]
+        h *= _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(29)
+        h *= _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(32)
+        anchor[low : low + BLOCK] = _least(h, RUN)
     begins = np.ones(n, bool)
     begins[1:] = anchor[1:] != anchor[:-1]
-    valid = np.ones(n + 1, bool)
     # windows that reach over the end of their text; a text of fewer bytes has none at all
     lows = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     marks = np.zeros(n + 1, np.int32)
@@ -260,21 +264,57 @@ def pieces(shards: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
 def window_classes(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For every window of every piece, in order, the least id among all pieces that hold the same window.
 
-    `text` has the pieces with GAP behind each; piece k begins at `begins[k]` and has `counts[k]` windows.
+    `text` has the pieces with GAP behind each; piece k begins at `begins[k]` and has `counts[k]` windows. A window whose
+    print no other has is like no other. Only stretches of the remaining ones get into the suffix array.
     """
+    starts = _ragged(begins, counts)
+    out = np.repeat(least, counts)
+    prints = _window_prints(text, starts)
+    order = np.argsort(prints)
+    twice = np.flatnonzero(prints[order[1:]] == prints[order[:-1]])
+    shared = np.zeros(len(starts), bool)
+    shared[order[twice]] = shared[order[twice + 1]] = True
+    if not len(twice):
+        return out
+    opens, closes, offset = shared.copy(), shared.copy(), np.cumsum(counts) - counts
+    opens[1:] &= ~shared[:-1]
+    opens[offset] = shared[offset]
+    closes[:-1] &= ~shared[1:]
+    closes[offset + counts - 1] = shared[offset + counts - 1]
+    at = np.flatnonzero(opens)
+    many = np.flatnonzero(closes) + 1 - at
+    sizes = many + WINDOW - 1
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    stretches = np.full(int((sizes + 1).sum()), GAP, np.uint8)
+    stretches[_ragged(begin, sizes)] = text[_ragged(starts[at], sizes)]
+    out[shared] = _sorted_classes(stretches, begin, many, out[shared])
+    return out
+
+
+def _window_prints(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits of the window at each place."""
+    words = _words(np.concatenate([text, np.zeros(8, np.uint8)]), len(text))
+    mixed = np.zeros(len(starts), _U)
+    for k in (*range(0, WINDOW - 7, 8), WINDOW - 8):
+        mixed = (mixed ^ words[starts + k]) * _U(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> _U(31)
+    return mixed
+
+
+def _sorted_classes(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The same by a suffix array, with an id for each window instead of each piece."""
     sa = suffix_array(text, 256)
     shared = permuted_prefixes(text, sa, begins, PIECE + WINDOW)
-    starts = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    starts = _ragged(begins, counts)
     number = np.full(len(text), -1, np.int32)
     number[starts] = np.arange(len(starts), dtype=np.int32)
     # neighbours with a common prefix of a window are in one class, whether or not their first bytes are a window
     cls = np.cumsum(shared[sa] < WINDOW, dtype=np.int32)
     order = number[sa]
     cls, order = cls[order >= 0], order[order >= 0]
-    own = np.repeat(least, counts)[order]
     group = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     out = np.empty(len(starts), np.int64)
-    out[order] = np.repeat(np.minimum.reduceat(own, group), np.diff(group, append=len(order)))
+    out[order] = np.repeat(np.minimum.reduceat(own[order], group), np.diff(group, append=len(order)))
     return out
 
 

@@ -85,6 +85,42 @@ def test_pieces_alone_with_their_anchor_are_not_sorted(monkeypatch):
     assert sorted_bytes == [61 + 60 + 2]
 
 
+def test_windows_like_no_other_are_not_sorted(monkeypatch):
+    sorted_bytes, sort = [], suffix_dedup.suffix_array
+
+    def counted(text, size):
+        sorted_bytes.append(len(text))
+        return sort(text, size)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_array", counted)
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 60, np.uint8)
+    texts = [np.concatenate([passage, rng.integers(97, 123, 24, np.uint8)]), np.concatenate([rng.integers(97, 123, 24, np.uint8), passage]), rng.integers(97, 123, 84, np.uint8)]
+    text = np.concatenate([np.append(t, suffix_dedup.GAP).astype(np.uint8) for t in texts])
+    begins, counts = np.arange(3) * 85, np.full(3, 35)
+    found = suffix_dedup.window_classes(text, begins, counts, np.array([5, 3, 4]))
+    assert found.tolist() == [3] * 11 + [5] * 24 + [3] * 35 + [4] * 35
+    assert sorted_bytes == [2 * 61]
+    assert suffix_dedup.window_classes(text[85:], begins[:2], counts[:2], np.array([3, 4])).tolist() == [3] * 35 + [4] * 35
+    assert sorted_bytes == [2 * 61]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 15])
+def test_runs_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 100, n, np.uint8) for n in (0, 49, 50, 51, 200, 3)] + [np.full(130, 97, np.uint8), rng.integers(97, 100, 90, np.uint8)]
+    ends = np.cumsum([len(t) for t in texts])
+    first, count, anchor = suffix_dedup.runs(np.concatenate(texts), ends)
+    windows = [k for t, end in zip(texts, ends) for k in range(end - len(t), end - 49)]
+    assert [k for a, n in zip(first.tolist(), count.tolist()) for k in range(a, a + n)] == windows
+    assert 1 <= count.min() and count.max() <= suffix_dedup.RUN
+    of = np.repeat(anchor, count)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 15)
+    alone = [suffix_dedup.runs(np.concatenate(texts)[k : k + 50], np.array([50]))[2][0] for k in windows]
+    assert of.tolist() == alone
+
+
 def test_dedup_of_the_given_documents_and_of_none(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sorted(map(tuple, QUERIES["op11_suffix_dedup"](spark, SF).collect()), key=repr)
