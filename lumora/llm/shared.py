@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumora.plans.sizing import cut_lineage
+from lumora.plans.sizing import scratch, written  # noqa: F401  (of the corpus operators too)
 
 #: A-Z to a-z, other ASCII characters that belong to no word to a space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -41,22 +40,6 @@ def fingerprint(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that later stages read again, below the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        cut_lineage(spark.range(0))  # sets a folder in local mode, refuses on a cluster
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/lumora-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet and read again: lineage ends, and later stages read only their columns."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def before_each(values: Column, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
     """For each value of an array, all earlier ones merged (an associative operation), by blocks of 64."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumora.plans.gram import EXPRESSION_SUMS, column_products, unpack, vector_products
@@ -20,11 +22,18 @@ def design(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> tupl
 
     Products of values far from zero would lose their last digits. One small matrix per key reaches the driver.
     """
-    used = df.select(*keys, _vector(cols).alias("_x")).where(~F.exists("_x", lambda v: v.isNull()))
-    means = used.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(cols))]).first()
+    few = (len(cols) + 1) * (len(cols) + 2) // 2 <= EXPRESSION_SUMS
+    if few:
+        values = [F.col(f"_x{i}") for i in range(len(cols))]
+        used = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+        used = used.where(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]))
+    else:
+        values = [F.col("_x")[i] for i in range(len(cols))]
+        used = df.select(*keys, _vector(cols).alias("_x")).where(~F.exists("_x", lambda v: v.isNull()))
+    means = used.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
     centre = np.array([m or 0.0 for m in means])
-    gaps = [F.col("_x")[i] - F.lit(float(c)) for i, c in enumerate(centre)]
-    if (len(cols) + 1) * (len(cols) + 2) // 2 <= EXPRESSION_SUMS:
+    gaps = [v - F.lit(float(c)) for v, c in zip(values, centre)]
+    if few:
         rows = column_products(used.select(*keys, *[g.alias(f"_c{i}") for i, g in enumerate(gaps)]), [f"_c{i}" for i in range(len(cols))], keys).collect()
     else:
         rows = vector_products(used.select(*keys, F.array(*gaps).alias("_x")), "_x", len(cols), keys).collect()
@@ -229,9 +238,18 @@ def gaussian_predict(df: DataFrame, features: Sequence[str], fits: list[tuple],
 # ---------------------------------------------------------------- robust regression
 
 def hashed_rows(df: DataFrame, cols: Sequence[str], rows: int, key: Sequence[str], seed: int) -> np.ndarray:
-    """A bounded uniform sample by smallest seeded hash (a top-k), as a matrix in hash order."""
+    """A bounded uniform sample by smallest seeded hash (a top-k), as a matrix in hash order.
+
+    Of many rows only those with hashes in the share that should hold twice as many are ordered, if it holds enough.
+    """
     mark = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    picked = df.dropna(subset=list(cols)).select(mark.alias("_m"), _vector(cols).alias("x")).orderBy("_m", "x").limit(rows).collect()
+    marked = df.dropna(subset=list(cols)).select(mark.alias("_m"), _vector(cols).alias("x"))
+    n, picked = marked.count(), []
+    if n > 4 * rows:
+        least = marked.where(F.col("_m") <= F.lit((2 * rows << 64) // n - (1 << 63)))
+        picked = least.orderBy("_m", "x").limit(rows).collect()
+    if len(picked) < rows:
+        picked = marked.orderBy("_m", "x").limit(rows).collect()
     return np.array([r["x"] for r in picked], dtype=float).reshape(-1, len(cols))
 
 
@@ -246,6 +264,34 @@ def _subset_fits(sample: np.ndarray, size: int) -> list[np.ndarray]:
     return fits
 
 
+#: Rows that a trial line is laid through at once: few enough for a core's own cache.
+TRIAL_ROWS = 16_384
+
+
+def _inliers(rows: DataFrame, fits: np.ndarray, limit: float) -> list[int]:
+    """For each line [constant, weights], the rows (features…, target, no nulls) within `limit` of it."""
+    lines = fits.tolist()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros(len(fits), np.int64)
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for low in range(0, batch.num_rows, TRIAL_ROWS):
+                *x, y = (v[low: low + TRIAL_ROWS] for v in values)
+                gap, term = np.empty(len(y)), np.empty(len(y))
+                for i, (constant, *weights) in enumerate(lines):
+                    gap.fill(constant)  # then in the order of `linear_form`, so that sums are the same to the last digit
+                    for w, v in zip(weights, x):
+                        gap += np.multiply(v, w, out=term)
+                    np.abs(np.subtract(y, gap, out=gap), out=gap)
+                    hits[i] += np.count_nonzero(gap <= limit)
+        yield pa.record_batch({"at": pa.array(np.arange(len(fits), dtype=np.int32)), "n": pa.array(hits)})
+
+    found = rows.mapInArrow(near, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    counts = {r["at"]: r["n"] for r in found}
+    return [counts.get(i, 0) for i in range(len(fits))]
+
+
 def ransac(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], trials: int = 100, seed: int = 42) -> DataFrame:
     """(term, coefficient, inliers): trial lines from tiny hash samples, all scored in one pass, refit on the inliers of the best.
 
@@ -260,11 +306,10 @@ def ransac(df: DataFrame, features: Sequence[str], target: str, key: Sequence[st
     y = F.col(f"`{target}`").cast("double")
     (median,) = quantile_values(df, target, [0.5])
     (limit,) = quantile_values(df.select(F.abs(y - F.lit(median)).alias("d")), "d", [0.5])
-    gaps = [F.abs(y - linear_form(features, f[1:], f[0])) for f in fits]
-    near = [F.sum((g <= F.lit(limit)).cast("long")).alias(f"c{i}") for i, g in enumerate(gaps)]
-    counts = df.dropna(subset=cols).agg(*near).first()
+    complete = df.dropna(subset=cols)
+    counts = _inliers(complete.select(*[F.col(f"`{c}`").cast("double") for c in cols]), np.array(fits), limit)
     best = max(range(len(fits)), key=lambda i: (counts[i], -i))
-    kept = df.dropna(subset=cols).where(gaps[best] <= F.lit(limit))
+    kept = complete.where(F.abs(y - linear_form(features, fits[best][1:], fits[best][0])) <= F.lit(limit))
     w, c = fit_linear(kept, features, target)
     rows = [("(constant)", c, counts[best]), *[(f, float(v), counts[best]) for f, v in zip(features, w)]]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, inliers long")

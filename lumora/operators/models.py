@@ -25,9 +25,9 @@ from lumora.operators.relational import key_mark, numeric_names, sample_n, split
 from lumora.operators.schema import label_encode, scale
 from lumora.operators.univariate import qq_points
 from lumora.plans.gram import unpack, vector_products
-from lumora.plans.order import ordered_index, running_sums
+from lumora.plans.order import ordered_index, rank_ranges, running_sums
 from lumora.plans.quantiles import quantile_values
-from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on
+from lumora.plans.sizing import broadcast_if_small, cut_lineage, join_on, written
 
 
 def encode_mixed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -197,8 +197,13 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 # ---------------------------------------------------------------- validation and comparison
 
-def contiguous_folds(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """Folds of consecutive rows; the first n mod k folds hold one row more."""
+def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, marked: bool = False) -> DataFrame:
+    """Folds of consecutive rows; the first n mod k folds hold one row more.
+
+    With `marked` the first column of `order` is a `key_mark` of pinned rows: they stay where they are.
+    """
+    if marked:
+        return rank_ranges(df, order, lambda n: [j * (n // k) + min(j, n % k) for j in range(1, k)], "fold")
     n = df.count()
     base, extra = divmod(n, k)
     pos = F.col("_pos")
@@ -229,6 +234,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model: s
     return scores.agg(F.count(F.lit(1)).cast("int").alias("folds"), F.avg("s").alias("mean_score"), F.stddev_pop("s").alias("std_score"))
 
 
+#: Rows written by column: packed, in groups that several tasks can share.
+BY_COLUMN = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Models of `compare_models` besides those of `fit_predict_regression`, given as a table of coefficients.
 ROBUST = {"ransac": L.ransac, "theil_sen": L.theil_sen}
 
@@ -256,18 +263,33 @@ def compare_models(
     """One row per model, 4 decimals, best test score first: scores on training and test rows, and over `cv` folds of the former.
 
     Features are standardised by the training rows. Any of REGRESSORS, CLASSIFIERS, ROBUST and `knn`. Folds are runs of the
-    training rows in the random order of the split; without `cv` their columns are null.
+    training rows in the random order of the split; without `cv` their columns are null. Where all models are linear their
+    rows are written once by column and never moved: such fits don't depend on the layout of rows, and read few columns.
     """
+    linear = not classes and all(m in L.PENALTIES or m in ROBUST for m in models)
+    used = df.select(*key, *features, target)
+
+    def pin(rows: DataFrame) -> DataFrame:
+        return written(rows, "compared", **BY_COLUMN) if linear else cut_lineage(rows)
+
     # pinned first: a null test over many computed columns is costly to optimise
-    data = cut_lineage(df.select(*key, *features, target)).dropna()
-    split = split_random(data, key, test, stratify=target if classes else None)
-    both = cut_lineage(_standardised(split.where("split = 'train'"), split, features))
+    data = pin(used.withColumn("_mark", key_mark(key, 42)) if linear else used).dropna()
+    split = split_random(data, key, test, stratify=target if classes else None, mark="_mark" if linear else None)
+    order, learning = ["_mark", *key], split.where("split = 'train'")
+    if linear and cv:  # folds of rows where they are: written with the split
+        others = split.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
+        both = pin(_standardised(learning, contiguous_folds(learning, order, cv, True).unionByName(others), features).drop("_mark"))
+        folded, both = both.where("split = 'train'").drop("split"), both.drop("fold")
+    else:
+        both = pin(_standardised(learning, split, features))
     train = both.where("split = 'train'").drop("split")
-    folded = cut_lineage(contiguous_folds(train.withColumn("_mark", key_mark(key, 42)), ["_mark", *key], cv).drop("_mark")) if cv else None
+    if cv and not linear:
+        folded = cut_lineage(contiguous_folds(train.withColumn("_mark", key_mark(key, 42)), order, cv).drop("_mark"))
     names = ["accuracy", "precision", "recall", "f1"] if classes else ["r2", "rmse", "mae"]
     rows = []
     for m in models:
-        made = cut_lineage(_predictions(train, both, features, target, m, key, classes, trees).select(target, "prediction", "split"))
+        made = _predictions(train, both, features, target, m, key, classes, trees).select(target, "prediction", "split")
+        made = made if linear else cut_lineage(made)
         parts = []
         for part in ("train", "test"):
             own = made.where(F.col("split") == part)

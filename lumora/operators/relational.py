@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from lumora.plans.order import ordered_index
+from lumora.plans.order import ordered_index, rank_ranges
 from lumora.plans.sizing import broadcast_if_small, join_on
 
 
@@ -133,9 +134,15 @@ def split_chronological(df: DataFrame, order: Sequence[str], keys: Sequence[str]
 
 
 def split_random(
-    df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42, stratify: str | None = None
+    df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42, stratify: str | None = None, mark: str | None = None
 ) -> DataFrame:
-    """Mark a reproducible random train/test split, exact in size within each stratum."""
+    """Mark a reproducible random train/test split, exact in size within each stratum.
+
+    Pinned rows that hold their `key_mark` already, in the column `mark`, stay where they are (without strata).
+    """
+    if mark and not stratify:
+        placed = rank_ranges(df, [mark, *key], lambda n: [math.floor(n * (1 - test))], "_range")
+        return placed.withColumn("split", F.when(F.col("_range") == 0, "train").otherwise("test")).drop("_range")
     keys = [stratify] if stratify else []
     marked = df.withColumn("_mark", key_mark(key, seed))
     return split_chronological(marked, ["_mark", *key], keys, test).drop("_mark")

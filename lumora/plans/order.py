@@ -9,6 +9,7 @@ totals per range are carried over as offsets.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -65,6 +66,44 @@ def ordered_index(
     return counted.withColumn(out, F.col(out) - 1)
 
 
+#: Characters by which texts are first counted, to find the ranks among them.
+HEAD = 3
+
+
+def rank_ranges(df: DataFrame, order: Sequence[str], ranks: Callable[[int], Sequence[int]], out: str) -> DataFrame:
+    """Add how many of `ranks`, which depend on the number of rows, are at or below the 0-based position of a row in `order`.
+
+    The first column is text without nulls and evenly spread, such as a digest. Rows stay where they are: counts by heads of the
+    texts tell which heads hold a rank, counts by text inside these heads which texts. Only rows with such a text are sorted.
+    `df` is read several times and must be pinned, or made from pinned rows by value alone.
+    """
+    text = F.col(f"`{order[0]}`")
+    head, each = F.substring(text, 1, HEAD), F.count(F.lit(1)).alias("_c")
+
+    def total(parts: Sequence[Column]) -> Column:
+        return reduce(lambda x, y: x + y, parts)
+
+    def at(values: Column, starts: Mapping[str, int]) -> Column:
+        return total([F.when(values == v, F.lit(s)).otherwise(F.lit(0)) for v, s in starts.items()])
+
+    heads = cut_lineage(df.groupBy(head.alias("_v")).agg(each))
+    n = heads.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    wanted = [r for r in ranks(n) if r < n]
+    if not wanted:
+        return df.withColumn(out, F.lit(0))
+    holds = reduce(lambda x, y: x | y, [(F.col("_cum") > r) & (F.col("_cum") - F.col("_c") <= r) for r in wanted])
+    found = running_sums(heads, {"_cum": F.col("_c")}, ["_v"]).where(holds).collect()
+    before = {r["_v"]: r["_cum"] - r["_c"] for r in found}
+    texts = cut_lineage(df.where(head.isin(list(before))).groupBy(head.alias("_head"), text.alias("_v")).agg(each))
+    found = running_sums(texts, {"_cum": F.col("_c")}, ["_v"], ["_head"]).withColumn("_cum", F.col("_cum") + at(F.col("_head"), before)).where(holds).collect()
+    starts = {r["_v"]: r["_cum"] - r["_c"] for r in found}
+    own = [next(v["_v"] for v in found if v["_cum"] - v["_c"] <= r < v["_cum"]) for r in wanted]
+    edge = ordered_index(df.where(text.isin(list(starts))), order, [order[0]], "_at")
+    place = F.col("_at") + at(text, starts)
+    rest = df.where(~text.isin(list(starts))).withColumn(out, total([(text > F.lit(v)).cast("int") for v in own]))
+    return rest.unionByName(edge.withColumn(out, total([(place >= r).cast("int") for r in wanted])).drop("_at"))
+
+
 def sliding(
     df: DataFrame,
     pos: str,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that later stages read again, below the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        cut_lineage(spark.range(0))  # sets a folder in local mode, refuses on a cluster
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/lumora-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write once as Parquet and read again: lineage ends, and later stages read only their columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a check of rows and bytes; beyond the limits the join shuffles.
 

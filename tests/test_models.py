@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from lumora.operators import linear as L
 from lumora.operators import models as M
+from lumora.operators.relational import key_mark
+from lumora.plans.order import rank_ranges
+from lumora.plans.sizing import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +67,71 @@ def test_robust_lines_resist_outliers(spark):
         assert got["x"] == pytest.approx(3, abs=0.4)
 
 
+def test_ranges_of_ranks_leave_rows_where_they_are(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), float(v)) for i, v in zip(rng.integers(0, 40, 300), rng.normal(size=300))]
+    df = cut_lineage(spark.createDataFrame(rows, "i int, v double").repartition(3).withColumn("_mark", key_mark(["i"], 42)))
+    ranked = {}
+    for pos, r in enumerate(df.orderBy("_mark", "i", "v").collect()):
+        ranked.setdefault(r["_mark"], []).append(pos)
+    for ranks in ([240], [0, 60, 120, 299], [300, 400], [5, 5, 6], list(range(0, 300, 7))):
+        got = rank_ranges(df, ["_mark", "i", "v"], lambda n: [r * n // 300 for r in ranks], "k").collect()
+        want = {(r["_mark"], r["v"]): 0 for r in got}
+        for pos, r in enumerate(df.orderBy("_mark", "i", "v").collect()):
+            want[r["_mark"], r["v"]] = sum(pos >= x for x in ranks)
+        assert len(got) == 300 and all(r["k"] == want[r["_mark"], r["v"]] for r in got)
+    assert rank_ranges(df.where("false"), ["_mark"], lambda n: [0, n], "k").count() == 0
+    plan = rank_ranges(df, ["_mark", "i"], lambda n: [n // 2], "k").where("k = 0").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("cv", [None, 5])
+def test_linear_models_are_compared_without_moving_rows(spark, monkeypatch, cv):
+    """Same scores as with rows put in order, as for other models; nothing but counts and rows at bounds is checkpointed."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), float(3 * a - b + e)) for i, (a, b, e) in enumerate(rng.normal(size=(700, 3)))]
+    df = spark.createDataFrame([*rows, (700, None, 1.0, 2.0), *rows[:20]], "i int, `a b` double, b double, y double")
+    names = ["linear", "ransac"]
+    pinned, keep = [], M.cut_lineage
+
+    def counted(rows):
+        out = keep(rows)
+        pinned.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "cut_lineage", counted)
+    got = [tuple(r) for r in M.compare_models(df, ["a b", "b"], "y", names, ["i"], cv=cv).collect()]
+    assert pinned == []
+    data = M.split_random(df.dropna(), ["i"]).collect()
+    mean = {c: np.mean([r[c] for r in data if r["split"] == "train"]) for c in ("a b", "b")}
+    x = np.array([[r["a b"] - mean["a b"], r["b"] - mean["b"]] for r in data])
+    y, train = np.array([r["y"] for r in data]), np.array([r["split"] == "train" for r in data])
+    design = np.column_stack([np.ones(len(x)), x])
+    gap = y - design @ np.linalg.lstsq(design[train], y[train], rcond=None)[0]
+    score = [round(1 - (gap[t] ** 2).mean() / y[t].var(), 4) for t in (train, ~train)]
+    linear = next(r for r in got if r[0] == "linear")
+    assert [linear[1], linear[4]] == pytest.approx(score, abs=1e-4) and train.sum() == 576
+    assert len(got) == 2 and all((r[7] is not None) == bool(cv) for r in got)
+
+
+@pytest.mark.parametrize("features", [["x"], ["x", "z", "w"]])
+def test_trial_lines_count_the_same_rows_as_expressions(spark, features):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame(rng.normal(size=(500, 4)).round(1).tolist(), "x double, z double, w double, y double")
+    fits = rng.normal(size=(12, len(features) + 1)).round(1)
+    near = [F.sum((F.abs(F.col("y") - L.linear_form(features, f[1:], f[0])) <= 0.5).cast("long")) for f in fits]
+    assert L._inliers(df.select(*features, "y"), fits, 0.5) == list(df.agg(*near).first())
+    assert L._inliers(df.where("false").select(*features, "y"), fits, 0.5) == [0] * 12
+
+
+def test_least_hashes_of_many_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 900).alias("i"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 7 > 0, F.col("id") * 2.0).alias("y"))
+    mark = F.xxhash64("i", F.lit(42))
+    for n in (10, 600, 2000, 5000):
+        want = [r[0] for r in df.dropna().orderBy(mark, F.array("x", "y")).limit(n).select("x").collect()]
+        assert L.hashed_rows(df, ["x", "y"], n, ["i"], 42)[:, 0].tolist() == want
+
+
 def brute_dbscan(x, eps, m):
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
     core = near.sum(1) >= m
